@@ -74,29 +74,24 @@ def rehydrate(admitted: DataFrame, catalog: DataFrame) -> DataFrame:
     neither survives only as a custom line with a shortened name, never with prices.
     ``catalog`` has slug, ean, name, category and unit.
     """
-    by_id = catalog.select(F.col("slug").alias("c"), F.struct("slug", "ean", "name", "category", "unit").alias("p"))
-    by_key = catalog.select(F.col("ean").alias("e"), F.struct("slug", "ean", "name", "category", "unit").alias("p"))
-    with_id = admitted.where(F.col("c").isNotNull()).join(by_id, "c", "left")
-    with_key = admitted.where(F.col("c").isNull() & F.col("e").isNotNull()).join(by_key, "e", "left")
-    neither = admitted.where(F.col("c").isNull() & F.col("e").isNull()).withColumn(
-        "p", F.lit(None).cast(by_id.schema["p"].dataType)
-    )
+    product = F.struct("slug", "ean", "name", "category", "unit").alias("p")
+    keys = F.array(F.concat(F.lit("id:"), "slug"), F.concat(F.lit("ean:"), "ean"))
+    lookup = catalog.select(F.explode(keys).alias("key"), product)
+    # Lines with neither get a key of their own, so they spread instead of sharing a null.
+    own = F.concat_ws(":", F.lit("line"), "basket_id", "position")
+    key = F.coalesce(F.concat(F.lit("id:"), "c"), F.concat(F.lit("ean:"), "e"), own)
+    joined = admitted.withColumn("key", key).join(lookup, "key", "left")
     found = F.col("p").isNotNull()
-    return (
-        with_id.unionByName(with_key)
-        .unionByName(neither)
-        .where(found | (F.col("x") & F.col("n").isNotNull()))
-        .select(
-            "basket_id",
-            "position",
-            F.col("p.slug").alias("catalog_id"),
-            F.col("p.ean").alias("ean"),
-            F.coalesce("p.name", F.substring("n", 1, MAX_NAME)).alias("name"),
-            F.coalesce("p.category", F.lit(CUSTOM_CATEGORY)).alias("category"),
-            F.coalesce("p.unit", F.substring(F.coalesce("u", F.lit("pz")), 1, MAX_UNIT)).alias("unit"),
-            "quantity",
-            (~found).alias("is_custom"),
-        )
+    return joined.where(found | (F.col("x") & F.col("n").isNotNull())).select(
+        "basket_id",
+        "position",
+        F.col("p.slug").alias("catalog_id"),
+        F.col("p.ean").alias("ean"),
+        F.coalesce("p.name", F.substring("n", 1, MAX_NAME)).alias("name"),
+        F.coalesce("p.category", F.lit(CUSTOM_CATEGORY)).alias("category"),
+        F.coalesce("p.unit", F.substring(F.coalesce("u", F.lit("pz")), 1, MAX_UNIT)).alias("unit"),
+        "quantity",
+        (~found).alias("is_custom"),
     )
 
 
@@ -111,14 +106,13 @@ def rehydrate_saved(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     A custom line keeps its own estimated prices, whatever name they were saved under.
     """
     current = catalog.select(
-        F.col("slug").alias("catalog_id"),
-        F.struct("ean", "name", "category", "unit").alias("p"),
+        F.concat(F.lit("id:"), "slug").alias("key"), F.struct("ean", "name", "category", "unit").alias("p")
     )
     found = F.col("p").isNotNull()
-    own = F.coalesce("estimated_prices", "prices")
-    joined = lines.where(F.col("catalog_id").isNotNull()).join(current, "catalog_id", "left").unionByName(
-        lines.where(F.col("catalog_id").isNull()).withColumn("p", F.lit(None).cast(current.schema["p"].dataType))
-    )
+    saved_prices = F.coalesce("estimated_prices", "prices", F.create_map().cast("map<string,double>"))
+    own = F.concat_ws(":", F.lit("line"), "basket_id", "line")
+    key = F.coalesce(F.concat(F.lit("id:"), "catalog_id"), own)
+    joined = lines.withColumn("key", key).join(current, "key", "left")
     return joined.select(
         "basket_id",
         "line",
@@ -129,5 +123,5 @@ def rehydrate_saved(lines: DataFrame, catalog: DataFrame) -> DataFrame:
         F.coalesce("p.unit", "unit").alias("unit"),
         "quantity",
         (~found).alias("is_custom"),
-        F.when(~found, F.coalesce(own, F.create_map().cast("map<string,double>"))).alias("estimated_prices"),
+        F.when(~found, saved_prices).alias("estimated_prices"),
     )

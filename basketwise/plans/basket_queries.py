@@ -366,7 +366,7 @@ def progress(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SHARED = """
-m AS (SELECT l_orderkey AS basket_id, l_partkey, sum(l_quantity) * 4 AS quantity, min(l_linenumber) AS line
+m AS (SELECT l_orderkey AS basket_id, l_partkey, sum(l_quantity) * 25 AS quantity, min(l_linenumber) AS line
       FROM lineitem GROUP BY ALL),
 kept AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY line, l_partkey) <= 60)
 SELECT basket_id, row_number() OVER (PARTITION BY basket_id ORDER BY line, l_partkey) AS position,
@@ -383,7 +383,7 @@ def payload_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.col("pack.amount") % 3
     merged = table(spark, folder, "lineitem").groupBy(
         F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("position")
-    ).agg((F.sum("l_quantity") * 4).alias("quantity"), F.min("l_linenumber").alias("line"))
+    ).agg((F.sum("l_quantity") * 25).alias("quantity"), F.min("l_linenumber").alias("line"))
     # A third of the products travel by id, a third by key and a third as custom lines.
     lines = merged.join(catalog, "position").select(
         "basket_id",

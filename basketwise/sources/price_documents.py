@@ -11,9 +11,12 @@ from basketwise.model import PRICE_DOCUMENT
 HEADER = ["generatedAt", "source", "sourceLabel", "currency", "region", "postalCode"]
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document file; prices stay text so that one bad value spoils nothing else."""
-    return spark.read.schema(PRICE_DOCUMENT).option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """One row per document; prices stay text so that one bad value spoils nothing else.
+
+    Documents are files of their own, or lines of larger files.
+    """
+    return spark.read.schema(PRICE_DOCUMENT).option("multiLine", one_per_file).json(path)
 
 
 def document_header(documents: DataFrame) -> DataFrame:
