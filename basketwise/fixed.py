@@ -107,3 +107,11 @@ FRESHNESS = {
 # Words of a store list.
 FULFILLMENT = {"pickup": "Recoger en tienda", "delivery": "Entrega a domicilio"}
 LIST_FOOTER = "Confirma existencias, cobertura y costo final directamente con el supermercado."
+
+# Lines of a plan message.
+PLAN_TOTAL = "💰 *Total Optimizado:* $%.2f MXN"
+PLAN_SAVINGS = "🎉 *Ahorro Estimado:* $%.2f MXN (%d%%)"
+PLAN_STORE = "📍 *%s* — %s (Subtotal: $%.2f):"
+PLAN_ITEM = "  • %s (%s) -> $%.2f"
+PLAN_UNPRICED = "⚠️ *Sin precio (revisar en tienda):* %s"
+PLAN_FRESHNESS = "_Precios de referencia actualizados %s._"

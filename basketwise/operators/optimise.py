@@ -225,7 +225,9 @@ def basket_costs(items: Items) -> DataFrame:
     if wide:
         aggregates += _pair_columns(items)
     if "enabled" in items.rows.columns:
-        aggregates.append(F.first("enabled").alias("enabled"))
+        aggregates += [
+            F.bool_or(F.array_contains("enabled", s.id)).alias(f"may_{i}") for i, s in enumerate(items.stores)
+        ]
     costs = items.rows.groupBy("basket_id").agg(*aggregates)
     if not wide:
         costs = costs.join(_best_pairs_by_rows(items), "basket_id", "left")
@@ -238,8 +240,8 @@ def _decide(costs: DataFrame, items: Items, wide: bool) -> DataFrame:
         return costs.select(
             "basket_id", "n_items", "n_priced", "total_units", F.lit("no-stores").alias("status")
         )
-    per_basket = "enabled" in costs.columns
-    allowed = [F.array_contains("enabled", s.id) if per_basket else F.lit(True) for s in items.stores]
+    per_basket = "may_0" in costs.columns
+    allowed = [F.col(f"may_{i}") if per_basket else F.lit(True) for i in range(len(items.stores))]
     singles, groups = [], []
     for i, store in enumerate(items.stores):
         missing = F.col("n_priced") - F.col(f"n_{i}")

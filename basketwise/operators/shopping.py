@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketwise.fixed import BAR_FLOOR_PERCENT, FULFILLMENT, LIST_FOOTER
-from basketwise.functions.links import list_line, search_url
+from basketwise.fixed import (
+    BAR_FLOOR_PERCENT,
+    FULFILLMENT,
+    LIST_FOOTER,
+    PLAN_FRESHNESS,
+    PLAN_ITEM,
+    PLAN_SAVINGS,
+    PLAN_STORE,
+    PLAN_TOTAL,
+    PLAN_UNPRICED,
+)
+from basketwise.functions.links import list_line, quantity_text, search_url
 from basketwise.functions.numbers import from_cents, percent, round2
-from basketwise.operators.optimise import Items
+from basketwise.operators.optimise import Items, cheapest_split, split_groups, unpriced_items
 
 STRATEGIES = ("split", "two-stores", "single")
 
@@ -128,3 +138,66 @@ def store_list_frame(store_name: Column, fulfillment: Column) -> Column:
         F.concat(F.lit("Modalidad deseada: "), mode).alias("mode"),
         F.lit(LIST_FOOTER).alias("footer"),
     )
+
+
+def message_lines(
+    items: Items, costs: DataFrame, products: DataFrame, stores: DataFrame, freshness: Column
+) -> DataFrame:
+    """Lines of the message that tells a basket's cheapest split.
+
+    Lines read in (section, rank, line) order: totals, then each store with its items,
+    dearest store first, then items without a price, then how fresh the prices are. They
+    stay rows, so no basket is gathered in one task. ``products`` has ean, name and
+    unit, ``stores`` store_id, name and branch_name.
+    """
+    zero = F.lit(0).cast("bigint")
+    usable = costs.where(F.col("status") == "ok")
+    totals = usable.select(
+        "basket_id",
+        F.inline(
+            F.array(
+                F.struct(
+                    F.lit(0).alias("section"), zero.alias("rank"), zero.alias("line"),
+                    F.format_string(PLAN_TOTAL, "split_total").alias("text"),
+                ),
+                F.struct(
+                    F.lit(1).alias("section"), zero.alias("rank"), zero.alias("line"),
+                    F.format_string(PLAN_SAVINGS, "savings_vs_worst", "savings_pct").alias("text"),
+                ),
+                F.struct(
+                    F.lit(4).alias("section"), zero.alias("rank"), zero.alias("line"),
+                    F.format_string(PLAN_FRESHNESS, freshness).alias("text"),
+                ),
+            )
+        ),
+    )
+    groups = split_groups(costs)
+    headings = groups.join(stores, "store_id").select(
+        "basket_id",
+        F.lit(2).alias("section"),
+        "rank",
+        zero.alias("line"),
+        F.format_string(PLAN_STORE, "name", "branch_name", "subtotal").alias("text"),
+    )
+    named = products.select(F.col("ean").alias("item_id"), "name", "unit")
+    bought = cheapest_split(items).join(named, "item_id").join(
+        groups.select("basket_id", "store_id", "rank"), ["basket_id", "store_id"]
+    )
+    entries = bought.select(
+        "basket_id",
+        F.lit(2).alias("section"),
+        "rank",
+        # Headings have line 0, so items start above it.
+        (F.col("line") + 1).alias("line"),
+        F.format_string(PLAN_ITEM, "name", quantity_text(F.col("quantity"), F.col("unit")), "subtotal").alias("text"),
+    )
+    unpriced = (
+        unpriced_items(items)
+        .join(usable.select("basket_id"), "basket_id", "left_semi")
+        .join(named, "item_id")
+        .select(
+            "basket_id", F.lit(3).alias("section"), zero.alias("rank"), "line",
+            F.format_string(PLAN_UNPRICED, "name").alias("text"),
+        )
+    )
+    return totals.unionByName(headings).unionByName(entries).unionByName(unpriced)

@@ -23,6 +23,7 @@ from basketwise.operators.optimise import (
 )
 from basketwise.operators.shopping import (
     checklist_progress,
+    message_lines,
     plan_lines,
     shopping_plan,
     store_bars,
@@ -323,6 +324,35 @@ def plan_text(spark: SparkSession, folder: str) -> DataFrame:
     return plan_lines(chosen, products(spark, folder), chains(spark, folder)).drop("line")
 
 
+@query(
+    "plan_message",
+    f"""{BASKETS.replace("FROM items JOIN medians USING (ean) JOIN stores USING (store_id)", "FROM items JOIN medians USING (ean) JOIN stores USING (store_id) WHERE store_id IN ('africa', 'asia')")
+    .replace("FROM region)", "FROM region WHERE r_name IN ('AFRICA', 'ASIA'))")},
+    savings AS ({SAVINGS}),
+    g AS (
+      SELECT basket_id, best_store AS store_id, floor(sum(floor(best_price * 100 + 0.5) * quantity) + 0.5) / 100 AS subtotal,
+        row_number() OVER (PARTITION BY basket_id ORDER BY floor(sum(floor(best_price * 100 + 0.5) * quantity) + 0.5) DESC,
+          min((first_line, CAST(ean AS BIGINT)))) AS rank
+      FROM priced GROUP BY basket_id, best_store)
+    SELECT basket_id, 0 AS section, 0::BIGINT AS rank, printf('💰 *Total Optimizado:* $%.2f MXN', split_total) AS text FROM savings
+    UNION ALL SELECT basket_id, 1, 0, printf('🎉 *Ahorro Estimado:* $%.2f MXN (%d%%)', savings_vs_worst, savings_pct) FROM savings
+    UNION ALL SELECT basket_id, 4, 0, '_Precios de referencia actualizados hoy._' FROM savings
+    UNION ALL SELECT basket_id, 2, rank, printf('📍 *%s* — %s (Subtotal: $%.2f):', upper(store_id), 'Centro ' || store_id, subtotal) FROM g
+    UNION ALL SELECT p.basket_id, 2, rank, printf('  • %s (%s) -> $%.2f', p_name, CAST(CAST(quantity AS BIGINT) AS VARCHAR) || ' pz',
+        floor(floor(best_price * 100 + 0.5) * quantity + 0.5) / 100)
+      FROM priced p JOIN g ON g.basket_id = p.basket_id AND g.store_id = p.best_store JOIN part ON CAST(p_partkey AS VARCHAR) = ean
+    UNION ALL SELECT basket_id, 3, 0, '⚠️ *Sin precio (revisar en tienda):* ' || p_name FROM items JOIN part ON CAST(p_partkey AS VARCHAR) = ean
+      WHERE ean NOT IN (SELECT ean FROM medians WHERE store_id IN ('africa', 'asia')) AND basket_id IN (SELECT basket_id FROM savings)""",
+)
+def plan_message(spark: SparkSession, folder: str) -> DataFrame:
+    items, costs = _optimised(spark, folder, ["africa", "asia"])
+    stores = chains(spark, folder).select(
+        "store_id", "name", F.concat(F.lit("Centro "), "store_id").alias("branch_name")
+    )
+    lines = message_lines(items, costs, products(spark, folder), stores, F.lit("hoy"))
+    return lines.drop("line")
+
+
 @query(
     "price_comparison",
     f"""WITH {OBS}, {MEDIANS}, s AS (SELECT lower(r_name) AS store_id, r_regionkey AS pos FROM region)

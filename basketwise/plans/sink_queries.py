@@ -101,7 +101,7 @@ def run_log_per_source(spark: SparkSession, folder: str) -> DataFrame:
     errors = items.where((F.col("l_quantity") == 1) & (F.col("l_returnflag") == "R")).select(
         F.concat("l_returnflag", "l_linestatus").alias("source"), F.lit("timeout").alias("error")
     )
-    return run_log(checked, errors)
+    return run_log(checked, errors).drop("errors")
 
 
 @query(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str, cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
@@ -40,3 +40,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="basketwise-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip(os.sep)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialise(frame: DataFrame, purpose: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back.
+
+    Later steps start from the written table: it is computed once, survives lost
+    executors, and its real size decides how it is joined.
+    """
+    path = work_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

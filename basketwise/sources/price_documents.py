@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from basketwise.fixed import DOCUMENT_DEFAULTS
@@ -60,17 +62,15 @@ def document_observations(cells: DataFrame) -> DataFrame:
 def first_usable(sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """Cells of the first source, in order, that has any, tagged with its origin.
 
-    Sources are sanitised cell tables. The choice is a minimum over one column of their
-    union, and sources behind the first usable one contribute nothing else.
+    Sources are sanitised cell tables. One row of each tells whether it is usable.
     """
     tagged = [
-        cells.select("ean", "store_id", "price").withColumn("priority", F.lit(n)).withColumn("origin", F.lit(origin))
+        cells.select("ean", "store_id", "price", F.lit(n).alias("priority"), F.lit(origin).alias("origin"))
         for n, (origin, cells) in enumerate(sources)
     ]
-    union = tagged[0]
-    for cells in tagged[1:]:
-        union = union.unionByName(cells)
-    return union.where(F.col("priority") == union.agg(F.min("priority")).scalar()).drop("priority")
+    usable = reduce(DataFrame.unionByName, [cells.select("priority").limit(1) for cells in tagged])
+    chosen = usable.agg(F.min("priority")).scalar()
+    return reduce(DataFrame.unionByName, tagged).where(F.col("priority") == chosen).drop("priority")
 
 
 def origin_of(cells: DataFrame) -> DataFrame:

@@ -1,0 +1,128 @@
+"""Text matching, on small cases and against brute force."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from basketwise.functions.text import is_key, normalise, parser_normalise, slug
+from basketwise.operators.matching import (
+    match_aliases,
+    match_terms,
+    match_terms_by_lookup,
+    top_unmatched,
+    unmatched_frequency,
+)
+
+CATALOG = "catalog_pos bigint, ean string, name string, aliases array<string>"
+MAPPING = "entry_no int, ean string, requiere array<string>, excluye array<string>"
+
+
+def brute_alias(term, catalog):
+    """Four stages over the whole catalog, one product at a time."""
+    for pos, _, _, aliases in catalog:
+        if term in aliases:
+            return 1, pos
+    for pos, _, _, aliases in catalog:
+        if any(a in term or term in a for a in aliases):
+            return 2, pos
+    for pos, _, name, _ in catalog:
+        if name in term or term in name:
+            return 3, pos
+    best, best_pos = 0, None
+    for pos, _, name, aliases in catalog:
+        text = " ".join([name, *aliases])
+        score = sum(1 for w in term.split() if len(w) > 2 and w in text)
+        if score > best:
+            best, best_pos = score, pos
+    return (4, best_pos) if best else None
+
+
+def test_alias_stages_agree_with_brute_force(spark):
+    rng = random.Random(7)
+    words = ["leche", "lala", "entera", "light", "pan", "blanco", "queso", "panela", "sol", "lec", "anco"]
+    catalog = []
+    for pos in range(60):
+        name = " ".join(rng.sample(words, 3)) + f" {rng.randint(1, 9)}kg"
+        aliases = [" ".join(rng.sample(words, 2)) + str(rng.randint(0, 30)) for _ in range(2)]
+        catalog.append((pos, str(pos), name, aliases))
+    terms = set()
+    for _ in range(400):
+        k = rng.randint(1, 5)
+        terms.add(" ".join(rng.choices(words + ["xyz", "zz", "queso", "9kg", "unknown"], k=k)))
+    terms |= {a for _, _, _, aliases in catalog[:5] for a in aliases}
+    terms |= {catalog[9][2], catalog[8][2] + " extra", catalog[3][3][0][:4], "l"}
+    got = match_aliases(
+        spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame(catalog, CATALOG)
+    ).collect()
+    want = {t: brute_alias(t, catalog) for t in terms}
+    want = {t: m for t, m in want.items() if m}
+    assert {r["term"]: (r["stage"], r["catalog_pos"]) for r in got} == want
+    assert {m[0] for m in want.values()} == {1, 2, 3, 4}
+
+
+def test_repeated_words_count_twice(spark):
+    catalog = [(0, "0", "tinto vino", ["aaa bbb"]), (1, "1", "blanco vino seco", ["ccc"])]
+    term = "seco blanco tinto tinto tinto"
+    got = match_aliases(
+        spark.createDataFrame([(term,)], "term string"), spark.createDataFrame(catalog, CATALOG)
+    ).first()
+    assert (got["stage"], got["catalog_pos"]) == brute_alias(term, catalog) == (4, 0)
+
+
+def mapping(spark):
+    rows = [
+        (0, "none", [], ["x"]),
+        (1, "A", ["Leche", "lala", "1 lt"], ["light"]),
+        (2, "B", ["leche", "LALA"], []),
+        (3, "C", ["atún"], ["aceite"]),
+    ]
+    return spark.createDataFrame(rows, MAPPING)
+
+
+def test_term_match_takes_the_first_entry_that_fits(spark):
+    rows = [
+        ("leche lala entera 11 lt", "A"),
+        ("leche lala light 1 lt", "B"),
+        ("Atún en agua", "C"),
+        ("atun con aceite", None),
+        ("lala", None),
+    ]
+    texts = spark.createDataFrame(rows, "written string, want string").withColumn("text", normalise(F.col("written")))
+    for matched in (match_terms(texts, "text", mapping(spark)), match_terms_by_lookup(texts, "text", mapping(spark))):
+        assert all(r["matched_ean"] == r["want"] for r in matched.collect())
+        assert matched.count() == len(rows)
+
+
+def test_long_mapping_agrees_with_short_one(spark):
+    rng = random.Random(3)
+    letters = "abcd "
+    texts = spark.createDataFrame(
+        [("".join(rng.choices(letters, k=rng.randint(0, 40))).strip(),) for _ in range(300)], "text string"
+    ).withColumn("text", normalise(F.col("text")))
+    entries = [
+        (n, str(n), ["".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 3))],
+         ["".join(rng.choices("abcd", k=2)) for _ in range(rng.randint(0, 2))])
+        for n in range(100)
+    ]
+    table = spark.createDataFrame(entries, MAPPING)
+    short = match_terms(texts.distinct(), "text", table).collect()
+    long = match_terms_by_lookup(texts.distinct(), "text", table).collect()
+    assert {r["text"]: r["matched_ean"] for r in short} == {r["text"]: r["matched_ean"] for r in long}
+
+
+def test_unmatched_texts_are_counted_with_their_first_price(spark):
+    rows = [("a", 1, 5.0), ("a", 0, 7.0), ("b", 2, 1.0)]
+    frame = spark.createDataFrame(rows, "k string, seq int, price double")
+    frequency = unmatched_frequency(frame, F.col("k"), "price", F.col("seq"))
+    got = [tuple(r) for r in top_unmatched(frequency, 1).collect()]
+    assert got == [("a", 2, 7.0)]
+
+
+def test_text_functions(spark):
+    rows = [("  Atún   Ácido\tÑandú ", "atun acido nandu", "atun   acido\tnandu", "atun-acido-nandu"), ("é", "e", "e", "e")]
+    frame = spark.createDataFrame(rows, "t string, n string, p string, s string").select(
+        normalise(F.col("t")) == F.col("n"), parser_normalise(F.col("t")) == F.col("p"), slug(F.col("t")) == F.col("s")
+    )
+    assert all(all(r) for r in frame.collect())
+    keys = spark.createDataFrame([("12345678", True), ("1234567", False), ("1" * 15, False), ("1234567a", False), (None, False)], "k string, ok boolean")
+    assert all(a == b for a, b in keys.select(is_key(F.col("k")), "ok").collect())
