@@ -31,7 +31,7 @@ PRODUCT = (
 
 RUN = (
     "source string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, "
-    "products_seen bigint, prices_written bigint, errors array<string>"
+    "products_seen bigint, prices_written bigint, n_errors bigint"
 )
 
 STORE = (

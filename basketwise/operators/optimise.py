@@ -16,8 +16,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketwise.functions.numbers import cents, from_cents, is_usable, percent, round2
+from basketwise.functions.numbers import cents, from_cents, is_usable
 from basketwise.model import Store
+from basketwise.session import materialise
 
 # Up to this many stores every pair is a column of the basket row; beyond it the pairs
 # of an item become rows that are summed before the shuffle.
@@ -45,18 +46,18 @@ def requested_stores(baskets: DataFrame, requested: str, stores: list[Store]) ->
     )
 
 
-def _price(position: int) -> str:
-    return f"p{position}"
+def _text(value: str) -> str:
+    """SQL literal of a text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def price_rows(prices: DataFrame, stores: list[Store]) -> DataFrame:
-    """One row per product with its usable price, in cents, in every store."""
+    """One row per product with its usable price, in cents, in every store: p0, p1, ..."""
     usable = prices.where(is_usable(F.col("price")) & F.col("store_id").isin([s.id for s in stores]))
     columns = [
-        F.max(F.when(F.col("store_id") == s.id, cents(F.col("price")))).alias(_price(i))
-        for i, s in enumerate(stores)
+        F.expr(f"max(CASE WHEN store_id = {_text(s.id)} THEN cents END) AS p{i}") for i, s in enumerate(stores)
     ]
-    return usable.groupBy("ean").agg(*columns)
+    return usable.select("ean", "store_id", cents(F.col("price")).alias("cents")).groupBy("ean").agg(*columns)
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,11 @@ class Items:
 
     @property
     def prices(self) -> list[Column]:
-        return [F.col(_price(i)) for i in range(len(self.stores))]
+        return [F.col(p) for p in self.names]
+
+    @property
+    def names(self) -> list[str]:
+        return [f"p{i}" for i in range(len(self.stores))]
 
     def store_ids(self) -> Column:
         return F.array(*[F.lit(s.id) for s in self.stores])
@@ -93,26 +98,21 @@ def price_items(
         own = {}
         for i, store in enumerate(chosen):
             value = F.try_element_at("estimated_prices", F.lit(store.id))
-            own[_price(i)] = F.when(is_usable(value), cents(value))
+            own[f"p{i}"] = F.when(is_usable(value), cents(value))
         rows = rows.unionByName(lines.where(F.col("is_custom")).withColumns(own))
-    if "enabled" in lines.columns:
-        allowed = {
-            _price(i): F.when(F.array_contains("enabled", s.id), F.col(_price(i)))
-            for i, s in enumerate(chosen)
-        }
-        rows = rows.withColumns(allowed) if allowed else rows
-    items = Items(rows, chosen)
-    offered = [p.isNotNull().cast("int") for p in items.prices]
-    n_offers = sum(offered, F.lit(0))
-    best = F.least(*items.prices) if len(chosen) > 1 else (items.prices[0] if chosen else F.lit(None).cast("double"))
-    best_position = F.coalesce(
-        F.lit(None).cast("int"),
-        *[F.when(p == F.col("best_cents"), F.lit(i)) for i, p in enumerate(items.prices)],
-    )
+    if "enabled" in lines.columns and chosen:
+        rows = rows.withColumns(
+            {f"p{i}": F.when(F.array_contains("enabled", s.id), F.col(f"p{i}")) for i, s in enumerate(chosen)}
+        )
+    names = [f"p{i}" for i in range(len(chosen))]
+    offered = " + ".join(f"int({p} IS NOT NULL)" for p in names) or "0"
+    # least() passes over missing prices; the first store at that price wins ties.
+    best = f"least({', '.join(names)})" if len(names) > 1 else (names[0] if names else "CAST(NULL AS DOUBLE)")
+    first = " ".join(f"WHEN {p} = best_cents THEN {i}" for i, p in enumerate(names)) or "WHEN false THEN 0"
     return Items(
-        rows.withColumn("n_offers", n_offers)
-        .withColumn("best_cents", best)
-        .withColumn("best_position", best_position),
+        rows.selectExpr(
+            "*", f"{offered} AS n_offers", f"{best} AS best_cents", f"CASE {first} END AS best_position"
+        ),
         chosen,
     )
 
@@ -168,159 +168,165 @@ def _pairs(items: Items) -> list[tuple[int, int]]:
     return list(combinations(range(len(items.stores)), 2))
 
 
-def _line_cents(price: Column) -> Column:
-    """Subtotal of a line, rounded to whole cents."""
-    return F.floor(price * F.col("quantity") + F.lit(0.5)).cast("double")
-
+# Subtotal of a line in whole cents, for a price in cents.
+LINE_CENTS = "CAST(floor({price} * quantity + 0.5D) AS DOUBLE)"
+# Greatest coverage, then lowest total, then earliest pair.
+PAIR = "named_struct('coverage', {coverage}, 'cost', -{total}, 'order', -{number})"
+# Cents, possibly fractional, rounded once to money.
+MONEY = "floor({cents} + 0.5D) / 100.0D"
 
-def _pair_struct(coverage: Column, total: Column, pair_no: Column) -> Column:
-    # Greatest coverage, then lowest total, then earliest pair.
-    return F.struct(coverage.alias("coverage"), (-total).alias("cost"), (-pair_no).alias("order"))
 
-
-def _pair_columns(items: Items) -> list[Column]:
+def _pair_columns(items: Items) -> list[str]:
     columns = []
     for i, j in _pairs(items):
-        cheaper = F.least(items.prices[i], items.prices[j])
-        columns.append(F.count(cheaper).alias(f"pair_n_{i}_{j}"))
-        columns.append(F.sum(_line_cents(cheaper)).alias(f"pair_sum_{i}_{j}"))
+        cheaper = f"least(p{i}, p{j})"
+        columns.append(f"count({cheaper}) AS pair_n_{i}_{j}")
+        columns.append(f"sum({LINE_CENTS.format(price=cheaper)}) AS pair_sum_{i}_{j}")
     return columns
 
 
 def _best_pairs_by_rows(items: Items) -> DataFrame:
     """Best pair per basket where the pairs are too many for columns."""
-    numbered = [F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, (i, j) in enumerate(_pairs(items))]
-    rows = items.rows.select("basket_id", "quantity", F.array(*items.prices).alias("prices"))
-    # A pair is spelled out for an item only when one of its stores sells it.
-    spelled = rows.select("basket_id", "quantity", "prices", F.inline(F.array(*numbered)))
-    cheaper = F.least(F.get("prices", F.col("i")), F.get("prices", F.col("j")))
+    numbered = [f"named_struct('n', {n}, 'i', {i}, 'j', {j})" for n, (i, j) in enumerate(_pairs(items))]
+    rows = items.rows.selectExpr("basket_id", "quantity", f"array({', '.join(items.names)}) AS prices")
+    spelled = rows.selectExpr("basket_id", "quantity", "prices", f"inline(array({', '.join(numbered)}))")
+    # A pair counts for an item only when one of its stores sells it.
+    cheaper = spelled.selectExpr("basket_id", "n", "quantity", "least(get(prices, i), get(prices, j)) AS cheaper")
     summed = (
-        spelled.withColumn("cheaper", cheaper)
-        .where(F.col("cheaper").isNotNull())
+        cheaper.where("cheaper IS NOT NULL")
         .groupBy("basket_id", "n")
-        .agg(F.count("*").alias("coverage"), F.sum(_line_cents(F.col("cheaper"))).alias("total"))
+        .agg(F.count("*").alias("coverage"), F.expr(f"sum({LINE_CENTS.format(price='cheaper')}) AS total"))
     )
-    best = F.max(_pair_struct(F.col("coverage"), F.col("total"), F.col("n")))
-    return summed.groupBy("basket_id").agg(best.alias("pair"))
+    best = PAIR.format(coverage="coverage", total="total", number="n")
+    return summed.groupBy("basket_id").agg(F.expr(f"max({best}) AS pair"))
 
 
 def basket_costs(items: Items) -> DataFrame:
     """One row per basket: items, store totals in rank order, split, best pair and savings."""
     aggregates = [
-        F.count("*").alias("n_items"),
-        F.count_if(F.col("n_offers") > 0).alias("n_priced"),
-        F.sum("quantity").alias("total_units"),
-        F.sum(F.col("best_cents") * F.col("quantity")).alias("split_sum"),
+        "count(*) AS n_items",
+        "count_if(n_offers > 0) AS n_priced",
+        "sum(quantity) AS total_units",
+        "sum(best_cents * quantity) AS split_sum",
     ]
-    for i, price in enumerate(items.prices):
-        chosen = F.col("best_position") == i
+    for i in range(len(items.stores)):
         aggregates += [
-            F.count(price).alias(f"n_{i}"),
-            F.sum(price * F.col("quantity")).alias(f"sum_{i}"),
-            F.count_if(chosen).alias(f"split_n_{i}"),
-            F.sum(F.when(chosen, F.col("best_cents") * F.col("quantity"))).alias(f"split_sum_{i}"),
-            F.min(F.when(chosen, F.col("line"))).alias(f"split_line_{i}"),
+            f"count(p{i}) AS n_{i}",
+            f"sum(p{i} * quantity) AS sum_{i}",
+            f"count_if(best_position = {i}) AS split_n_{i}",
+            f"sum(CASE WHEN best_position = {i} THEN best_cents * quantity END) AS split_sum_{i}",
+            f"min(CASE WHEN best_position = {i} THEN line END) AS split_line_{i}",
         ]
     wide = len(items.stores) <= MAX_STORES_WITH_PAIR_COLUMNS
     if wide:
         aggregates += _pair_columns(items)
     if "enabled" in items.rows.columns:
         aggregates += [
-            F.bool_or(F.array_contains("enabled", s.id)).alias(f"may_{i}") for i, s in enumerate(items.stores)
+            f"bool_or(array_contains(enabled, {_text(s.id)})) AS may_{i}" for i, s in enumerate(items.stores)
         ]
-    costs = items.rows.groupBy("basket_id").agg(*aggregates)
+    costs = items.rows.groupBy("basket_id").agg(*[F.expr(a) for a in aggregates])
+    if not items.stores:
+        return costs.selectExpr("basket_id", "n_items", "n_priced", "total_units", "'no-stores' AS status")
     if not wide:
         costs = costs.join(_best_pairs_by_rows(items), "basket_id", "left")
     return _decide(costs, items, wide)
 
 
-def _decide(costs: DataFrame, items: Items, wide: bool) -> DataFrame:
-    """Ranks the stores, the split groups and the pairs of a basket within its row."""
-    if not items.stores:
-        return costs.select(
-            "basket_id", "n_items", "n_priced", "total_units", F.lit("no-stores").alias("status")
-        )
-    per_basket = "may_0" in costs.columns
-    allowed = [F.col(f"may_{i}") if per_basket else F.lit(True) for i in range(len(items.stores))]
-    singles, groups = [], []
-    for i, store in enumerate(items.stores):
-        missing = F.col("n_priced") - F.col(f"n_{i}")
-        singles.append(
-            F.when(
-                allowed[i],
-                F.struct(
-                    (missing > 0).alias("incomplete"),
-                    (-F.col(f"n_{i}")).alias("uncovered"),
-                    from_cents(F.coalesce(f"sum_{i}", F.lit(0.0))).alias("total"),
-                    F.lit(i).alias("position"),
-                    F.lit(store.id).alias("store_id"),
-                    F.col(f"n_{i}").alias("coverage"),
-                    missing.alias("n_missing"),
-                ),
-            )
+def _when(condition: str | None, value: str) -> str:
+    return value if condition is None else f"CASE WHEN {condition} THEN {value} END"
+
+
+def _ranked_stores(items: Items, allowed: list[str | None]) -> str:
+    """Complete stores first, then by coverage, then by total, then in store order."""
+    structs = [
+        _when(
+            allowed[i],
+            f"named_struct('incomplete', n_{i} < n_priced, 'uncovered', -n_{i}, "
+            f"'total', {MONEY.format(cents=f'coalesce(sum_{i}, 0.0D)')}, 'position', {i}, "
+            f"'store_id', {_text(s.id)}, 'coverage', n_{i}, 'n_missing', n_priced - n_{i})",
         )
-        groups.append(
-            F.when(
-                F.col(f"split_n_{i}") > 0,
-                F.struct(
-                    (-from_cents(F.col(f"split_sum_{i}"))).alias("cost"),
-                    F.col(f"split_line_{i}").alias("first_line"),
-                    F.lit(store.id).alias("store_id"),
-                    F.col(f"split_n_{i}").alias("n_items"),
-                ),
-            )
+        for i, s in enumerate(items.stores)
+    ]
+    return f"sort_array(array_compact(array({', '.join(structs)})))"
+
+
+def _ranked_groups(items: Items) -> str:
+    """Dearest group of the split first, then the one whose first item comes first."""
+    structs = [
+        _when(
+            f"split_n_{i} > 0",
+            f"named_struct('cost', -({MONEY.format(cents=f'split_sum_{i}')}), 'first_line', split_line_{i}, "
+            f"'store_id', {_text(s.id)}, 'n_items', split_n_{i})",
         )
-    ranked = costs.withColumn("stores", F.array_sort(F.array_compact(F.array(*singles)))).withColumn(
-        "groups", F.array_sort(F.array_compact(F.array(*groups)))
+        for i, s in enumerate(items.stores)
+    ]
+    return f"sort_array(array_compact(array({', '.join(structs)})))"
+
+
+def _chosen_pair(items: Items, allowed: list[str | None], wide: bool) -> str:
+    if not wide:
+        return "pair"
+    structs = []
+    for n, (i, j) in enumerate(_pairs(items)):
+        both = " AND ".join(a for a in (allowed[i], allowed[j]) if a) or None
+        total = f"coalesce(pair_sum_{i}_{j}, 0.0D)"
+        structs.append(_when(both, PAIR.format(coverage=f"pair_n_{i}_{j}", total=total, number=n)))
+    if not structs:
+        return "CAST(NULL AS STRUCT<coverage: BIGINT, cost: DOUBLE, order: INT>)"
+    return f"array_max(array_compact(array({', '.join(structs)})))"
+
+
+def _decide(costs: DataFrame, items: Items, wide: bool) -> DataFrame:
+    """Ranks the stores, the split groups and the pairs of a basket within its row."""
+    allowed = [f"may_{i}" if "may_0" in costs.columns else None for i in range(len(items.stores))]
+    pairs = _pairs(items)
+    firsts = f"CAST(array({', '.join(str(i) for i, _ in pairs)}) AS ARRAY<INT>)"
+    seconds = f"CAST(array({', '.join(str(j) for _, j in pairs)}) AS ARRAY<INT>)"
+    ranked = costs.selectExpr(
+        "basket_id",
+        "n_items",
+        "n_priced",
+        "total_units",
+        f"{MONEY.format(cents='split_sum')} AS split_total",
+        f"{_ranked_stores(items, allowed)} AS stores",
+        f"{_ranked_groups(items)} AS groups",
+        f"CASE WHEN n_priced > 0 THEN {_chosen_pair(items, allowed, wide)} END AS pair",
     )
-    if wide and len(items.stores) > 1:
-        candidates = [
-            F.when(
-                allowed[i] & allowed[j],
-                _pair_struct(
-                    F.col(f"pair_n_{i}_{j}"), F.coalesce(f"pair_sum_{i}_{j}", F.lit(0.0)), F.lit(n)
-                ),
-            )
-            for n, (i, j) in enumerate(_pairs(items))
-        ]
-        ranked = ranked.withColumn("pair", F.array_max(F.array_compact(F.array(*candidates))))
-    elif wide:
-        ranked = ranked.withColumn("pair", F.lit(None).cast("struct<coverage: bigint, cost: double, order: int>"))
-    firsts = F.array(*[F.lit(i) for i, _ in _pairs(items)]).cast("array<int>")
-    seconds = F.array(*[F.lit(j) for _, j in _pairs(items)]).cast("array<int>")
-    pair_no = -F.col("pair.order")
-    full = F.filter("stores", lambda s: ~s["incomplete"])
-    comparable = F.when(F.size(full) > 0, full).otherwise(F.col("stores"))
-    # Highest total; the better ranked store wins ties.
-    dearest = F.array_max(F.transform(comparable, lambda s, n: F.struct(s["total"].alias("total"), (-n).alias("order"))))
-    decided = (
-        ranked.withColumn("best", F.get("stores", F.lit(0)))
-        .withColumn("worst", F.get(comparable, -dearest["order"]))
-        .withColumn("split_total", from_cents(F.col("split_sum")))
-        .withColumn("savings", round2(F.col("worst.total") - F.col("split_total")))
+    compared = ranked.selectExpr(
+        "*",
+        "get(stores, 0) AS best",
+        "exists(stores, s -> NOT s.incomplete) AS any_store_covers_all",
+    ).selectExpr(
+        "*",
+        # Incomplete stores are compared only where none is complete.
+        "filter(stores, s -> NOT s.incomplete OR NOT any_store_covers_all) AS comparable",
+    )
+    # The highest total; the better ranked store wins ties.
+    dearest = "array_max(transform(comparable, (s, n) -> struct(s.total AS total, -n AS order)))"
+    measured = compared.selectExpr("*", f"get(comparable, -({dearest}).order) AS worst").selectExpr(
+        "*", "floor((worst.total - split_total) * 100 + 0.5D) / 100.0D AS savings_vs_worst"
     )
-    status = F.when(F.size("stores") == 0, F.lit("no-stores")).when(F.col("n_priced") == 0, F.lit("no-prices"))
-    usable = F.col("n_priced") > 0
-    return decided.select(
+    return measured.selectExpr(
         "basket_id",
         "n_items",
         "n_priced",
         "total_units",
-        F.coalesce(status, F.lit("ok")).alias("status"),
-        (F.size(full) > 0).alias("any_store_covers_all"),
+        "CASE WHEN size(stores) = 0 THEN 'no-stores' WHEN n_priced = 0 THEN 'no-prices' ELSE 'ok' END AS status",
+        "any_store_covers_all",
         "stores",
         "groups",
         "best",
         "worst",
         "split_total",
-        F.size("groups").cast("bigint").alias("n_split_stores"),
-        F.when(usable, F.get(firsts, pair_no)).alias("pair_first"),
-        F.when(usable, F.get(seconds, pair_no)).alias("pair_second"),
-        F.when(usable, F.col("pair.coverage")).alias("pair_coverage"),
-        F.when(usable, (-F.col("pair.cost")) / 100).alias("pair_total"),
-        F.col("savings").alias("savings_vs_worst"),
-        round2(F.col("best.total") - F.col("split_total")).alias("savings_vs_best"),
-        percent(F.col("savings"), F.col("worst.total")).alias("savings_pct"),
+        "CAST(size(groups) AS BIGINT) AS n_split_stores",
+        f"get({firsts}, -pair.order) AS pair_first",
+        f"get({seconds}, -pair.order) AS pair_second",
+        "pair.coverage AS pair_coverage",
+        "-pair.cost / 100 AS pair_total",
+        "savings_vs_worst",
+        "floor((best.total - split_total) * 100 + 0.5D) / 100.0D AS savings_vs_best",
+        "CAST(CASE WHEN worst.total > 0 THEN floor(savings_vs_worst / worst.total * 100 + 0.5D) ELSE 0 END AS BIGINT)"
+        " AS savings_pct",
     )
 
 
@@ -403,8 +409,19 @@ def basket_summary(costs: DataFrame) -> DataFrame:
 
 
 def optimise(
-    lines: DataFrame, prices: DataFrame, stores: list[Store], enabled: list[str] | None = None
+    lines: DataFrame,
+    prices: DataFrame,
+    stores: list[Store],
+    enabled: list[str] | None = None,
+    keep: bool = False,
 ) -> tuple[Items, DataFrame]:
-    """Items with prices, and the costs of every basket."""
+    """Items with prices, and the costs of every basket.
+
+    With ``keep`` both are written to the shared folder first, for callers that derive
+    several tables from them.
+    """
     items = price_items(lines, prices, stores, enabled)
-    return items, basket_costs(items)
+    if not keep:
+        return items, basket_costs(items)
+    kept = Items(materialise(items.rows, "basket-items"), items.stores)
+    return kept, materialise(basket_costs(kept), "basket-costs")

@@ -42,13 +42,16 @@ from basketwise.plans.bindings import (
     table,
 )
 from basketwise.plans.catalogue import query
+from basketwise.session import materialise
 
 BASKETS = f"WITH {OBS}, {MEDIANS}, {ITEMS}"
 
 
-def _optimised(spark: SparkSession, folder: str, enabled: list[str] | None = None) -> tuple[Items, DataFrame]:
+def _optimised(
+    spark: SparkSession, folder: str, enabled: list[str] | None = None, keep: bool = False
+) -> tuple[Items, DataFrame]:
     prices = median_prices(observations(spark, folder))
-    return optimise(basket_lines(spark, folder), prices, chain_list(spark, folder), enabled)
+    return optimise(basket_lines(spark, folder), prices, chain_list(spark, folder), enabled, keep)
 
 
 @query(
@@ -283,7 +286,7 @@ plan AS (
     FROM plan LEFT JOIN first_branch USING (store_id)""",
 )
 def plan(spark: SparkSession, folder: str) -> DataFrame:
-    items, costs = _optimised(spark, folder)
+    items, costs = _optimised(spark, folder, keep=True)
     rows = branches(spark, folder).select(
         "store_id",
         F.col("s_suppkey").cast("string").alias("branch_id"),
@@ -301,7 +304,7 @@ def plan(spark: SparkSession, folder: str) -> DataFrame:
     FROM plan GROUP BY ALL""",
 )
 def plan_totals(spark: SparkSession, folder: str) -> DataFrame:
-    items, costs = _optimised(spark, folder)
+    items, costs = _optimised(spark, folder, keep=True)
     per_store = shopping_plan(items, costs).groupBy("basket_id", "strategy", "store_id").agg(
         F.count("*").alias("n"), F.sum(F.floor(F.col("subtotal") * 100 + F.lit(0.5)).cast("double")).alias("cents")
     )
@@ -319,7 +322,7 @@ def plan_totals(spark: SparkSession, folder: str) -> DataFrame:
     FROM priced JOIN part ON CAST(p_partkey AS VARCHAR) = ean""",
 )
 def plan_text(spark: SparkSession, folder: str) -> DataFrame:
-    items, costs = _optimised(spark, folder)
+    items, costs = _optimised(spark, folder, keep=True)
     chosen = shopping_plan(items, costs).where(F.col("strategy") == "split")
     return plan_lines(chosen, products(spark, folder), chains(spark, folder)).drop("line")
 
@@ -345,7 +348,7 @@ def plan_text(spark: SparkSession, folder: str) -> DataFrame:
       WHERE ean NOT IN (SELECT ean FROM medians WHERE store_id IN ('africa', 'asia')) AND basket_id IN (SELECT basket_id FROM savings)""",
 )
 def plan_message(spark: SparkSession, folder: str) -> DataFrame:
-    items, costs = _optimised(spark, folder, ["africa", "asia"])
+    items, costs = _optimised(spark, folder, ["africa", "asia"], keep=True)
     stores = chains(spark, folder).select(
         "store_id", "name", F.concat(F.lit("Centro "), "store_id").alias("branch_name")
     )
@@ -383,7 +386,7 @@ def comparison(spark: SparkSession, folder: str) -> DataFrame:
     FROM priced p LEFT JOIN done d ON d.basket_id = p.basket_id AND d.ean = p.ean GROUP BY ALL""",
 )
 def progress(spark: SparkSession, folder: str) -> DataFrame:
-    plan_rows = cheapest_split(_optimised(spark, folder)[0])
+    plan_rows = materialise(cheapest_split(_optimised(spark, folder)[0]), "split-plan")
     ticked = (
         table(spark, folder, "lineitem")
         .where(F.col("l_linestatus") == "F")
