@@ -188,8 +188,14 @@ def _pair_columns(items: Items) -> list[str]:
 def _best_pairs_by_rows(items: Items) -> DataFrame:
     """Best pair per basket where the pairs are too many for columns."""
     numbered = [f"named_struct('n', {n}, 'i', {i}, 'j', {j})" for n, (i, j) in enumerate(_pairs(items))]
-    rows = items.rows.selectExpr("basket_id", "quantity", f"array({', '.join(items.names)}) AS prices")
-    spelled = rows.selectExpr("basket_id", "quantity", "prices", f"inline(array({', '.join(numbered)}))")
+    per_basket = "enabled" in items.rows.columns
+    may = [f"array_contains(enabled, {_text(s.id)})" if per_basket else "true" for s in items.stores]
+    rows = items.rows.selectExpr(
+        "basket_id", "quantity", f"array({', '.join(items.names)}) AS prices", f"array({', '.join(may)}) AS may"
+    )
+    spelled = rows.selectExpr(
+        "basket_id", "quantity", "prices", "may", f"inline(array({', '.join(numbered)}))"
+    ).where("get(may, i) AND get(may, j)")
     # A pair counts for an item only when one of its stores sells it.
     cheaper = spelled.selectExpr("basket_id", "n", "quantity", "least(get(prices, i), get(prices, j)) AS cheaper")
     summed = (
