@@ -6,7 +6,8 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-SPACE = r"[\s   -     　﻿]+"
+WHITE = " \t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+SPACE = f"[{WHITE}]+"
 
 
 def _accent_table() -> tuple[str, str]:
@@ -25,14 +26,14 @@ ACCENTED, PLAIN = _accent_table()
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents; a text of plain ASCII has none to take off."""
     bare = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}", "")
-    return F.lower(bare)
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(bare))
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def normalise(text: Column) -> Column:

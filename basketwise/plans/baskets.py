@@ -12,11 +12,12 @@ from basketwise.functions.units import (
     custom_unit,
     filler_prices,
     pack_quantity,
-    read_line,
     split_list,
+    with_quantity,
 )
 from basketwise.operators.baskets import merge_lines
 from basketwise.operators.matching import match_aliases
+from basketwise.session import materialise
 
 
 def list_lines(lists: DataFrame, text: str = "text") -> DataFrame:
@@ -27,20 +28,17 @@ def list_lines(lists: DataFrame, text: str = "text") -> DataFrame:
 
 def read_lines(lines: DataFrame) -> DataFrame:
     """Adds amount, dimension and search term of every written line."""
-    item = read_line(F.col("written"))
-    return lines.select(
-        "*", item.amount.alias("amount"), item.dimension.alias("dimension"), item.term.alias("term")
-    )
+    return with_quantity(lines, "written")
 
 
 def parse_lines(lines: DataFrame, catalog: DataFrame, searchable: DataFrame) -> DataFrame:
     """Basket item of every written line, from the catalog or custom.
 
     ``catalog`` has ean, slug, name, category, unit and pack; ``searchable`` is the
-    same catalog as the alias match reads it. Distinct terms are matched, then joined
-    back to their lines.
+    same catalog as the alias match reads it. Lines are read once and written to the
+    shared folder; their distinct terms are matched, then joined back to them.
     """
-    read = read_lines(lines)
+    read = materialise(read_lines(lines), "read-lines")
     matches = match_aliases(read.select("term"), searchable)
     products = matches.join(searchable.select("catalog_pos", "ean"), "catalog_pos").join(
         catalog.select("ean", "slug", "name", "category", "unit", "pack"), "ean"

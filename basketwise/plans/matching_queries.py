@@ -8,7 +8,7 @@ from basketwise.fixed import BRANDS, SUGGESTIONS_KEPT, UNITS, VARIANT_STEMS
 from basketwise.functions.text import branch_id, first_contained, is_key, normalise, numbers_in, slug
 from basketwise.operators.id_match import ids_to_review, match_offers, match_telemetry
 from basketwise.operators.matching import match_aliases, match_terms, top_unmatched, unmatched_frequency
-from basketwise.operators.plausibility import is_plausible
+from basketwise.operators.plausibility import with_plausibility
 from basketwise.plans.baskets import list_lines, parse_lines, read_lines
 from basketwise.plans.bindings import branches, products, table
 from basketwise.plans.catalogue import query
@@ -428,15 +428,18 @@ def _offers(spark: SparkSession, folder: str) -> DataFrame:
       plausible FROM judged""",
 )
 def plausible_titles(spark: SparkSession, folder: str) -> DataFrame:
-    offers = _offers(spark, folder)
-    title, expected = normalise(F.col("title")), normalise(F.col("expected"))
-    return offers.select(
+    titles = _offers(spark, folder).select("l_partkey", "title", "expected", "p_size").distinct()
+    judged = with_plausibility(
+        titles, F.col("title"), F.col("expected"), F.lit("pz"), F.col("p_size").cast("double")
+    )
+    numbers = F.transform(numbers_in(normalise(F.col("title"))), lambda n: n.cast("string"))
+    return judged.select(
         "l_partkey",
         "title",
-        first_contained(expected, BRANDS).alias("brand"),
-        F.array_join(F.transform(numbers_in(title), lambda n: n.cast("string")), " ").alias("numbers"),
-        is_plausible(F.col("title"), F.col("expected"), F.lit("pz"), F.col("p_size").cast("double")).alias("plausible"),
-    ).distinct()
+        first_contained(normalise(F.col("expected")), BRANDS).alias("brand"),
+        F.array_join(numbers, " ").alias("numbers"),
+        "plausible",
+    )
 
 
 POSITION = "l_orderkey * 1000000 + l_linenumber * 100000 + l_suppkey"

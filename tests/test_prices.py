@@ -22,7 +22,7 @@ from basketwise.operators.coverage import (
     unpriced_products,
 )
 from basketwise.operators.id_match import ids_to_review, match_offers, match_telemetry, unmatched_products
-from basketwise.operators.plausibility import is_plausible
+from basketwise.operators.plausibility import with_plausibility
 from basketwise.operators.validation import classify_cells, sanitise_issues, sanitised, valid_rows, with_problems
 from basketwise.sources.registry import moment
 from basketwise.sources.survey import candidate_periods
@@ -191,7 +191,7 @@ TITLES = [
 def test_plausible_titles(spark):
     rows = [(title, *PRODUCTS[key], want) for key, title, want in TITLES]
     frame = spark.createDataFrame(rows, "title string, name string, unit string, pack double, want boolean")
-    got = frame.select("*", is_plausible(F.col("title"), F.col("name"), F.col("unit"), F.col("pack")).alias("got")).collect()
+    got = with_plausibility(frame, F.col("title"), F.col("name"), F.col("unit"), F.col("pack"), "got").collect()
     assert [(r["name"], r["title"]) for r in got if r["got"] != r["want"]] == []
 
 
