@@ -88,12 +88,16 @@ def price_items(
     with estimated_prices (store -> price), and optionally an ``enabled`` list of store
     ids per basket. Catalog items take the price of their key, custom items their own.
     Custom items do not take part in the join, so their missing keys do not pile up in
-    one task.
+    one task. Product prices are written first: their real size decides whether they are
+    broadcast, and if not, adaptive execution can split a product that most baskets hold,
+    which it does only between plain shuffled inputs.
     """
     chosen = enabled_stores(stores, enabled)
     has_custom = "is_custom" in lines.columns
     catalog_lines = lines.where(~F.col("is_custom")) if has_custom else lines
-    rows = catalog_lines.join(price_rows(prices, chosen), "ean", "left") if chosen else catalog_lines
+    rows = catalog_lines
+    if chosen:
+        rows = rows.join(materialise(price_rows(prices, chosen), "price-rows"), "ean", "left")
     if has_custom:
         own = {}
         for i, store in enumerate(chosen):

@@ -43,7 +43,10 @@ def parse_lines(lines: DataFrame, catalog: DataFrame, searchable: DataFrame) ->
     products = matches.join(searchable.select("catalog_pos", "ean"), "catalog_pos").join(
         catalog.select("ean", "slug", "name", "category", "unit", "pack"), "ean"
     )
-    found = products.select("term", F.struct("ean", "slug", "name", "category", "unit", "pack").alias("p"))
+    found = materialise(
+        products.select("term", F.struct("ean", "slug", "name", "category", "unit", "pack").alias("p")),
+        "found-products",
+    )
     joined = read.join(found, "term", "left")
     custom = F.col("p").isNull()
     packs, note = pack_quantity(
