@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketwise.functions.numbers import from_cents
-from basketwise.operators.baskets import first_items, merge_lines, read_shared, share
+from basketwise.operators.baskets import first_items, merge_lines, read_shared, rehydrate_saved, share
 from basketwise.operators.consolidation import median_prices
 from basketwise.operators.optimise import (
     Items,
@@ -433,3 +433,38 @@ def payload_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return read_shared(shared, catalog).select(
         "basket_id", F.col("position").cast("bigint").alias("position"), "ean", "name", "category", "quantity", "is_custom"
     )
+
+
+@query(
+    "saved_baskets",
+    """WITH m AS (SELECT l_orderkey AS basket_id, l_partkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL)
+    SELECT basket_id, l_partkey AS line, CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_partkey AS VARCHAR) END AS ean,
+      CASE WHEN p_size % 4 = 0 THEN 'saved name' ELSE p_name END AS name,
+      CASE WHEN p_size % 4 = 0 THEN 'despensa' ELSE p_type END AS category,
+      quantity, p_size % 4 = 0 AS is_custom, CASE WHEN p_size % 4 = 0 THEN p_retailprice END AS own_price
+    FROM m JOIN part ON p_partkey = l_partkey""",
+)
+def saved_baskets(spark: SparkSession, folder: str) -> DataFrame:
+    catalog = products(spark, folder)
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("position"), "p_retailprice")
+    merged = table(spark, folder, "lineitem").groupBy(
+        F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("position")
+    ).agg(F.sum("l_quantity").alias("quantity"))
+    # A quarter of the products are no longer in the catalog, half of those by id.
+    gone = F.col("pack.amount") % 4 == 0
+    lost_id = F.when(F.col("pack.amount") % 8 == 0, F.lit("gone"))
+    saved = merged.join(catalog, "position").join(part, "position").select(
+        "basket_id",
+        F.col("position").alias("line"),
+        F.when(gone, lost_id).otherwise(F.col("slug")).alias("catalog_id"),
+        F.lit("saved name").alias("name"),
+        F.lit("despensa").alias("category"),
+        F.lit("kg").alias("unit"),
+        "quantity",
+        F.lit(None).cast("map<string,double>").alias("estimated_prices"),
+        F.create_map(F.lit("asia"), F.col("p_retailprice")).alias("prices"),
+    )
+    own = F.try_element_at("estimated_prices", F.lit("asia"))
+    return rehydrate_saved(saved, catalog).select(
+        "basket_id", "line", "ean", "name", "category", "quantity", "is_custom", own.alias("own_price")
+    )

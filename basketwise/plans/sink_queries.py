@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.operators.consolidation import consolidate, median_prices
+from basketwise.operators.consolidation import consolidate
 from basketwise.operators.validation import with_problems
 from basketwise.plans.bindings import (
     EVENT_OBS,
@@ -21,11 +24,13 @@ from basketwise.plans.bindings import (
     table,
 )
 from basketwise.plans.catalogue import query
+from basketwise.plans.ingest import run_ingest
 from basketwise.session import work_dir
-from basketwise.sinks.dimensions import upsert
+from basketwise.sinks.dimensions import upsert, upsert_report
 from basketwise.sinks.history import first_of_each, insert_or_ignore
 from basketwise.sinks.run_log import run_log
-from basketwise.sinks.snapshot import merge_cells, prices_snapshot
+from basketwise.sinks.snapshot import merge_cells, prices_snapshot, read_snapshot
+from basketwise.sources.registry import Feed, Registry
 from basketwise.streaming.current import read_current, read_medians, start_current, start_medians
 from basketwise.streaming.ingest import file_stream, start_dedupe, start_ingest
 
@@ -110,10 +115,65 @@ def run_log_per_source(spark: SparkSession, folder: str) -> DataFrame:
       CASE WHEN p_size >= 20 THEN 'new' ELSE 'old' END AS version FROM part""",
 )
 def dimension_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    return upsert(*_old_and_new(spark, folder), "p_partkey")
+
+
+def _old_and_new(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Parts up to size 25 as a dimension, parts from size 20 as its update."""
     part = table(spark, folder, "part")
     old = part.where(F.col("p_size") <= 25).select("p_partkey", F.col("p_name").alias("name"), F.lit("old").alias("version"))
     new = part.where(F.col("p_size") >= 20).select("p_partkey", F.upper("p_name").alias("name"), F.lit("new").alias("version"))
-    return upsert(old, new, "p_partkey")
+    return old, new
+
+
+@query(
+    "upsert_counts",
+    """SELECT count(*) FILTER (p_size > 25) AS n_inserted, count(*) FILTER (p_size BETWEEN 20 AND 25) AS n_updated,
+      count(*) FILTER (p_size < 20) AS n_kept FROM part""",
+)
+def upsert_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return upsert_report(*_old_and_new(spark, folder), "p_partkey")
+
+
+@dataclass(frozen=True)
+class UncheckedSource:
+    """Unchecked observations that carry one source label."""
+
+    id: str
+    folder: str
+    label: str
+    automatable: bool = True
+    chains: tuple[str, ...] = ()
+
+    @property
+    def name(self) -> str:
+        return f"Source {self.id}"
+
+    def read(self, spark: SparkSession, run_at: datetime) -> Feed:
+        rows = raw_observations(spark, self.folder).where(F.col("source") == self.label)
+        missing = F.lit(None).cast("string")
+        return Feed(
+            rows.select(
+                "ean", "store_id", "branch_id", "price", F.lit("MXN").alias("currency"),
+                F.col("captured_at").try_cast("timestamp_ntz").alias("captured_at"), "source",
+                missing.alias("source_url"), missing.alias("raw"),
+            )
+        )
+
+
+@query(
+    "ingest_run",
+    f"""WITH {RAW}, obs AS (SELECT ean, store_id, price FROM problems
+      WHERE len(list_filter(problems, lambda p: p <> 'invalid_date')) = 0), {MEDIANS}
+    SELECT ean, store_id, price, 'AF+AO+NF+NO+RF+RO+unnamed' AS sources FROM medians""",
+)
+def ingest_run(spark: SparkSession, folder: str) -> DataFrame:
+    root = work_dir(spark, "ingest-run")
+    labels = ["AF", "AO", "NF", "NO", "RF", "RO"]
+    sources = [UncheckedSource(label, folder, label) for label in labels] + [UncheckedSource("unnamed", folder, "")]
+    run_ingest(spark, Registry(sources), products(spark, folder), chains(spark, folder), root, datetime(2002, 1, 1))
+    header, cells = read_snapshot(spark, f"{root}/snapshot")
+    return cells.select("ean", "store_id", "price", header.select("source").scalar().alias("sources"))
 
 
 EVENT_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from basketwise.fixed import SUGGESTIONS_SHOWN
 from basketwise.functions.dates import half_month_index, half_month_label, survey_date
 from basketwise.functions.numbers import round2
 from basketwise.operators.consolidation import median_prices
@@ -24,10 +25,10 @@ from basketwise.sources.price_documents import (
     read_documents,
     with_defaults,
 )
-from basketwise.sources.product_pages import page_offers
-from basketwise.sources.registry import Feed, Registry, covered_stores, union_all
+from basketwise.sources.product_pages import page_feed, page_offers
+from basketwise.sources.registry import Feed, Registry, covered_stores, shown_suggestions, union_all
 from basketwise.sources.search_results import first_offer, response_offers
-from basketwise.sources.survey import latest_period, read_survey, region_rows, survey_feed
+from basketwise.sources.survey import latest_period, read_survey, region_rows, survey_feed, survey_suggestions
 
 # Names under which the chains appear in the survey, one of them not ours.
 SURVEY_NAMES = {
@@ -287,6 +288,53 @@ def offers_in_pages(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(F.col("offer").isNotNull()).select("page_id", "url", "offer.*")
 
 
+def _page_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as the page of a product; some entries lack the product key."""
+    number = F.col("page_id")
+    return table(spark, folder, "pages").select(
+        F.when(number % 10 != 0, number.cast("string")).alias("ean"),
+        F.concat(F.lit("Product "), number).alias("producto"),
+        "url",
+    )
+
+
+@query(
+    "page_observations",
+    """WITH mapped AS (SELECT page_id AS ean_id, url FROM pages WHERE page_id % 10 <> 0)
+    SELECT CAST(ean_id AS VARCHAR) AS ean, 'chedraui' AS store_id,
+      (page_id % 900 + 1) + CASE page_id % 7 WHEN 0 THEN 0.5 WHEN 2 THEN 0.25 WHEN 3 THEN 0.5 ELSE 0 END::DOUBLE AS price,
+      TIMESTAMP '2002-01-01 00:00:00' AS captured_at, mapped.url AS source_url
+    FROM mapped JOIN pages ON pages.url = mapped.url WHERE page_id % 7 NOT IN (4, 6)""",
+)
+def page_observations(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _pages_with_blocks(spark, folder).drop("page_id")
+    observed, _ = page_feed(pages, _page_mapping(spark, folder), "chedraui", as_of())
+    return observed.select("ean", "store_id", "price", "captured_at", "source_url")
+
+
+@query(
+    "suggestions_shown",
+    f"""WITH {SURVEY}, u AS (SELECT p_name || ' | ' || p_brand || ' | ' || p_type || ' ' || p_size AS clave, count(*) AS veces
+        FROM here WHERE {_term_case()} IS NULL GROUP BY ALL ORDER BY veces DESC, clave LIMIT 80),
+    pages_without AS (SELECT 'Product ' || m.page_id || ' (' || m.url || ')' AS clave, 1 AS veces
+        FROM pages m JOIN pages p ON p.url = m.url WHERE m.page_id % 10 <> 0 AND p.page_id % 7 IN (4, 6))
+    SELECT source, clave, veces FROM (SELECT 'profeco' AS source, * FROM u UNION ALL SELECT 'chedraui', * FROM pages_without)
+    ORDER BY veces DESC, source, clave LIMIT 50""",
+)
+def suggestions_shown(spark: SparkSession, folder: str) -> DataFrame:
+    survey = _survey(spark, folder).withColumn("arrival", F.monotonically_increasing_id())
+    _, unmatched = survey_feed(survey, term_table(spark), as_of())
+    pages = _pages_with_blocks(spark, folder).drop("page_id")
+    _, without = page_feed(pages, _page_mapping(spark, folder), "chedraui", as_of())
+    tagged = union_all(
+        [
+            survey_suggestions(unmatched).select("clave", "veces").withColumn("source", F.lit("profeco")),
+            without.withColumn("source", F.lit("chedraui")),
+        ]
+    )
+    return shown_suggestions(tagged, SUGGESTIONS_SHOWN).select("source", "clave", "veces")
+
+
 def _responses(spark: SparkSession, folder: str) -> DataFrame:
     """Events as search responses of three results, valid or not by kind of event."""
     value, number = F.col("value").cast("string"), F.col("event_id").cast("string")

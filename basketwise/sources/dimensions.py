@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.functions.text import branch_id, parser_normalise, slug
+from basketwise.functions.text import branch_id, parser_normalise
 from basketwise.model import BRANCH, CATEGORY, PRODUCT, STORE, Store
 
 # A list of chains is read into the query itself, so its length is checked.
@@ -71,6 +71,3 @@ def search_catalog(products: DataFrame, category: str | None = None, query: str
         found = found.where(in_name | F.contains(F.lower(F.array_join("aliases", " ")), wanted))
     return found
 
-
-def with_slug(products: DataFrame) -> DataFrame:
-    return products.withColumn("slug", slug(F.col("name")))
