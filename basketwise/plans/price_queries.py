@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketwise.operators.consolidation import (
@@ -47,6 +49,7 @@ from basketwise.plans.bindings import (
     table,
 )
 from basketwise.plans.catalogue import query
+from basketwise.plans.views import register_views
 
 
 @query("median_price", f"WITH {OBS}, {MEDIANS} SELECT ean, store_id, price, n_obs, price_min, price_max FROM medians")
@@ -304,3 +307,17 @@ def contract(spark: SparkSession, folder: str) -> DataFrame:
         header, products(spark, folder), chains(spark, folder), _classified(spark, folder), as_of()
     )
     return contract_report(metrics)
+
+
+@query(
+    "current_prices_sql",
+    f"""WITH {OBS}, {LATEST} SELECT store_id, count(*) AS n_products, sum(floor(price * 100 + 0.5)) / 100 AS total,
+      max(captured_at) AS newest FROM latest GROUP BY store_id""",
+)
+def current_prices_sql(spark: SparkSession, folder: str) -> DataFrame:
+    register_views(spark, observations(spark, folder), datetime.fromisoformat(AS_OF))
+    return spark.sql(
+        """SELECT store_id, count(*) AS n_products, sum(CAST(floor(price * 100 + 0.5D) AS DOUBLE)) / 100 AS total,
+             max(captured_at) AS newest
+           FROM current_prices GROUP BY store_id"""
+    )

@@ -201,7 +201,7 @@ def first_usable_source(spark: SparkSession, folder: str) -> DataFrame:
 
     # The database has only unusable prices, so the file behind it counts; the cache is not reached.
     return first_usable(
-        [("supabase", cells("N", -F.col("price"))), ("network", cells("R", F.col("price"))), ("cache", cells("A", F.col("price")))]
+        [("database", cells("N", -F.col("price"))), ("network", cells("R", F.col("price"))), ("cache", cells("A", F.col("price")))]
     ).select("ean", "store_id", "price", "origin")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basketwise.operators.consolidation import latest_prices, medians_of_counts, price_counts
-from basketwise.streaming.ingest import batch_path
+from basketwise.streaming.ingest import READ_AND_STOP, batch_path
 
 COUNTS = "ean string, store_id string, price double, n bigint"
 
@@ -52,22 +52,24 @@ class CountTable:
         return spark.read.schema(COUNTS).parquet(*folders)
 
 
-def _start(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def _start(
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict
+) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def start_current(observations: DataFrame, root: str) -> StreamingQuery:
+def start_current(observations: DataFrame, root: str, trigger: dict = READ_AND_STOP) -> StreamingQuery:
     """Writes the latest row per product and store of every batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         latest_prices(batch).write.mode("overwrite").parquet(batch_path(f"{root}/latest", batch_id))
 
-    return _start(observations, write, f"{root}/_checkpoint/latest")
+    return _start(observations, write, f"{root}/_checkpoint/latest", trigger)
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
@@ -75,7 +77,9 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
     return latest_prices(spark.read.parquet(f"{root}/latest").drop("batch"))
 
 
-def start_medians(observations: DataFrame, root: str, fold_every: int = 100) -> StreamingQuery:
+def start_medians(
+    observations: DataFrame, root: str, fold_every: int = 100, trigger: dict = READ_AND_STOP
+) -> StreamingQuery:
     """Keeps counted prices and writes the medians of the products a batch touched."""
     counts = CountTable(f"{root}/counts", fold_every)
 
@@ -87,7 +91,7 @@ def start_medians(observations: DataFrame, root: str, fold_every: int = 100) ->
         state = counts.read(spark, batch_id).join(touched, ["ean", "store_id"], "left_semi")
         medians_of_counts(_add_up(state)).write.mode("overwrite").parquet(batch_path(f"{root}/medians", batch_id))
 
-    return _start(observations, write, f"{root}/_checkpoint/medians")
+    return _start(observations, write, f"{root}/_checkpoint/medians", trigger)
 
 
 def read_medians(spark: SparkSession, root: str) -> DataFrame:

@@ -18,15 +18,19 @@ def file_stream(spark: SparkSession, folder: str, schema: str, pattern: str, fil
     )
 
 
+# Read what is there and stop. Pass {"processingTime": "1 minute"} to keep running.
+READ_AND_STOP = {"availableNow": True}
+
+
 def batch_path(root: str, batch_id: int) -> str:
     """Folder of one batch; a batch that is run again overwrites its own folder only."""
     return f"{root}/batch={batch_id}"
 
 
 def start_ingest(
-    observations: DataFrame, products: DataFrame, stores: DataFrame, root: str
+    observations: DataFrame, products: DataFrame, stores: DataFrame, root: str, trigger: dict = READ_AND_STOP
 ) -> StreamingQuery:
-    """Checks every batch and writes valid rows and rejects; ends when the input is read."""
+    """Checks every batch and writes valid rows and rejects."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -40,7 +44,7 @@ def start_ingest(
     return (
         observations.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{root}/_checkpoint/ingest")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -57,14 +61,16 @@ def deduplicated(observations: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def start_dedupe(observations: DataFrame, root: str, delay: str = "1 day") -> StreamingQuery:
-    """Writes the stream without repeats; ends when the input is read."""
+def start_dedupe(
+    observations: DataFrame, root: str, delay: str = "1 day", trigger: dict = READ_AND_STOP
+) -> StreamingQuery:
+    """Writes the stream without repeats."""
     return (
         deduplicated(observations, delay)
         .writeStream.format("parquet")
         .option("path", f"{root}/deduped")
         .option("checkpointLocation", f"{root}/_checkpoint/dedupe")
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )

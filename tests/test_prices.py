@@ -24,6 +24,7 @@ from basketwise.operators.coverage import (
 from basketwise.operators.id_match import ids_to_review, match_offers, match_telemetry, unmatched_products
 from basketwise.operators.plausibility import with_plausibility
 from basketwise.operators.validation import classify_cells, sanitise_issues, sanitised, valid_rows, with_problems
+from basketwise.plans.views import register_views
 from basketwise.sources.registry import moment
 from basketwise.sources.survey import candidate_periods
 
@@ -80,6 +81,14 @@ def test_history_of_a_product(spark):
     assert product_history(observations(spark, *rows), "A", moment(datetime(2025, 1, 20, 12)), 0).count() == 1
 
 
+def test_history_in_sql(spark):
+    rows = [("A", "x", "b", float(d), at(d)) for d in (1, 10, 20, 5)] + [("B", "y", "b", 1.0, at(20))]
+    register_views(spark, observations(spark, *rows), datetime(2025, 1, 20, 12))
+    assert [r["price"] for r in spark.sql("SELECT * FROM price_history('A', 10) ORDER BY captured_at").collect()] == [10, 20]
+    assert spark.sql("SELECT * FROM price_history('A')").count() == 4
+    assert {(r["ean"], r["price"]) for r in spark.table("current_prices").collect()} == {("A", 20), ("B", 1)}
+
+
 def dims(spark):
     products = spark.createDataFrame([("A", "Milk"), ("B", "Eggs")], "ean string, name string")
     stores = spark.createDataFrame([("aurrera",), ("walmart",)], "store_id string")
