@@ -1,7 +1,8 @@
 """Current prices and medians kept up to date from a stream.
 
 Every batch writes what it changed to a folder of its own, so a batch that is run again
-after a failure replaces the same rows. Readers take the newest row per key.
+after a failure replaces the same rows. From time to time the folders are folded into
+one, so neither a batch nor a reader has to go through the whole past.
 """
 
 from __future__ import annotations
@@ -15,41 +16,72 @@ from pyspark.sql.streaming import StreamingQuery
 from basketwise.operators.consolidation import latest_prices, medians_of_counts, price_counts
 from basketwise.streaming.ingest import READ_AND_STOP, batch_path
 
-COUNTS = "ean string, store_id string, price double, n bigint"
+FOLD_EVERY = 100
 
 
-def _add_up(counts: DataFrame) -> DataFrame:
+def add_up(counts: DataFrame) -> DataFrame:
+    """Counted prices of several batches as one."""
     return counts.groupBy("ean", "store_id", "price").agg(F.sum("n").alias("n"))
 
 
+def newest(rows: DataFrame) -> DataFrame:
+    """The row of the last batch per product and store."""
+    values = [c for c in rows.columns if c not in ("ean", "store_id")]
+    kept = rows.groupBy("ean", "store_id").agg(F.max_by(F.struct(*values), "as_of_batch").alias("row"))
+    return kept.select("ean", "store_id", "row.*")
+
+
 @dataclass(frozen=True)
-class CountTable:
-    """Counted prices of a stream: one folder per batch, folded every so many batches.
+class BatchTable:
+    """A table that grows by batches, with a rule that folds many batches into one.
 
     Which folders make up the state of a batch follows from its number alone, so a batch
-    reads the same state whenever it runs. A batch reads one folded folder and at most
-    ``every`` recent ones, whatever the length of the stream.
+    reads the same state whenever it runs: one folded folder and at most ``every``
+    recent ones, whatever the length of the stream. Folders before the last fold may be
+    removed.
     """
 
     root: str
-    every: int = 100
+    fold: Callable[[DataFrame], DataFrame]
+    every: int = FOLD_EVERY
+
+    def recent(self, batch_id: int) -> str:
+        return batch_path(f"{self.root}/recent", batch_id)
 
     def _folded(self, batch_id: int) -> str:
         return f"{self.root}/folded/before={batch_id}"
 
-    def append(self, batch_id: int, counts: DataFrame) -> None:
+    def append(self, batch_id: int, rows: DataFrame) -> None:
         if batch_id and batch_id % self.every == 0:
-            spark = counts.sparkSession
-            _add_up(self.read(spark, batch_id - 1)).write.mode("overwrite").parquet(self._folded(batch_id))
-        counts.write.mode("overwrite").parquet(batch_path(f"{self.root}/recent", batch_id))
+            self.read(rows.sparkSession, batch_id - 1).write.mode("overwrite").parquet(self._folded(batch_id))
+        rows.write.mode("overwrite").parquet(self.recent(batch_id))
 
-    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Counts up to and including a batch."""
+    def rows(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Rows that make up the state after a batch, not yet folded."""
         start = batch_id - batch_id % self.every
-        folders = [batch_path(f"{self.root}/recent", b) for b in range(start, batch_id + 1)]
+        folders = [self.recent(b) for b in range(start, batch_id + 1)]
         if start:
             folders.append(self._folded(start))
-        return spark.read.schema(COUNTS).parquet(*folders)
+        return spark.read.parquet(*folders)
+
+    def read(self, spark: SparkSession, batch_id: int | None = None) -> DataFrame:
+        """State after a batch, by default the last one written."""
+        if batch_id is None:
+            batch_id = spark.read.parquet(f"{self.root}/recent").agg(F.max("batch")).first()[0]
+        return self.fold(self.rows(spark, batch_id))
+
+
+def current_table(root: str, every: int = FOLD_EVERY) -> BatchTable:
+    """Latest rows; a late row never replaces a newer one."""
+    return BatchTable(f"{root}/latest", latest_prices, every)
+
+
+def count_table(root: str, every: int = FOLD_EVERY) -> BatchTable:
+    return BatchTable(f"{root}/counts", add_up, every)
+
+
+def median_table(root: str, every: int = FOLD_EVERY) -> BatchTable:
+    return BatchTable(f"{root}/medians", newest, every)
 
 
 def _start(
@@ -63,40 +95,37 @@ def _start(
     )
 
 
-def start_current(observations: DataFrame, root: str, trigger: dict = READ_AND_STOP) -> StreamingQuery:
+def start_current(
+    observations: DataFrame, root: str, every: int = FOLD_EVERY, trigger: dict = READ_AND_STOP
+) -> StreamingQuery:
     """Writes the latest row per product and store of every batch."""
+    table = current_table(root, every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_prices(batch).write.mode("overwrite").parquet(batch_path(f"{root}/latest", batch_id))
+        table.append(batch_id, latest_prices(batch))
 
     return _start(observations, write, f"{root}/_checkpoint/latest", trigger)
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """Latest row per product and store; a late row never replaces a newer one."""
-    return latest_prices(spark.read.parquet(f"{root}/latest").drop("batch"))
+def read_current(spark: SparkSession, root: str, every: int = FOLD_EVERY) -> DataFrame:
+    return current_table(root, every).read(spark)
 
 
 def start_medians(
-    observations: DataFrame, root: str, fold_every: int = 100, trigger: dict = READ_AND_STOP
+    observations: DataFrame, root: str, every: int = FOLD_EVERY, trigger: dict = READ_AND_STOP
 ) -> StreamingQuery:
     """Keeps counted prices and writes the medians of the products a batch touched."""
-    counts = CountTable(f"{root}/counts", fold_every)
+    counts, medians = count_table(root, every), median_table(root, every)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counts.append(batch_id, price_counts(batch))
-        recent = spark.read.schema(COUNTS).parquet(batch_path(f"{counts.root}/recent", batch_id))
-        touched = recent.select("ean", "store_id").distinct()
-        state = counts.read(spark, batch_id).join(touched, ["ean", "store_id"], "left_semi")
-        medians_of_counts(_add_up(state)).write.mode("overwrite").parquet(batch_path(f"{root}/medians", batch_id))
+        touched = spark.read.parquet(counts.recent(batch_id)).select("ean", "store_id").distinct()
+        cells = add_up(counts.rows(spark, batch_id).join(touched, ["ean", "store_id"], "left_semi"))
+        medians.append(batch_id, medians_of_counts(cells).withColumn("as_of_batch", F.lit(batch_id)))
 
     return _start(observations, write, f"{root}/_checkpoint/medians", trigger)
 
 
-def read_medians(spark: SparkSession, root: str) -> DataFrame:
-    """Newest median per product and store."""
-    rows = spark.read.parquet(f"{root}/medians")
-    values = [c for c in rows.columns if c not in ("ean", "store_id", "batch")]
-    newest = rows.groupBy("ean", "store_id").agg(F.max_by(F.struct(*values), "batch").alias("row"))
-    return newest.select("ean", "store_id", "row.*")
+def read_medians(spark: SparkSession, root: str, every: int = FOLD_EVERY) -> DataFrame:
+    return median_table(root, every).read(spark).drop("as_of_batch")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketwise.operators.consolidation import latest_prices, median_prices
-from basketwise.streaming.current import CountTable, read_current, read_medians, start_current, start_medians
+from basketwise.streaming.current import BatchTable, add_up, read_current, read_medians, start_current, start_medians
 from basketwise.streaming.ingest import file_stream, start_dedupe, start_ingest
 
 OBS = "ean string, store_id string, branch_id string, price double, captured_at timestamp_ntz, source string"
@@ -38,22 +38,23 @@ def rows_of(frame):
     return sorted(tuple(r) for r in frame.collect())
 
 
-def test_current_prices(spark, feed, tmp_path):
-    start_current(stream(spark, feed), str(tmp_path)).awaitTermination()
-    assert len(list((tmp_path / "latest").glob("batch=*"))) == 7
+@pytest.mark.parametrize("every", [2, 100])
+def test_current_prices(spark, feed, tmp_path, every):
+    start_current(stream(spark, feed), str(tmp_path), every).awaitTermination()
+    assert len(list((tmp_path / "latest" / "recent").glob("batch=*"))) == 7
     columns = ["ean", "store_id", "price", "captured_at"]
-    assert rows_of(read_current(spark, str(tmp_path)).select(columns)) == rows_of(latest_prices(batch(spark, feed)).select(columns))
+    assert rows_of(read_current(spark, str(tmp_path), every).select(columns)) == rows_of(latest_prices(batch(spark, feed)).select(columns))
 
 
 @pytest.mark.parametrize("every", [2, 100])
 def test_medians(spark, feed, tmp_path, every):
-    start_medians(stream(spark, feed), str(tmp_path), fold_every=every).awaitTermination()
+    start_medians(stream(spark, feed), str(tmp_path), every).awaitTermination()
     columns = ["ean", "store_id", "price", "n_obs", "price_min", "price_max"]
-    assert rows_of(read_medians(spark, str(tmp_path)).select(columns)) == rows_of(median_prices(batch(spark, feed)).select(columns))
+    assert rows_of(read_medians(spark, str(tmp_path), every).select(columns)) == rows_of(median_prices(batch(spark, feed)).select(columns))
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
-    table = CountTable(str(tmp_path), every=2)
+    table = BatchTable(str(tmp_path), add_up, every=2)
     counts = spark.createDataFrame([("A", "x", 1.0, 3)], "ean string, store_id string, price double, n bigint")
     for batch_id in (0, 1, 2, 2, 3):
         table.append(batch_id, counts)
