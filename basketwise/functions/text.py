@@ -25,10 +25,22 @@ def _accent_table() -> tuple[str, str]:
 ACCENTED, PLAIN = _accent_table()
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def fold(text: Column) -> Column:
     """Lower case without accents; a text of plain ASCII has none to take off."""
     bare = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}", "")
-    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(bare))
+    return F.lower(F.when(is_ascii(text), text).otherwise(bare))
+
+
+def collapse(text: Column) -> Column:
+    """Runs of white space as one blank; most texts need no change and skip the pattern."""
+    untidy = ~is_ascii(text)
+    for white in ("  ", "\t", "\n", "\x0b", "\f", "\r"):
+        untidy = untidy | F.contains(text, F.lit(white))
+    return F.when(untidy, F.regexp_replace(text, SPACE, " ")).otherwise(text)
 
 
 def strip(text: Column) -> Column:
@@ -38,7 +50,7 @@ def strip(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Folded, runs of white space as one blank, trimmed; null counts as empty."""
-    return F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), SPACE, " "))
+    return F.trim(collapse(fold(F.coalesce(text, F.lit("")))))
 
 
 def parser_normalise(text: Column) -> Column:

@@ -174,9 +174,21 @@ def basket_savings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Savings of every basket together with its best pair."""
+    """Cheapest split, best store, best pair and savings of every basket."""
     items, costs = _optimised(spark, folder)
-    return savings(costs).join(best_pair(costs, items), "basket_id", "left")
+    ids = items.store_ids()
+    return costs.where(F.col("status") == "ok").select(
+        "basket_id",
+        "split_total",
+        F.col("n_split_stores").alias("n_stores"),
+        F.col("best.store_id").alias("best_single_store"),
+        F.col("best.total").alias("best_single_total"),
+        F.get(ids, F.col("pair_first")).alias("pair_store_1"),
+        F.get(ids, F.col("pair_second")).alias("pair_store_2"),
+        "pair_total",
+        F.col("savings_vs_worst").alias("savings"),
+        "savings_pct",
+    )
 
 
 SUMMARY = """
