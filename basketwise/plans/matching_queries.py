@@ -358,7 +358,7 @@ def _title(expected: Column, name: Column, key: Column, size: Column, kind: Colu
 
 OFFERS = rf"""
 titles AS (
-  SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_returnflag, price, p_size, expected, own,
+  SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus, price, p_size, expected, own,
     CASE l_linenumber WHEN 1 THEN upper(expected)
       WHEN 2 THEN expected || ' ' || [{", ".join(f"'{v}'" for v in VARIANT_STEMS)}][p_size % {len(VARIANT_STEMS)} + 1]
       WHEN 3 THEN other || ' ' || expected || ' 6 pack'
@@ -414,6 +414,7 @@ def _offers(spark: SparkSession, folder: str) -> DataFrame:
         "l_linenumber",
         "l_suppkey",
         "l_returnflag",
+        "l_linestatus",
         "p_size",
         "expected",
         price.alias("price"),
@@ -452,7 +453,7 @@ wanted AS (
 offers AS (SELECT *, {POSITION} AS position, CASE WHEN l_returnflag = 'N' THEN NULL ELSE 'W' || (l_partkey + l_suppkey % 2) END AS item
   FROM judged),
 direct AS (
-  SELECT l_partkey, title, price, item FROM (SELECT * FROM offers WHERE l_linenumber % 2 = 1
+  SELECT l_partkey, title, price, item FROM (SELECT * FROM offers WHERE l_linestatus = 'F'
     QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY position) = 1) WHERE plausible),
 by_name AS (SELECT l_partkey, title, price, item FROM offers WHERE plausible
     QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY position) = 1),
@@ -481,12 +482,12 @@ def _matches(spark: SparkSession, folder: str) -> DataFrame:
     )
     found = offers.select(
         F.col("l_partkey").cast("string").alias("ean"),
-        "l_linenumber",
+        "l_linestatus",
         F.expr(POSITION).alias("position"),
         F.struct("title", "price", item.alias("us_item_id")).alias("offer"),
     )
-    # Offers on odd lines answer the id lookup, all of them the name search.
-    return match_offers(wanted, found.where(F.col("l_linenumber") % 2 == 1), found)
+    # Offers of finished lines answer the id lookup, all of them the name search.
+    return match_offers(wanted, found.where(F.col("l_linestatus") == "F"), found)
 
 
 @query("id_then_name", f"WITH {MATCHES} SELECT ean, matched_by, title, price, us_item_id FROM matches")
