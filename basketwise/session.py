@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -27,19 +27,28 @@ def build_session(app: str, cores: int = 8, shuffle_partitions: int | None = Non
     return spark
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared folder the cluster names.
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="basketwise-")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder that holds everything this application writes between steps; its caller may delete it.
 
-    Every executor must reach it, so a machine-local folder is chosen only when the
-    session runs in one process and names none.
+    It lies under spark.checkpoint.dir, which every executor must reach. Only a session that
+    runs in one process may do without that setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="basketwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip(os.sep)}/{purpose}-{uuid.uuid4().hex}"
+        base = _own_folder()
+    return f"{base.rstrip('/')}/basketwise-{spark.sparkContext.applicationId}"
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the run folder."""
+    return f"{run_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialise(frame: DataFrame, purpose: str) -> DataFrame:
