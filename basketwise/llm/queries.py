@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.llm import language_id, sharding, url_reputation, warc
+from basketwise.llm import contamination, language_id, packing, pii, sharding, url_reputation, warc
 from basketwise.llm.common import table
-from basketwise.session import work_dir
+from basketwise.session import materialise, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,48 @@ _ICC = """(SELECT 1 / least(greatest(CASE WHEN sum(n * (n - 1) * mu * (1 - mu))
 )
 def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_reputation.judge(table(spark, folder, "pages"), page_outcomes(spark, folder), URL_RULES)
+
+
+PII_KEY = "basketwise"
+
+
+@query("op5_feistel_pii")
+def feistel_pii(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymise(documents, PII_KEY, kinds="kinds")
+
+
+@query("op1_sum_of_squares_packing")
+def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
+    cut = materialise(packing.pieces(table(spark, folder, "documents")), "pieces")
+    return packing.pack(cut)
+
+
+_WORDS = (
+    "coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])"
+)
+
+
+@query(
+    "op7_positional_decontamination",
+    f"""WITH d AS (SELECT doc_id, text, {_WORDS} AS w FROM documents),
+    i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+    lens AS (SELECT DISTINCT least(len(w), 10) AS n FROM i WHERE len(w) > 0),
+    wins AS (SELECT item_id, least(len(w), 10) AS n, array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') AS win
+      FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(s) WHERE len(w) > 0),
+    dw AS (SELECT doc_id, text, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win
+      FROM d, lens, unnest(range(1, len(w) - n + 2)) AS u(s)),
+    hits AS (SELECT DISTINCT doc_id, text, s, dw.n, item_id FROM dw JOIN wins USING (n, win)),
+    pos AS (SELECT doc_id, text, count(DISTINCT s + k) AS n_hit FROM hits, unnest(range(0, n)) AS u(k) GROUP BY ALL),
+    its AS (SELECT doc_id, text, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hits GROUP BY ALL)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN pos USING (doc_id, text) LEFT JOIN its USING (doc_id, text)""",
+)
+def decontaminated(spark: SparkSession, folder: str) -> DataFrame:
+    marked = contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return marked.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
