@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.llm import contamination, language_id, packing, pii, sharding, url_reputation, warc
+from basketwise.llm import contamination, embedding_dedup, jaccard_join, language_id, packing, pii, quality, sharding, url_reputation, warc
 from basketwise.llm.common import table
 from basketwise.session import materialise, work_dir
 
@@ -168,3 +168,21 @@ def decontaminated(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op3_int8_embedding_dedup")
+def embedding_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op8_weak_label_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    votes = materialise(quality.voted(documents), "votes")
+    model, scorer = quality.train(documents, votes)
+    return quality.score(documents, scorer).select("doc_id", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
+@query("op9_count_vector_jaccard")
+def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
