@@ -110,7 +110,10 @@ def contaminated(
     documents: DataFrame, items: DataFrame, window: int = WINDOW,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """(key, n_words, n_hit, n_items, items) of every document; items are the sorted ids whose windows occur."""
+    """(key, row, n_words, n_hit, n_items, items) of every document; items are the sorted ids whose windows occur.
+
+    row is a hash of id and text that tells rows apart where ids are null or repeated.
+    """
     words = materialise(item_words(items, item_key, item_text), "item-words")
     counts = materialise(term_counts(documents, words.select("term").distinct(), text), "term-counts")
     pairs = materialise(anchors(words, counts, window), "anchors")
@@ -125,7 +128,7 @@ def contaminated(
     rows = index.where("term IS NULL").select("id", "d", "h", F.col("n_words").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return rows.join(seen, ["d", "h"], "left").select(
-        F.col("id").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
+        F.col("id").alias(key), F.col("h").alias("row"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
     )
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -105,33 +106,40 @@ def prefix_length(n: int, similar: tuple[int, int]) -> int:
 
 
 def _describing(size: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, total = Shingler(size), [], 0
 
-        def common() -> Iterator[pd.DataFrame]:
+        def common(like: pa.DataType) -> Iterator[pa.RecordBatch]:
             if held:
                 tokens, counts = np.unique(np.concatenate(held), return_counts=True)
                 some = np.nonzero(counts >= COMMON)[0]
                 some = some[np.argsort(-counts[some], kind="stable")][:REPORTED]
-                yield pd.DataFrame({"kind": 1, "id": None, "n": counts[some], "node": tokens[some].view(np.int64), "point": None})
+                yield out(1, pa.nulls(len(some), like), pa.nulls(len(some), pa.int64()), counts[some], tokens[some].view(np.int64), None)
+
+        def out(kind: int, ids: pa.Array, rows: pa.Array, n, nodes, points) -> pa.RecordBatch:
+            kinds = pa.array(np.full(len(ids), kind, np.int32))
+            points = pa.nulls(len(ids), pa.binary()) if points is None else pa.array(points, pa.binary())
+            columns = [kinds, ids, rows, pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), points]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "id", "row", "n", "node", "point"])
 
+        like = pa.int64()
         for batch in batches:
-            ids, ns, nodes, points = [], [], [], []
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                found = shingler.hashes(text)
-                ids.append(key)
+            ids, rows, texts = batch.columns
+            like = ids.type
+            ns, nodes, points = [], [], []
+            for text in texts:
+                found = shingler.hashes(text.as_py())
                 ns.append(len(found))
                 nodes.append(set_key(found) if len(found) else None)
                 points.append(point(found, GROUPS).tobytes() if len(found) else None)
                 held.append(found)
                 total += len(found)
                 if total > BLOCK:
-                    yield from common()
+                    yield from common(like)
                     held.clear()
                     total = 0
-            nodes = pd.array(nodes, dtype="Int64")
-            yield pd.DataFrame({"kind": 0, "id": pd.array(ids, dtype=batch["id"].dtype), "n": ns, "node": nodes, "point": points})
-        yield from common()
+            yield out(0, ids, rows, ns, nodes, points)
+        yield from common(like)
 
     return run
 
@@ -361,12 +369,12 @@ def _tiles(around: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> D
 def classes_and_links(
     documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: tuple[int, int] = SIMILAR
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, n, node) of every row, (node, n, least, ...) of every class, and links (a, b) that connect the classes."""
+    """(id, row, n, node) of every row, (node, n, least, ...) of every class, and links (a, b) that connect the classes."""
     id_type = documents.schema[key].dataType.simpleString()
-    plain = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    described = plain.mapInPandas(_describing(size), f"kind int, id {id_type}, n long, node long, point binary")
+    plain = documents.select(F.col(key).alias("id"), row_hash(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
+    described = plain.mapInArrow(_describing(size), f"kind int, id {id_type}, row long, n long, node long, point binary")
     described = materialise(described, "sets")
-    rows = described.where("kind = 0").select("id", "n", "node", "point")
+    rows = described.where("kind = 0").select("id", "row", "n", "node", "point")
     classes = rows.where("node IS NOT NULL").groupBy("node", "n").agg(F.min("id").alias("least"), F.first("point").alias("point"))
     classes = materialise(classes, "classes")
     order = described.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(LAST).toPandas()
@@ -392,12 +400,11 @@ def classes_and_links(
     around = materialise(met.where("kind = 1").select("x", "y").distinct(), "around")
     members = stars.union(_tiles(around, classes, similar))
     # A class is fetched through one of its rows.
-    carrier = rows.where("node IS NOT NULL").groupBy("node").agg(F.min(F.col("id")).alias("id"))
+    carrier = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     wanted = materialise(members.join(carrier, "node"), "members")
-    # Texts are sent once per class, not once per cell.
-    ids = wanted.select("id", "node").distinct()
-    texts = plain.join(ids, plain["id"].eqNullSafe(ids["id"])).select("node", "text")
-    texts = materialise(texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["node", "same"]).select("node", "text"), "texts")
+    # Texts are read once per class, not once per cell.
+    texts = plain.select("row", "text").join(wanted.select("row", "node").distinct(), "row")
+    texts = materialise(texts.dropDuplicates(["row"]).select("node", "text"), "texts")
     cells = wanted.select("cell", "side", "node").join(texts, "node")
     parts = max(64, documents.sparkSession.sparkContext.defaultParallelism * 4)
     cells = cells.repartition(parts, "cell").sortWithinPartitions("cell")
@@ -405,23 +412,36 @@ def classes_and_links(
     return rows, classes, links
 
 
-def near_duplicates(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: tuple[int, int] = SIMILAR
-) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: the smallest id that links reach, itself included."""
+def _joined(documents: DataFrame, key: str, text: str, size: int, similar: tuple[int, int]) -> DataFrame:
+    """(id, row, n, root, component_id) of every row; root tells components apart, also where ids are null."""
     rows, classes, links = classes_and_links(documents, key, text, size, similar)
-    roots = materialise(classes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+    roots = classes.select("node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = materialise(roots, "roots")
     lowest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(lowest, "root").select("node", "component_id")
+    named = roots.join(lowest, "root").select("node", "root", "component_id")
     # Rows without a set have a key of their own, so that they spread.
-    own = F.coalesce("node", F.xxhash64("id"))
+    joined = rows.withColumn("node", F.coalesce("node", "row")).join(named, "node", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return rows.withColumn("node", own).join(named, "node", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")
-    )
+    return joined.select("id", "row", "n", F.coalesce("root", "row").alias("root"), component.alias("component_id"))
+
 
+def row_hash(key: Column, text: Column) -> Column:
+    """Tells rows apart by id and text, also where one is null."""
+    return F.xxhash64(key, text)
 
-def representatives(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of which one stays of each component: that of the smallest id, and one row of it."""
-    joined = near_duplicates(documents, key, text)
-    return joined.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
+
+def near_duplicates(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: tuple[int, int] = SIMILAR
+) -> DataFrame:
+    """(key, n_shingles, component_id) of every row: the smallest id that links reach, itself included."""
+    joined = _joined(documents, key, text, size, similar)
+    return joined.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def representatives(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, similar: tuple[int, int] = SIMILAR
+) -> DataFrame:
+    """(row) of the one row that stays of each component, by `row_hash`: that of the smallest id, nulls last."""
+    joined = _joined(documents, key, text, size, similar)
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row"))
+    return joined.groupBy("root").agg(first.alias("first")).select("first.row")

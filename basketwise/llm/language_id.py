@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: First code points of the ranges that tell scripts apart; fixed values of the Unicode blocks.
@@ -48,6 +49,7 @@ LEAST_SHARE = 0.001
 KEPT_WORDS, BLOCK = 200_000, 400_000
 SPANS = "array<struct<lang:string,first_word:int,words:int>>"
 
+_SPAN = pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("words", pa.int32())])
 _STARTS = [start for start, _ in SCRIPT_STARTS]
 
 
@@ -231,11 +233,11 @@ def _labelling(model: Model, switch: float, spans: bool):
             out.append((langs[top], float(share[k, top] / total[k]), found))
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             results: list[tuple] = [("und", 0.0, [])] * len(batch)
-            texts = batch["text"].tolist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             for k in range(0, len(texts) if model.langs else 0, 500):
                 split = [(i, words) for i in range(k, min(k + 500, len(texts))) if texts[i] and (words := texts[i].split())]
                 if len(scorer.ids) > KEPT_WORDS:
@@ -252,17 +254,19 @@ def _labelling(model: Model, switch: float, spans: bool):
                     for (i, _), found in zip(held[a:b], block([x for _, x in held[a:b]], scorer), strict=True):
                         results[i] = found
                     a = b
-            out = batch.drop(columns="text")
-            out["lang_pred"], out["score"] = [r[0] for r in results], [r[1] for r in results]
+            found = [pa.array([r[0] for r in results], pa.string()), pa.array([r[1] for r in results], pa.float64())]
             if spans:
-                out["spans"] = [r[2] for r in results]
-            yield out
+                found.append(pa.array([r[2] for r in results], pa.list_(_SPAN)))
+            names = [*batch.schema.names[:-1], "lang_pred", "score", *(("spans",) if spans else ())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names)
 
     return run
 
 
-def label(rows: DataFrame, model: Model, key: str = "doc_id", text: str = "text", switch: float = SWITCH, spans: bool = True) -> DataFrame:
-    """(key, lang_pred, score, spans): spans are runs of words of one language, in order."""
-    kind = rows.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, lang_pred string, score double" + (f", spans {SPANS}" if spans else "")
-    return rows.select(F.col(key), F.col(text).alias("text")).mapInPandas(_labelling(model, switch, spans), schema)
+def label(
+    rows: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), switch: float = SWITCH, spans: bool = True
+) -> DataFrame:
+    """(*keep, lang_pred, score, spans): spans are runs of words of one language, in order."""
+    kept = [f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in keep]
+    schema = ", ".join([*kept, "lang_pred string", "score double", *([f"spans {SPANS}"] if spans else [])])
+    return rows.select(*keep, F.col(text).alias("labelled text")).mapInArrow(_labelling(model, switch, spans), schema)

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LIMIT = 2048
@@ -66,26 +67,31 @@ def cuts(n: int, limit: int) -> list[tuple[int, int]]:
     return [(0, first), *((start, limit) for start in range(first, n, limit))]
 
 
-def _cutting(key: str, limit: int, keep_ids: bool, vocabulary: str, ranks: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cutting(limit: int, keep_ids: bool, vocabulary: str, ranks: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str | None, list[tuple]] = {}
-            rows, keys = [], []
-            for k, text in zip(batch[key], batch["text"], strict=True):
+            rows, origin = [], []
+            for k, text in enumerate(batch.column(1)):
+                text = text.as_py()
                 found = seen.get(text)
                 if found is None:
                     ids = token_ids(text, vocabulary, ranks)
                     found = []
                     for piece, (start, length) in enumerate(cuts(len(ids), limit)):
                         part = ids[start : start + length].tobytes()
-                        found.append((piece, start, length, zlib.crc32(part), *((part,) if keep_ids else ())))
+                        found.append((piece, start, length, zlib.crc32(part), part if keep_ids else None))
                     seen[text] = found
                 rows += found
-                keys += [k] * len(found)
-            names = ["piece", "start", "length", "ids_crc32", *(("ids",) if keep_ids else ())]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, key, pd.array(keys, dtype=batch[key].dtype) if len(keys) else batch[key].iloc[:0])
-            yield out
+                origin += [k] * len(found)
+            piece, start, length, crc, ids = zip(*rows, strict=True) if rows else ((),) * 5
+            columns = {
+                batch.schema.names[0]: batch.column(0).take(pa.array(origin, pa.int32())), "piece": pa.array(piece, pa.int32()),
+                "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+            }
+            if keep_ids:
+                columns["ids"] = pa.array(ids, pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -103,7 +109,7 @@ def pieces(
     kind = documents.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, {PIECES}" + (", ids binary" if keep_ids else "")
     rows = documents.select(F.col(key), F.col(text).alias("text"))
-    return rows.mapInPandas(_cutting(key, limit, keep_ids, vocabulary, ranks), schema)
+    return rows.mapInArrow(_cutting(limit, keep_ids, vocabulary, ranks), schema)
 
 
 def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
