@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -12,6 +17,24 @@ from basketwise.session import materialise
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, wherever they run; once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{package.name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    # Spark's own file server hands it to the executors.
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -51,6 +74,20 @@ def in_cells(key: str, work: Callable[[pd.DataFrame], pd.DataFrame | None]) -> C
     return run
 
 
+def spread(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Gives places that the links (x, y) connect the smallest label among them."""
+    while True:
+        least = np.minimum(label[x], label[y])
+        if (label[x] == least).all() and (label[y] == least).all():
+            return
+        for side in (x, y):
+            # The root of a tree takes the smaller label too, so that whole trees move.
+            np.minimum.at(label, label[side], least)
+            np.minimum.at(label, side, least)
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 class Forest:
     """Union-find over any keys; the smallest key of a tree is its root."""
 

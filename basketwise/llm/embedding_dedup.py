@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from basketwise.llm.common import components, in_cells
+from basketwise.llm.common import components, in_cells, spread
 from basketwise.session import materialise
 
 THRESHOLD = 0.95
@@ -88,20 +88,6 @@ def tile_links(left: tuple, right: tuple, threshold: float, same: bool) -> Itera
             yield x[sure], y[sure]
 
 
-def spread(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Gives places that the links (x, y) connect the smallest label among them."""
-    while True:
-        least = np.minimum(label[x], label[y])
-        if (label[x] == least).all() and (label[y] == least).all():
-            return
-        for side in (x, y):
-            # The root of a tree takes the smaller label too, so that whole trees move.
-            np.minimum.at(label, label[side], least)
-            np.minimum.at(label, side, least)
-        while (label[label] != label).any():
-            label[:] = label[label]
-
-
 def _comparing(kind: str, threshold: float):
     def tile(row) -> tuple:
         nodes, weights = np.frombuffer(row.nodes, "<i8"), np.frombuffer(row.weights, "<i8")

@@ -11,10 +11,12 @@ an empty table stays empty; further columns pass through.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketwise.llm import contamination, jaccard_join, language_id, packing, pii
-from basketwise.llm.common import table
+from basketwise.llm.common import ship, table
 from basketwise.llm.queries import PII_KEY
 from basketwise.session import materialise
 
@@ -72,12 +74,23 @@ def _once(docs: DataFrame) -> DataFrame:
     return docs.join(again, same, "left_anti").union(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
+def _shipped(stage):
+    """Sees to it that the workers of whichever session runs a stage have the package."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language ID", identify_language),
-    ("n-gram Jaccard join", keep_one_of_each_group),
-    ("benchmark decontamination", decontaminate),
-    ("personal data", replace_personal_data),
-    ("best-fit packing", pack),
+    ("language ID", _shipped(identify_language)),
+    ("n-gram Jaccard join", _shipped(keep_one_of_each_group)),
+    ("benchmark decontamination", _shipped(decontaminate)),
+    ("personal data", _shipped(replace_personal_data)),
+    ("best-fit packing", _shipped(pack)),
 ]
 
 ORACLE_SQL = None
