@@ -155,7 +155,7 @@ class UncheckedSource:
         return Feed(
             rows.select(
                 "ean", "store_id", "branch_id", "price", F.lit("MXN").alias("currency"),
-                F.col("captured_at").try_cast("timestamp_ntz").alias("captured_at"), "source",
+                "captured_at", "source",
                 missing.alias("source_url"), missing.alias("raw"),
             )
         )
@@ -163,8 +163,7 @@ class UncheckedSource:
 
 @query(
     "ingest_run",
-    f"""WITH {RAW}, obs AS (SELECT ean, store_id, price FROM problems
-      WHERE len(list_filter(problems, lambda p: p <> 'invalid_date')) = 0), {MEDIANS}
+    f"""WITH {RAW}, obs AS (SELECT ean, store_id, price FROM problems WHERE len(problems) = 0), {MEDIANS}
     SELECT ean, store_id, price, 'AF+AO+NF+NO+RF+RO+unnamed' AS sources FROM medians""",
 )
 def ingest_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,7 +179,7 @@ EVENT_COLUMNS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return events_as_observations(file_stream(spark, folder, EVENT_COLUMNS, "events.parquet"))
+    return events_as_observations(file_stream(spark, f"{folder}/events.parquet", EVENT_COLUMNS))
 
 
 @query(

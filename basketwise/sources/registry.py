@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 @dataclass(frozen=True)
 class Feed:
-    """What a source delivers: observations in the common shape, and what it could not match."""
+    """What a source delivers: observations in the common shape, and what it could not match.
+
+    ``captured_at`` may be a time or the date as written; checks see an unreadable one.
+    """
 
     observations: DataFrame
     suggestions: DataFrame | None = None

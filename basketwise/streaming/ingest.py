@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basketwise.operators.validation import rejected_rows, valid_rows, with_problems
+from basketwise.sinks.history import first_of_each, new_rows
 
 
-def file_stream(spark: SparkSession, folder: str, schema: str, pattern: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of the parquet files of a folder."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
+    """Stream of a parquet table, be it one file, a folder of part files, or a pattern for either."""
+    # As a pattern the path may name a file too; a plain path would have to be a folder.
+    pattern = path if "*" in path else f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
 
 
 # Read what is there and stop. Pass {"processingTime": "1 minute"} to keep running.
@@ -49,28 +47,29 @@ def start_ingest(
     )
 
 
-def deduplicated(observations: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Stream without repeats of the identity of an observation.
+def start_dedupe(observations: DataFrame, root: str, trigger: dict = READ_AND_STOP) -> StreamingQuery:
+    """Writes the stream without repeats of the identity of an observation, however late they come.
 
-    ``captured_at`` must be a timestamp. State older than the delay is dropped; a repeat
-    that comes later than that is caught by the history append.
+    A batch is compared with what earlier batches kept for the same span of capture times, so no
+    state has to be bounded and no late first row is lost. A batch that runs again replaces its own
+    folder.
     """
-    keyed = observations.withColumn("branch_id", F.coalesce("branch_id", F.lit("")))
-    return keyed.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(
-        ["ean", "store_id", "branch_id", "captured_at"]
-    )
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        staged = batch_path(f"{root}/arrived", batch_id)
+        first_of_each(batch).write.mode("overwrite").parquet(staged)
+        new = spark.read.parquet(staged)
+        if batch_id:
+            span = new.agg(F.min("captured_at").alias("since"), F.max("captured_at").alias("until"))
+            kept = spark.read.parquet(f"{root}/deduped").where(F.col("batch") < batch_id)
+            within = F.col("captured_at").between(span.select("since").scalar(), span.select("until").scalar())
+            new = new_rows(kept.where(within), new)
+        new.write.mode("overwrite").parquet(batch_path(f"{root}/deduped", batch_id))
 
-def start_dedupe(
-    observations: DataFrame, root: str, delay: str = "1 day", trigger: dict = READ_AND_STOP
-) -> StreamingQuery:
-    """Writes the stream without repeats."""
     return (
-        deduplicated(observations, delay)
-        .writeStream.format("parquet")
-        .option("path", f"{root}/deduped")
+        observations.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{root}/_checkpoint/dedupe")
-        .outputMode("append")
         .trigger(**trigger)
         .start()
     )

@@ -27,7 +27,7 @@ def feed(spark, tmp_path_factory):
 
 
 def stream(spark, feed):
-    return file_stream(spark, f"{feed}/*", OBS, "*.parquet", files_per_batch=1)
+    return file_stream(spark, f"{feed}/*", OBS, files_per_batch=1)
 
 
 def batch(spark, feed):
@@ -74,8 +74,29 @@ def test_ingest_splits_valid_and_rejected(spark, feed, tmp_path):
 
 
 def test_dedupe(spark, feed, tmp_path):
-    timed = stream(spark, feed).withColumn("captured_at", F.col("captured_at").cast("timestamp"))
-    start_dedupe(timed, str(tmp_path), "30 days").awaitTermination()
+    start_dedupe(stream(spark, feed), str(tmp_path)).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "deduped"))
     keys = batch(spark, feed).select("ean", "store_id", "branch_id", "captured_at").distinct()
     assert got.count() == keys.count()
+
+
+def test_dedupe_keeps_late_first_rows(spark, tmp_path):
+    """One file per batch, days in the wrong order: every distinct row stays."""
+    day = lambda n: datetime(2025, 1, 1) + timedelta(days=n)
+    for n, days in enumerate(([100, 101], [1, 2, 101], [3, 4, 1])):
+        rows = [("A", "x", None if n == 1 else "", 1.0, day(d), "s") for d in days]
+        spark.createDataFrame(rows, OBS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part-{n}"))
+    stream = file_stream(spark, str(tmp_path / "in" / "*"), OBS, files_per_batch=1)
+    start_dedupe(stream, str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "deduped"))
+    assert sorted(r["captured_at"] for r in got.collect()) == [day(d) for d in (1, 2, 3, 4, 100, 101)]
+
+
+def test_streams_read_a_file_and_a_folder_of_part_files(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "x", "", 1.0, datetime(2025, 1, n), "s") for n in range(1, 10)], OBS)
+    rows.repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "file.parquet")
+    for name in ("folder", "file"):
+        start_current(file_stream(spark, str(tmp_path / f"{name}.parquet"), OBS), str(tmp_path / name)).awaitTermination()
+        assert read_current(spark, str(tmp_path / name)).count() == 1
