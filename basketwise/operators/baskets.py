@@ -23,14 +23,18 @@ def merge_lines(lines: DataFrame, keep: list[str], order: list[str | Column]) ->
     )
 
 
+def numbered_lines(lines: DataFrame, order: list[str]) -> DataFrame:
+    """Adds the position of every line in its basket, whatever the number of lines."""
+    return lines.withColumn("position", F.row_number().over(Window.partitionBy("basket_id").orderBy(*order)))
+
+
 def first_items(lines: DataFrame, order: list[str], limit: int = MAX_SHARED_ITEMS) -> DataFrame:
     """The first items of every basket, as many as a shared link holds.
 
     The rank limit is applied before the shuffle, so an oversized basket leaves each
     task with no more rows than the link can hold.
     """
-    ranked = Window.partitionBy("basket_id").orderBy(*order)
-    return lines.withColumn("position", F.row_number().over(ranked)).where(F.col("position") <= limit)
+    return numbered_lines(lines, order).where(F.col("position") <= limit)
 
 
 def share(lines: DataFrame, order: list[str]) -> DataFrame:

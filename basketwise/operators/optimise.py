@@ -5,14 +5,14 @@ A missing price means that nobody knows it, never zero.
 Stores are a short list fixed before the query is built, so the price of an item in
 every store sits in one row (one column per store). All totals of a basket then come
 out of a single aggregation over its items: partial sums leave each task as one row per
-basket, and one shuffle of these rows serves the store totals, the split, the pairs and
-the savings together. No list of items is collected, so a basket may be of any size.
+basket, and one shuffle of these rows serves the store totals, the split and the savings
+together. No list of items is collected, so a basket may be of any size. Pairs of stores
+are decided apart, by the sets of stores that sell an item.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,10 +20,6 @@ from basketwise.functions.numbers import cents, from_cents, is_usable
 from basketwise.model import Store
 from basketwise.session import materialise
 
-# Up to this many stores every pair is a column of the basket row; beyond it the pairs
-# of an item become rows that are summed before the shuffle.
-MAX_STORES_WITH_PAIR_COLUMNS = 12
-
 
 def enabled_stores(stores: list[Store], enabled: list[str] | None) -> list[Store]:
     """Stores to consider, in the order asked for; nothing asked for means all.
@@ -62,7 +58,11 @@ def price_rows(prices: DataFrame, stores: list[Store]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Items:
-    """Basket items with their prices, and the stores those prices belong to."""
+    """Basket items with their prices, and the stores those prices belong to.
+
+    Where baskets ask for stores of their own, position n is the n-th store the basket asks
+    for, so that ties go to the store asked for first; otherwise it is the n-th store.
+    """
 
     rows: DataFrame
     stores: list[Store]
@@ -75,8 +75,16 @@ class Items:
     def names(self) -> list[str]:
         return [f"p{i}" for i in range(len(self.stores))]
 
+    @property
+    def own_stores(self) -> bool:
+        return "enabled" in self.rows.columns
+
     def store_ids(self) -> Column:
-        return F.array(*[F.lit(s.id) for s in self.stores])
+        """Stores by position; needs the column enabled where baskets have stores of their own."""
+        return F.col("enabled") if self.own_stores else F.array(*[F.lit(s.id) for s in self.stores])
+
+    def sql_id(self, position: int) -> str:
+        return f"get(enabled, {position})" if self.own_stores else _text(self.stores[position].id)
 
 
 def price_items(
@@ -88,13 +96,14 @@ def price_items(
     with estimated_prices (store -> price), and optionally an ``enabled`` list of store
     ids per basket. Catalog items take the price of their key, custom items their own.
     Custom items do not take part in the join, so their missing keys do not pile up in
-    one task. Product prices are written first: their real size decides whether they are
+    one task; a line without the flag is a catalog item. Product prices are written first: their real size decides whether they are
     broadcast, and if not, adaptive execution can split a product that most baskets hold,
     which it does only between plain shuffled inputs.
     """
     chosen = enabled_stores(stores, enabled)
     has_custom = "is_custom" in lines.columns
-    catalog_lines = lines.where(~F.col("is_custom")) if has_custom else lines
+    custom = F.coalesce(F.col("is_custom"), F.lit(False)) if has_custom else F.lit(False)
+    catalog_lines = lines.where(~custom) if has_custom else lines
     rows = catalog_lines
     if chosen:
         rows = rows.join(materialise(price_rows(prices, chosen), "price-rows"), "ean", "left")
@@ -103,11 +112,9 @@ def price_items(
         for i, store in enumerate(chosen):
             value = F.try_element_at("estimated_prices", F.lit(store.id))
             own[f"p{i}"] = F.when(is_usable(value), cents(value))
-        rows = rows.unionByName(lines.where(F.col("is_custom")).withColumns(own))
+        rows = rows.unionByName(lines.where(custom).withColumns(own))
     if "enabled" in lines.columns and chosen:
-        rows = rows.withColumns(
-            {f"p{i}": F.when(F.array_contains("enabled", s.id), F.col(f"p{i}")) for i, s in enumerate(chosen)}
-        )
+        rows = _in_order_asked(rows, chosen)
     names = [f"p{i}" for i in range(len(chosen))]
     offered = " + ".join(f"int({p} IS NOT NULL)" for p in names) or "0"
     # least() passes over missing prices; the first store at that price wins ties.
@@ -121,6 +128,21 @@ def price_items(
     )
 
 
+def _in_order_asked(rows: DataFrame, chosen: list[Store]) -> DataFrame:
+    """Moves the prices to the positions of the stores a basket asks for, and drops the others.
+
+    A basket may repeat a store or ask for one that is not enabled at all.
+    """
+    known = F.array(*[F.lit(s.id) for s in chosen])
+    every = F.array(*[F.col(f"p{i}") for i in range(len(chosen))])
+    asked = rows.withColumns({"enabled": F.array_intersect("enabled", known), "_every": every})
+    place = {
+        f"p{i}": F.get("_every", F.array_position(known, F.get("enabled", F.lit(i))).cast("int") - 1)
+        for i in range(len(chosen))
+    }
+    return asked.withColumns(place).drop("_every")
+
+
 def unpriced_items(items: Items) -> DataFrame:
     """Items that no enabled store has a price for."""
     return items.rows.where(F.col("n_offers") == 0)
@@ -168,51 +190,89 @@ def price_comparison(items: Items) -> DataFrame:
     )
 
 
-def _pairs(items: Items) -> list[tuple[int, int]]:
-    return list(combinations(range(len(items.stores)), 2))
-
-
 # Subtotal of a line in whole cents, for a price in cents.
 LINE_CENTS = "CAST(floor({price} * quantity + 0.5D) AS DOUBLE)"
-# Greatest coverage, then lowest total, then earliest pair.
-PAIR = "named_struct('coverage', {coverage}, 'cost', -{total}, 'order', -{number})"
 # Cents, possibly fractional, rounded once to money.
 MONEY = "floor({cents} + 0.5D) / 100.0D"
 
 
-def _pair_columns(items: Items) -> list[str]:
-    columns = []
-    for i, j in _pairs(items):
-        cheaper = f"least(p{i}, p{j})"
-        columns.append(f"count({cheaper}) AS pair_n_{i}_{j}")
-        columns.append(f"sum({LINE_CENTS.format(price=cheaper)}) AS pair_sum_{i}_{j}")
-    return columns
+def _widest_pairs(items: Items) -> DataFrame:
+    """(basket_id, first, second, coverage): the pairs of positions that cover most items of a basket.
+
+    Items are counted by the set of stores that sell them, so a basket has as many sets as
+    its items differ in, never its items. Only stores with prices in the basket come in
+    question, and the first one without, which stands for a second store that adds nothing.
+    """
+    own = [F.col("enabled")] if items.own_stores else []
+    sells = F.array_compact(F.array(*[F.when(p.isNotNull(), F.lit(i)) for i, p in enumerate(items.prices)]))
+    sold = items.rows.where("n_offers > 0").withColumn("sells", sells)
+    counted = sold.groupBy("basket_id", "sells", *own).agg(F.count("*").alias("n"))
+    size = F.size("enabled") if own else F.lit(len(items.stores))
+    baskets = counted.groupBy("basket_id").agg(
+        F.collect_list(F.struct("sells", "n")).alias("sets"),
+        F.array_distinct(F.flatten(F.collect_list("sells"))).alias("sellers"),
+        F.max(size).alias("n_stores"),
+    )
+    idle = F.array_except(F.sequence(F.lit(0), F.col("n_stores") - 1), "sellers")
+    candidates = F.array_sort(F.concat("sellers", F.slice(idle, 1, 1)))
+    pairs = F.flatten(
+        F.transform(
+            "candidates",
+            lambda i: F.transform(F.filter("candidates", lambda j: j > i), lambda j: F.struct(i.alias("first"), j.alias("second"))),
+        )
+    )
+
+    def coverage(pair: Column) -> Column:
+        def add(total: Column, s: Column) -> Column:
+            either = F.array_contains(s["sells"], pair["first"]) | F.array_contains(s["sells"], pair["second"])
+            return total + F.when(either, s["n"]).otherwise(F.lit(0))
+
+        return F.aggregate("sets", F.lit(0).cast("bigint"), add)
+
+    covered = F.transform("pairs", lambda p: F.struct(coverage(p).alias("coverage"), p["first"].alias("first"), p["second"].alias("second")))
+    most = F.array_max(F.transform("covered", lambda p: p["coverage"]))
+    return (
+        baskets.withColumn("candidates", candidates)
+        .withColumn("pairs", pairs)
+        .withColumn("covered", covered)
+        .withColumn("most", most)
+        .select("basket_id", F.explode(F.filter("covered", lambda p: p["coverage"] == F.col("most"))).alias("p"))
+        .select("basket_id", "p.first", "p.second", "p.coverage")
+    )
 
 
-def _best_pairs_by_rows(items: Items) -> DataFrame:
-    """Best pair per basket where the pairs are too many for columns."""
-    numbered = [f"named_struct('n', {n}, 'i', {i}, 'j', {j})" for n, (i, j) in enumerate(_pairs(items))]
-    per_basket = "enabled" in items.rows.columns
-    may = [f"array_contains(enabled, {_text(s.id)})" if per_basket else "true" for s in items.stores]
-    rows = items.rows.selectExpr(
-        "basket_id", "quantity", f"array({', '.join(items.names)}) AS prices", f"array({', '.join(may)}) AS may"
+def best_pair(items: Items) -> DataFrame:
+    """Pair of stores that covers most items, then costs least, then comes first.
+
+    Only the pairs of greatest coverage are priced. Their lines are summed in the tasks
+    before they are shuffled.
+    """
+    wide = _widest_pairs(items)
+    lines = items.rows.where("n_offers > 0").select(
+        "basket_id", "quantity", F.array(*items.prices).alias("prices"), *([F.col("enabled")] if items.own_stores else [])
     )
-    spelled = rows.selectExpr(
-        "basket_id", "quantity", "prices", "may", f"inline(array({', '.join(numbered)}))"
-    ).where("get(may, i) AND get(may, j)")
-    # A pair counts for an item only when one of its stores sells it.
-    cheaper = spelled.selectExpr("basket_id", "n", "quantity", "least(get(prices, i), get(prices, j)) AS cheaper")
-    summed = (
-        cheaper.where("cheaper IS NOT NULL")
-        .groupBy("basket_id", "n")
-        .agg(F.count("*").alias("coverage"), F.expr(f"sum({LINE_CENTS.format(price='cheaper')}) AS total"))
+    priced = lines.join(wide, "basket_id").withColumn("cheaper", F.expr("least(get(prices, first), get(prices, second))"))
+    totals = priced.groupBy("basket_id", "first", "second", "coverage").agg(
+        F.count("*").alias("n_priced"),
+        F.coalesce(F.expr(f"sum({LINE_CENTS.format(price='cheaper')})"), F.lit(0.0)).alias("total"),
+        *([F.any_value("enabled").alias("enabled")] if items.own_stores else []),
+    )
+    best = F.min(F.struct("total", "first", "second", "coverage", "n_priced", *(["enabled"] if items.own_stores else [])))
+    chosen = totals.groupBy("basket_id").agg(best.alias("best")).select("basket_id", "best.*")
+    return chosen.select(
+        "basket_id",
+        _store_id(items, F.col("first")).alias("store_1"),
+        _store_id(items, F.col("second")).alias("store_2"),
+        "coverage",
+        (F.col("n_priced") - F.col("coverage")).alias("n_missing"),
+        (F.col("total") / 100).alias("total"),
+        F.col("first").alias("pair_first"),
+        F.col("second").alias("pair_second"),
     )
-    best = PAIR.format(coverage="coverage", total="total", number="n")
-    return summed.groupBy("basket_id").agg(F.expr(f"max({best}) AS pair"))
 
 
 def basket_costs(items: Items) -> DataFrame:
-    """One row per basket: items, store totals in rank order, split, best pair and savings."""
+    """One row per basket: items, store totals in rank order, split and savings."""
     aggregates = [
         "count(*) AS n_items",
         "count_if(n_offers > 0) AS n_priced",
@@ -227,19 +287,12 @@ def basket_costs(items: Items) -> DataFrame:
             f"sum(CASE WHEN best_position = {i} THEN best_cents * quantity END) AS split_sum_{i}",
             f"min(CASE WHEN best_position = {i} THEN line END) AS split_line_{i}",
         ]
-    wide = len(items.stores) <= MAX_STORES_WITH_PAIR_COLUMNS
-    if wide:
-        aggregates += _pair_columns(items)
-    if "enabled" in items.rows.columns:
-        aggregates += [
-            f"bool_or(array_contains(enabled, {_text(s.id)})) AS may_{i}" for i, s in enumerate(items.stores)
-        ]
+    if items.own_stores:
+        aggregates.append("any_value(enabled) AS enabled")
     costs = items.rows.groupBy("basket_id").agg(*[F.expr(a) for a in aggregates])
     if not items.stores:
         return costs.selectExpr("basket_id", "n_items", "n_priced", "total_units", "'no-stores' AS status")
-    if not wide:
-        costs = costs.join(_best_pairs_by_rows(items), "basket_id", "left")
-    return _decide(costs, items, wide)
+    return _decide(costs, items)
 
 
 def _when(condition: str | None, value: str) -> str:
@@ -253,9 +306,9 @@ def _ranked_stores(items: Items, allowed: list[str | None]) -> str:
             allowed[i],
             f"named_struct('incomplete', n_{i} < n_priced, 'uncovered', -n_{i}, "
             f"'total', {MONEY.format(cents=f'coalesce(sum_{i}, 0.0D)')}, 'position', {i}, "
-            f"'store_id', {_text(s.id)}, 'coverage', n_{i}, 'n_missing', n_priced - n_{i})",
+            f"'store_id', {items.sql_id(i)}, 'coverage', n_{i}, 'n_missing', n_priced - n_{i})",
         )
-        for i, s in enumerate(items.stores)
+        for i in range(len(items.stores))
     ]
     return f"sort_array(array_compact(array({', '.join(structs)})))"
 
@@ -266,32 +319,16 @@ def _ranked_groups(items: Items) -> str:
         _when(
             f"split_n_{i} > 0",
             f"named_struct('cost', -({MONEY.format(cents=f'split_sum_{i}')}), 'first_line', split_line_{i}, "
-            f"'store_id', {_text(s.id)}, 'n_items', split_n_{i})",
+            f"'store_id', {items.sql_id(i)}, 'n_items', split_n_{i})",
         )
-        for i, s in enumerate(items.stores)
+        for i in range(len(items.stores))
     ]
     return f"sort_array(array_compact(array({', '.join(structs)})))"
 
 
-def _chosen_pair(items: Items, allowed: list[str | None], wide: bool) -> str:
-    if not wide:
-        return "pair"
-    structs = []
-    for n, (i, j) in enumerate(_pairs(items)):
-        both = " AND ".join(a for a in (allowed[i], allowed[j]) if a) or None
-        total = f"coalesce(pair_sum_{i}_{j}, 0.0D)"
-        structs.append(_when(both, PAIR.format(coverage=f"pair_n_{i}_{j}", total=total, number=n)))
-    if not structs:
-        return "CAST(NULL AS STRUCT<coverage: BIGINT, cost: DOUBLE, order: INT>)"
-    return f"array_max(array_compact(array({', '.join(structs)})))"
-
-
-def _decide(costs: DataFrame, items: Items, wide: bool) -> DataFrame:
-    """Ranks the stores, the split groups and the pairs of a basket within its row."""
-    allowed = [f"may_{i}" if "may_0" in costs.columns else None for i in range(len(items.stores))]
-    pairs = _pairs(items)
-    firsts = f"CAST(array({', '.join(str(i) for i, _ in pairs)}) AS ARRAY<INT>)"
-    seconds = f"CAST(array({', '.join(str(j) for _, j in pairs)}) AS ARRAY<INT>)"
+def _decide(costs: DataFrame, items: Items) -> DataFrame:
+    """Ranks the stores and the split groups of a basket within its row."""
+    allowed = [f"size(enabled) > {i}" if items.own_stores else None for i in range(len(items.stores))]
     ranked = costs.selectExpr(
         "basket_id",
         "n_items",
@@ -300,7 +337,6 @@ def _decide(costs: DataFrame, items: Items, wide: bool) -> DataFrame:
         f"{MONEY.format(cents='split_sum')} AS split_total",
         f"{_ranked_stores(items, allowed)} AS stores",
         f"{_ranked_groups(items)} AS groups",
-        f"CASE WHEN n_priced > 0 THEN {_chosen_pair(items, allowed, wide)} END AS pair",
     )
     compared = ranked.selectExpr(
         "*",
@@ -329,10 +365,6 @@ def _decide(costs: DataFrame, items: Items, wide: bool) -> DataFrame:
         "worst",
         "split_total",
         "CAST(size(groups) AS BIGINT) AS n_split_stores",
-        f"get({firsts}, -pair.order) AS pair_first",
-        f"get({seconds}, -pair.order) AS pair_second",
-        "pair.coverage AS pair_coverage",
-        "-pair.cost / 100 AS pair_total",
         "savings_vs_worst",
         "floor((best.total - split_total) * 100 + 0.5D) / 100.0D AS savings_vs_best",
         "CAST(CASE WHEN worst.total > 0 THEN floor(savings_vs_worst / worst.total * 100 + 0.5D) ELSE 0 END AS BIGINT)"
@@ -362,12 +394,9 @@ def store_ranking(costs: DataFrame) -> DataFrame:
 
 def missing_items(items: Items) -> DataFrame:
     """Priced items that a store lacks, one row per store and item."""
-    lacking = F.array_compact(
-        F.array(*[F.when(p.isNull(), F.lit(s.id)) for p, s in zip(items.prices, items.stores)])
-    )
+    ids = [F.get(F.col("enabled"), F.lit(i)) if items.own_stores else F.lit(s.id) for i, s in enumerate(items.stores)]
+    lacking = F.array_compact(F.array(*[F.when(p.isNull(), s) for p, s in zip(items.prices, ids)]))
     priced = items.rows.where(F.col("n_offers") > 0)
-    if "enabled" in priced.columns:
-        lacking = F.array_intersect(lacking, F.col("enabled"))
     return priced.select("basket_id", "item_id", F.explode(lacking).alias("store_id"))
 
 
@@ -383,18 +412,6 @@ def split_groups(costs: DataFrame) -> DataFrame:
     )
 
 
-def best_pair(costs: DataFrame, items: Items) -> DataFrame:
-    """Pair of stores that covers most items at the lowest cost."""
-    return _priced(costs).where(F.col("pair_first").isNotNull()).select(
-        "basket_id",
-        _store_id(items, F.col("pair_first")).alias("store_1"),
-        _store_id(items, F.col("pair_second")).alias("store_2"),
-        F.col("pair_coverage").alias("coverage"),
-        (F.col("n_priced") - F.col("pair_coverage")).alias("n_missing"),
-        F.col("pair_total").alias("total"),
-    )
-
-
 def savings(costs: DataFrame) -> DataFrame:
     """What the cheapest split saves, and the store it is measured against."""
     return _priced(costs).select(

@@ -18,18 +18,20 @@ from basketwise.fixed import (
 from basketwise.functions.links import list_line, quantity_text, search_url
 from basketwise.functions.numbers import from_cents, percent, round2
 from basketwise.operators.optimise import Items, cheapest_split, split_groups, unpriced_items
+from basketwise.session import materialise
 
 STRATEGIES = ("split", "two-stores", "single")
 
 
-def shopping_plan(items: Items, costs: DataFrame, pair_fallback: str = "single") -> DataFrame:
-    """Items assigned to a store under each strategy.
+def shopping_plan(items: Items, costs: DataFrame, pairs: DataFrame, pair_fallback: str = "single") -> DataFrame:
+    """Items assigned to a store under each strategy; ``pairs`` comes from ``best_pair``.
 
     Where a basket has no pair, two-stores falls back to the strategy named.
     """
-    choices = costs.where(F.col("status") == "ok").select(
-        "basket_id", F.col("best.position").alias("single_position"), "pair_first", "pair_second"
-    )
+    singles = costs.where(F.col("status") == "ok").select("basket_id", F.col("best.position").alias("single_position"))
+    choices = singles.join(pairs.select("basket_id", "pair_first", "pair_second"), "basket_id", "left")
+    # Written, so that a basket that holds a large part of the lines can be split below.
+    choices = materialise(choices, "plan-choices")
     prices = F.array(*items.prices).cast("array<double>")
     first = F.get("prices", F.col("pair_first"))
     second = F.get("prices", F.col("pair_second"))
@@ -44,7 +46,8 @@ def shopping_plan(items: Items, costs: DataFrame, pair_fallback: str = "single")
         ]
     )
     rows = items.rows.withColumn("prices", prices).join(choices, "basket_id")
-    spelled = rows.select("basket_id", "line", "item_id", "quantity", "prices", F.inline(assigned))
+    own = [F.col("enabled")] if items.own_stores else []
+    spelled = rows.select("basket_id", "line", "item_id", "quantity", "prices", *own, F.inline(assigned))
     price = F.get("prices", F.col("position"))
     return spelled.where(price.isNotNull()).select(
         "basket_id",
@@ -58,11 +61,18 @@ def shopping_plan(items: Items, costs: DataFrame, pair_fallback: str = "single")
     )
 
 
-def store_bars(costs: DataFrame, strategy: str = "split") -> DataFrame:
-    """Store totals against the highest one, and against the cheapest split."""
+def store_bars(costs: DataFrame, strategy: str = "split", pairs: DataFrame | None = None) -> DataFrame:
+    """Store totals against the highest one, and against the cheapest split.
+
+    The strategy two-stores needs the ``pairs`` of ``best_pair``.
+    """
+    pair_total = F.lit(None).cast("double")
+    if pairs is not None:
+        costs = costs.join(pairs.select("basket_id", F.col("total").alias("pair_total")), "basket_id", "left")
+        pair_total = F.col("pair_total")
     active = {
         "split": F.col("split_total"),
-        "two-stores": F.coalesce("pair_total", "best.total"),
+        "two-stores": F.coalesce(pair_total, "best.total"),
         "single": F.col("best.total"),
     }[strategy]
     highest = F.greatest(F.array_max(F.transform("stores", lambda s: s["total"])), active)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from basketwise.functions.numbers import from_cents
-from basketwise.operators.baskets import first_items, merge_lines, read_shared, rehydrate_saved, share
+from basketwise.operators.baskets import merge_lines, numbered_lines, read_shared, rehydrate_saved, share
 from basketwise.operators.consolidation import median_prices
 from basketwise.operators.optimise import (
     Items,
@@ -44,7 +44,10 @@ from basketwise.plans.bindings import (
 from basketwise.plans.catalogue import query
 from basketwise.session import materialise
 
-BASKETS = f"WITH {OBS}, {MEDIANS}, {ITEMS}"
+_CTES = f"{OBS}, {MEDIANS}, {ITEMS}"
+for _name in ("medians", "offers", "priced", "basket_size", "singles", "ranked"):
+    _CTES = _CTES.replace(f"{_name} AS (", f"{_name} AS MATERIALIZED (")
+BASKETS = f"WITH {_CTES}"
 
 
 def _optimised(
@@ -61,8 +64,7 @@ def _optimised(
         sum(l_quantity) OVER (PARTITION BY l_orderkey, l_partkey) AS quantity FROM lineitem),
     m AS (SELECT l_orderkey AS basket_id, CAST(l_partkey AS VARCHAR) AS ean, quantity,
         CAST(l_linenumber AS BIGINT) AS line, l_suppkey AS first_branch FROM r WHERE rn = 1)
-    SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY line, ean) AS position FROM m
-    QUALIFY position <= 60""",
+    SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY line, ean) AS position FROM m""",
 )
 def merged_lines(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(
@@ -73,7 +75,7 @@ def merged_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_suppkey").alias("first_branch"),
     )
     merged = merge_lines(lines, ["first_branch"], ["line", "first_branch"]).withColumnRenamed("catalog_id", "ean")
-    return first_items(merged, ["line", "ean"]).withColumn("position", F.col("position").cast("bigint"))
+    return numbered_lines(merged, ["line", "ean"]).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query(
@@ -153,8 +155,8 @@ best_pairs AS (
 
 @query("best_pair", f"{BASKETS}, {PAIRS} SELECT * FROM best_pairs")
 def pair(spark: SparkSession, folder: str) -> DataFrame:
-    items, costs = _optimised(spark, folder)
-    return best_pair(costs, items)
+    items, _ = _optimised(spark, folder)
+    return best_pair(items).drop("pair_first", "pair_second")
 
 
 SAVINGS = """
@@ -176,15 +178,15 @@ def basket_savings(spark: SparkSession, folder: str) -> DataFrame:
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Cheapest split, best store, best pair and savings of every basket."""
     items, costs = _optimised(spark, folder)
-    ids = items.store_ids()
-    return costs.where(F.col("status") == "ok").select(
+    pairs = best_pair(items).select("basket_id", "store_1", "store_2", F.col("total").alias("pair_total"))
+    return costs.where(F.col("status") == "ok").join(pairs, "basket_id", "left").select(
         "basket_id",
         "split_total",
         F.col("n_split_stores").alias("n_stores"),
         F.col("best.store_id").alias("best_single_store"),
         F.col("best.total").alias("best_single_total"),
-        F.get(ids, F.col("pair_first")).alias("pair_store_1"),
-        F.get(ids, F.col("pair_second")).alias("pair_store_2"),
+        F.col("store_1").alias("pair_store_1"),
+        F.col("store_2").alias("pair_store_2"),
         "pair_total",
         F.col("savings_vs_worst").alias("savings"),
         "savings_pct",
@@ -218,7 +220,7 @@ def items_without_price(spark: SparkSession, folder: str) -> DataFrame:
 # What each priority class of orders asks for: store ids, unknown ones among them.
 REQUESTS = {
     "1-URGENT": ["asia"],
-    "2-HIGH": ["europe", "africa", "atlantis"],
+    "2-HIGH": ["europe", "africa", "atlantis", "america"],
     "3-MEDIUM": [],
     "4-NOT SPECIFIED": ["atlantis"],
 }
@@ -228,16 +230,18 @@ REQUESTS = {
     "enabled_store_subset",
     f"""{BASKETS},
     asked AS (SELECT o_orderkey AS basket_id, CASE o_orderpriority WHEN '1-URGENT' THEN ['asia']
-        WHEN '2-HIGH' THEN ['europe', 'africa', 'atlantis'] WHEN '3-MEDIUM' THEN []
+        WHEN '2-HIGH' THEN ['europe', 'africa', 'atlantis', 'america'] WHEN '3-MEDIUM' THEN []
         WHEN '4-NOT SPECIFIED' THEN ['atlantis'] END AS requested FROM orders),
     may AS (SELECT basket_id, s.store_id FROM asked JOIN stores s
         ON coalesce(len(requested), 0) = 0 OR list_contains(requested, s.store_id)),
-    usable AS (SELECT i.basket_id, i.ean, i.quantity, min(m.price) AS best, count(*) AS n FROM items i
-        JOIN may ON may.basket_id = i.basket_id
-        JOIN medians m ON m.ean = i.ean AND m.store_id = may.store_id GROUP BY ALL)
+    usable AS (SELECT i.basket_id, i.ean, i.quantity, min(m.price) AS best, count(*) AS n,
+        arg_min(m.store_id, (floor(m.price * 100 + 0.5), CASE WHEN len(requested) > 0 THEN list_position(requested, m.store_id) ELSE s.pos END)) AS best_store
+        FROM items i JOIN may ON may.basket_id = i.basket_id JOIN asked ON asked.basket_id = i.basket_id
+        JOIN medians m ON m.ean = i.ean AND m.store_id = may.store_id JOIN stores s ON s.store_id = m.store_id GROUP BY ALL)
     SELECT i.basket_id, any_value(coalesce(n_may, 0)) AS n_stores,
       CASE WHEN any_value(n_may) IS NULL THEN 'no-stores' WHEN count(u.ean) = 0 THEN 'no-prices' ELSE 'ok' END AS status,
-      count(u.ean) AS n_priced, floor(sum(floor(best * 100 + 0.5) * i.quantity) + 0.5) / 100 AS split_total
+      count(u.ean) AS n_priced, floor(sum(floor(best * 100 + 0.5) * i.quantity) + 0.5) / 100 AS split_total,
+      CAST(coalesce(sum(CAST(i.ean AS BIGINT) * (ascii(best_store) + length(best_store))), 0) AS BIGINT) AS split_stores
     FROM items i JOIN asked USING (basket_id)
     LEFT JOIN (SELECT basket_id, count(*) AS n_may FROM may GROUP BY basket_id) k USING (basket_id)
     LEFT JOIN usable u ON u.basket_id = i.basket_id AND u.ean = i.ean
@@ -252,9 +256,13 @@ def per_basket_stores(spark: SparkSession, folder: str) -> DataFrame:
     stores = chain_list(spark, folder)
     allowed = requested_stores(asked, "requested", stores).select("basket_id", "enabled")
     lines = basket_lines(spark, folder).join(allowed, "basket_id")
-    _, costs = optimise(lines, median_prices(observations(spark, folder)), stores)
-    return costs.select(
-        "basket_id", F.size("stores").cast("bigint").alias("n_stores"), "status", "n_priced", "split_total"
+    items, costs = optimise(lines, median_prices(observations(spark, folder)), stores)
+    # Which store every item is bought in, as one number per basket.
+    sign = F.ascii("store_id") + F.length("store_id")
+    bought = cheapest_split(items).groupBy("basket_id").agg(F.sum(F.col("item_id").cast("bigint") * sign).alias("split_stores"))
+    return costs.join(bought, "basket_id", "left").select(
+        "basket_id", F.size("stores").cast("bigint").alias("n_stores"), "status", "n_priced", "split_total",
+        F.coalesce("split_stores", F.lit(0)).alias("split_stores"),
     )
 
 
@@ -305,7 +313,7 @@ def plan(spark: SparkSession, folder: str) -> DataFrame:
         F.col("s_name").alias("branch_name"),
         F.col("s_suppkey").alias("position"),
     )
-    return with_default_branch(shopping_plan(items, costs), rows).drop("line", "branch_name")
+    return with_default_branch(shopping_plan(items, costs, best_pair(items)), rows).drop("line", "branch_name")
 
 
 @query(
@@ -317,7 +325,7 @@ def plan(spark: SparkSession, folder: str) -> DataFrame:
 )
 def plan_totals(spark: SparkSession, folder: str) -> DataFrame:
     items, costs = _optimised(spark, folder, keep=True)
-    per_store = shopping_plan(items, costs).groupBy("basket_id", "strategy", "store_id").agg(
+    per_store = shopping_plan(items, costs, best_pair(items)).groupBy("basket_id", "strategy", "store_id").agg(
         F.count("*").alias("n"), F.sum(F.floor(F.col("subtotal") * 100 + F.lit(0.5)).cast("double")).alias("cents")
     )
     return per_store.groupBy("basket_id", "strategy").agg(
@@ -334,8 +342,7 @@ def plan_totals(spark: SparkSession, folder: str) -> DataFrame:
     FROM priced JOIN part ON CAST(p_partkey AS VARCHAR) = ean""",
 )
 def plan_text(spark: SparkSession, folder: str) -> DataFrame:
-    items, costs = _optimised(spark, folder, keep=True)
-    chosen = shopping_plan(items, costs).where(F.col("strategy") == "split")
+    chosen = cheapest_split(_optimised(spark, folder)[0])
     return plan_lines(chosen, products(spark, folder), chains(spark, folder)).drop("line")
 
 

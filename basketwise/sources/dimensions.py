@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from basketwise.functions.text import branch_id, parser_normalise
 from basketwise.model import BRANCH, CATEGORY, PRODUCT, STORE, Store
 
-# A list of chains is read into the query itself, so its length is checked.
-MAX_STORES = 256
-
 
 @dataclass(frozen=True)
 class Dimensions:
@@ -28,10 +25,11 @@ def load_dimensions(spark: SparkSession, root: str) -> Dimensions:
 
 
 def store_list(stores: DataFrame, order: str) -> list[Store]:
-    """Chains in the order that settles ties; ``stores`` has store_id and name."""
-    rows = stores.select("store_id", "name").orderBy(order).limit(MAX_STORES + 1).collect()
-    if len(rows) > MAX_STORES:
-        raise ValueError(f"more than {MAX_STORES} chains: not a chain list")
+    """Chains in the order that settles ties; ``stores`` has store_id and name.
+
+    They become columns of the queries, so the table is one of chains, not of branches.
+    """
+    rows = stores.select("store_id", "name").orderBy(order).collect()
     return [Store(r["store_id"], r["name"]) for r in rows]
 
 

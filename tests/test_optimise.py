@@ -53,7 +53,8 @@ def test_incomplete_store_does_not_win(spark):
 def test_unpriced_items_and_states(spark):
     items, got = costs(spark, {"A": {"aurrera": 29}}, ("x", "A", 1), ("x", "B", 2), ("y", "B", 1))
     assert (got["x"]["n_items"], got["x"]["n_priced"], got["x"]["total_units"], got["x"]["split_total"]) == (2, 1, 3, 29)
-    assert got["y"]["status"] == "no-prices" and got["y"]["pair_total"] is None
+    assert got["y"]["status"] == "no-prices"
+    assert [r["basket_id"] for r in o.best_pair(items).collect()] == ["x"]
     assert {(r["basket_id"], r["item_id"]) for r in o.unpriced_items(items).collect()} == {("x", "B"), ("y", "B")}
     assert costs(spark, {"A": MILK}, ("x", "A", 1), enabled=["unknown"])[1]["x"]["status"] == "no-stores"
     assert costs(spark, {"A": MILK}, ("x", "A", 1), enabled=[])[1]["x"]["status"] == "ok"
@@ -67,13 +68,13 @@ def test_enabled_stores_limit_and_order(spark):
     same = {"A": {"aurrera": 5, "heb": 5}}
     assert costs(spark, same, ("x", "A", 1))[1]["x"]["best"]["store_id"] == "aurrera"
     assert costs(spark, same, ("x", "A", 1), enabled=["heb", "aurrera"])[1]["x"]["best"]["store_id"] == "heb"
-    assert costs(spark, same, ("x", "A", 1), enabled=["heb"])[1]["x"]["pair_total"] is None
+    assert o.best_pair(costs(spark, same, ("x", "A", 1), enabled=["heb"])[0]).isEmpty()
 
 
 def test_best_pair_prefers_coverage(spark):
     table = {"A": {"aurrera": 10, "chedraui": 11}, "B": {"walmart": 60, "soriana": 58}}
     items, _ = costs(spark, table, ("x", "A", 1), ("x", "B", 1))
-    pair = o.best_pair(o.basket_costs(items), items).first()
+    pair = o.best_pair(items).first()
     assert (pair["store_1"], pair["store_2"], pair["coverage"], pair["total"]) == ("aurrera", "soriana", 2, 68)
 
 
@@ -137,13 +138,10 @@ def brute_pair(table, rows, basket):
     return best
 
 
-@pytest.mark.parametrize("limit", [12, 0])
-def test_pairs_agree_with_brute_force(spark, monkeypatch, limit):
-    """With pair columns, and with pairs as rows for longer store lists."""
-    monkeypatch.setattr(o, "MAX_STORES_WITH_PAIR_COLUMNS", limit)
+def test_pairs_agree_with_brute_force(spark):
     table, rows = random_case(spark, 5)
-    items, found = o.optimise(lines(spark, *rows), prices(spark, table), STORES)
-    got = {r["basket_id"]: r for r in o.best_pair(found, items).collect()}
+    items, _ = o.optimise(lines(spark, *rows), prices(spark, table), STORES)
+    got = {r["basket_id"]: r for r in o.best_pair(items).collect()}
     for basket in {b for b, _, _ in rows}:
         want = brute_pair(table, rows, basket)
         if basket not in got:
@@ -154,9 +152,38 @@ def test_pairs_agree_with_brute_force(spark, monkeypatch, limit):
         assert (row["coverage"], row["total"]) == (-want[0][0], want[0][1] / 100)
 
 
-@pytest.mark.parametrize("limit", [12, 0])
-def test_pairs_stay_within_the_stores_of_a_basket(spark, monkeypatch, limit):
-    monkeypatch.setattr(o, "MAX_STORES_WITH_PAIR_COLUMNS", limit)
+@pytest.mark.parametrize("n_stores", [2, 13, 60])
+def test_any_number_of_stores(spark, n_stores):
+    """Stores without a price, all alike, and one that only a single item is sold in."""
+    many = [Store(f"s{n:03}", f"S{n}") for n in range(n_stores)]
+    table = {"A": {s.id: 5.0 for s in many[1:]}, "B": {many[-1].id: 7.0}, "C": {many[0].id: 1.0}}
+    basket = lines(spark, ("x", "A", 1), ("x", "B", 2), ("x", "C", 1), ("y", "A", 1), ("z", "B", 1))
+    items, found = o.optimise(basket, prices(spark, table), many)
+    pairs = {r["basket_id"]: (r["store_1"], r["store_2"], r["coverage"], r["total"]) for r in o.best_pair(items).collect()}
+    first, last = many[0].id, many[-1].id
+    assert pairs["x"] == (first, last, 3, 20.0)
+    assert pairs["y"] == (first, many[1].id, 1, 5.0) and pairs["z"] == (first, last, 1, 7.0)
+    assert {r["basket_id"]: r["split_total"] for r in found.collect()} == {"x": 20.0, "y": 5.0, "z": 7.0}
+
+
+def test_ties_go_to_the_store_a_basket_asks_for_first(spark):
+    rows = lines(spark, ("x", "A", 1), ("y", "A", 1)).withColumn(
+        "enabled", F.when(F.col("basket_id") == "x", F.array(F.lit("heb"), F.lit("aurrera"))).otherwise(F.array(F.lit("aurrera"), F.lit("heb")))
+    )
+    items, found = o.optimise(rows, prices(spark, {"A": {"aurrera": 5, "heb": 5, "walmart": 1}}), STORES)
+    assert {r["basket_id"]: r["store_id"] for r in o.cheapest_split(items).collect()} == {"x": "heb", "y": "aurrera"}
+    best = {r["basket_id"]: [s["store_id"] for s in r["stores"]] for r in found.collect()}
+    assert best == {"x": ["heb", "aurrera"], "y": ["aurrera", "heb"]}
+    pairs = {r["basket_id"]: (r["store_1"], r["store_2"]) for r in o.best_pair(items).collect()}
+    assert pairs == {"x": ("heb", "aurrera"), "y": ("aurrera", "heb")}
+
+
+def test_lines_without_the_custom_flag_are_catalog_lines(spark):
+    rows = lines(spark, ("x", "A", 1), ("x", "B", 1)).withColumn("is_custom", F.lit(None).cast("boolean"))
+    assert o.price_items(rows, prices(spark, {"A": MILK}), STORES).rows.count() == 2
+
+
+def test_pairs_stay_within_the_stores_of_a_basket(spark):
     asked = spark.createDataFrame([("x", ["heb", "soriana", "mars"]), ("y", ["mars"]), ("z", None)], "basket_id string, asked array<string>")
     allowed = o.requested_stores(asked, "asked", STORES)
     assert {r["basket_id"]: r["status"] for r in allowed.collect()} == {"x": "ok", "y": "no-stores", "z": "ok"}
@@ -164,13 +191,15 @@ def test_pairs_stay_within_the_stores_of_a_basket(spark, monkeypatch, limit):
     items, found = o.optimise(rows, prices(spark, {"A": MILK}), STORES)
     got = {r["basket_id"]: r for r in found.collect()}
     assert got["x"]["split_total"] == 35 and got["y"]["status"] == "no-stores" and got["z"]["split_total"] == 29
-    pair = {r["basket_id"]: r for r in o.best_pair(found, items).collect()}
+    pair = {r["basket_id"]: r for r in o.best_pair(items).collect()}
     assert {pair["x"]["store_1"], pair["x"]["store_2"]} == {"soriana", "heb"} and "y" not in pair
 
 
 def test_rules_that_hold_for_any_basket(spark):
     table, rows = random_case(spark, 11, baskets=60)
-    _, found = o.optimise(lines(spark, *rows), prices(spark, table), STORES)
+    items, found = o.optimise(lines(spark, *rows), prices(spark, table), STORES)
+    pairs = o.best_pair(items).select("basket_id", F.col("total").alias("pair_total"))
+    found = found.join(pairs, "basket_id", "left")
     for r in found.where(F.col("status") == "ok").collect():
         for s in r["stores"]:
             assert s["coverage"] + s["n_missing"] == r["n_priced"]
@@ -182,7 +211,7 @@ def test_rules_that_hold_for_any_basket(spark):
 def test_plan_assigns_items_under_each_strategy(spark):
     table = {"A": {"aurrera": 10, "walmart": 12}, "B": {"walmart": 60, "soriana": 58}}
     items, found = o.optimise(lines(spark, ("x", "A", 1), ("x", "B", 2)), prices(spark, table), STORES)
-    plan = shopping_plan(items, found)
+    plan = shopping_plan(items, found, o.best_pair(items))
     got = {(r["strategy"], r["item_id"]): (r["store_id"], r["subtotal"]) for r in plan.collect()}
     assert got == {
         ("split", "A"): ("aurrera", 10.0), ("split", "B"): ("soriana", 116.0),
@@ -190,7 +219,7 @@ def test_plan_assigns_items_under_each_strategy(spark):
         ("single", "A"): ("walmart", 12.0), ("single", "B"): ("walmart", 120.0),
     }
     one, costs_one = o.optimise(lines(spark, ("x", "A", 1)), prices(spark, table), STORES, ["walmart"])
-    assert {r["store_id"] for r in shopping_plan(one, costs_one, "split").collect()} == {"walmart"}
+    assert {r["store_id"] for r in shopping_plan(one, costs_one, o.best_pair(one), "split").collect()} == {"walmart"}
     bars = {r["store_id"]: r for r in store_bars(found).collect()}
     assert bars["walmart"]["width_pct"] == 100 and bars["aurrera"]["width_pct"] == 15 and bars["walmart"]["is_best"]
     ticked = plan.where("strategy = 'split' AND item_id = 'A'").select("basket_id", "item_id", "store_id")
