@@ -13,6 +13,11 @@ UNITS = {
     "cartera": ("pack", 1), "carteras": ("pack", 1), "six": ("pack", 1), "sixpack": ("pack", 1),
 }
 
+# Word between a quantity and what it counts, and the notes on converted quantities.
+LINK_WORD = "de"
+NOTE_CONVERTED = "pediste %s %s · cada presentación trae %s %s"
+NOTE_GUESSED = "no se pudo convertir %s %s a presentaciones; se asumió 1"
+
 # Dimension measured by each base unit.
 DIMENSION_OF_BASE = {"g": "mass", "ml": "volume", "pz": "count"}
 
@@ -32,10 +37,12 @@ SURVEY_STATE = "queretaro"
 SURVEY_SOURCE = "profeco-qqp"
 SURVEY_WINDOW_HALVES = 24
 SURVEY_OLD_DAYS = 45
+SURVEY_DATE = r"(\d{4})[/-](\d{2})[/-](\d{2})"
 
 # Source labels of the other feeds.
 MANUAL_SOURCE = "captura-manual"
 PAGE_SOURCE = "chedraui-live"
+PAGE_BLOCK = r"""(?i)<script\s+type=["']application/ld\+json["']>([\s\S]*?)</script>"""
 SEARCH_SOURCE = "serpapi-walmart"
 SEARCH_ITEM_URL = "https://www.walmart.com.mx/ip/"
 
@@ -63,6 +70,12 @@ UNIT_WORD_SPELLINGS = {
     ("piezas", "pieza"): r"\b(pz|pza|pzas|pieza|piezas)\b",
 }
 
+# How titles name packs of several.
+COUNTED_PACK = r"\b\d+\s*pack\b"
+COUNTED_PIECES = r"\b\d+\s*pzas?\b"
+MULTIPACK_WORDS = ["6 pack", "4 pack", "12 pack", "c/u"]
+PIECE_WORDS = ["pzas", "piezas"]
+
 # Weights that contradict a 1 kg product.
 NOT_ONE_KILO = ["2 kg", "2kg", "3 kg", "4 kg", "4kg", "500 g"]
 

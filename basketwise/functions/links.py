@@ -58,7 +58,9 @@ def decode_payload(payload: Column) -> Column:
     coded = F.translate(payload, "-_", "+/")
     padded = F.rpad(coded, (F.ceil(F.length(coded) / 4) * 4).cast("int"), F.lit("="))
     readable = padded.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(coded) % 4 != 1)
-    return F.from_json(F.when(readable, F.make_valid_utf8(F.unbase64(padded).cast("string"))), PAYLOAD_SCHEMA)
+    text = F.when(readable, F.make_valid_utf8(F.unbase64(padded).cast("string")))
+    # A lone object would be read as a list of one.
+    return F.from_json(F.when(F.ltrim(text).startswith("["), text), PAYLOAD_SCHEMA)
 
 
 def payload_quantity(written: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
@@ -10,28 +12,38 @@ WHITE = " \t\n\x0b\f\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".joi
 SPACE = f"[{WHITE}]+"
 
 
-def _accent_table() -> tuple[str, str]:
-    """Letters that decompose to one base letter plus marks, and those base letters."""
+@dataclass(frozen=True)
+class Marks:
+    """Marks to take off: their pattern, letters that carry them, and those letters without."""
+
+    pattern: str
+    accented: str
+    plain: str
+
+
+def _marks(pattern: str, is_mark: Callable[[str], bool]) -> Marks:
     accented, plain = [], []
     for code in range(0xC0, 0x2000):
         letter = chr(code)
-        base = "".join(c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c) != "Mn")
+        base = "".join(c for c in unicodedata.normalize("NFD", letter) if not is_mark(c))
         if len(base) == 1 and base != letter:
             accented.append(letter)
             plain.append(base)
-    return "".join(accented), "".join(plain)
+    return Marks(pattern, "".join(accented), "".join(plain))
 
 
-ACCENTED, PLAIN = _accent_table()
+ALL_MARKS = _marks(r"\p{Mn}", lambda c: unicodedata.category(c) == "Mn")
+# The parser and slugs know the combining diacritics of the first block only.
+LATIN_MARKS = _marks(r"[\u0300-\u036F]", lambda c: "\u0300" <= c <= "\u036f")
 
 
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
-def fold(text: Column) -> Column:
+def fold(text: Column, marks: Marks = ALL_MARKS) -> Column:
     """Lower case without accents; a text of plain ASCII has none to take off."""
-    bare = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), r"\p{Mn}", "")
+    bare = F.regexp_replace(F.translate(text, marks.accented, marks.plain), marks.pattern, "")
     return F.lower(F.when(is_ascii(text), text).otherwise(bare))
 
 
@@ -55,12 +67,12 @@ def normalise(text: Column) -> Column:
 
 def parser_normalise(text: Column) -> Column:
     """Folded and trimmed, inner white space kept."""
-    return strip(fold(text))
+    return strip(fold(text, LATIN_MARKS))
 
 
 def slug(text: Column) -> Column:
     """Lower-case words joined by hyphens."""
-    hyphened = F.regexp_replace(fold(text), "[^a-z0-9]+", "-")
+    hyphened = F.regexp_replace(fold(text, LATIN_MARKS), "[^a-z0-9]+", "-")
     return F.regexp_replace(hyphened, "^-+|-+$", "")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from basketwise.functions.links import search_url
 from basketwise.functions.numbers import number, price_in_text, round2
-from basketwise.operators.baskets import first_items, merge_lines, read_shared, rehydrate_saved, share
+from basketwise.operators.baskets import first_items, merge_lines, numbered_lines, read_shared, rehydrate_saved, share
 from basketwise.operators.shopping import store_list_frame, with_default_branch
 from basketwise.plans.baskets import parse_lists
 from basketwise.sources.dimensions import search_catalog, searchable
@@ -90,6 +90,7 @@ def test_shared_baskets_trust_only_the_catalog(spark, catalog):
         ("unknown", encoded([{"c": "nada", "n": "Nada", "q": 1, "x": False}, {"c": "nada", "n": "Pan", "q": 1, "x": True}])),
         ("junk", "%%%not base64%%%"),
         ("not a list", encoded({"c": 1})),
+        ("an object", encoded({"n": "Pan", "u": "pz", "q": 1, "x": True})),
     ]
     rows = read_shared(spark.createDataFrame(shared, "basket_id string, payload string"), catalog).collect()
     by_basket = {}
@@ -115,6 +116,8 @@ def test_share_keeps_at_most_sixty_items(spark, catalog):
     back = read_shared(payload, catalog).collect()
     assert sorted(r["quantity"] for r in back) == [1.0 + n for n in range(60)]
     assert first_items(basket, ["line"], 3).count() == 3
+    # Only a link is cut; a basket keeps all its lines.
+    assert sorted(r["position"] for r in numbered_lines(basket, ["line"]).collect()) == list(range(1, 81))
 
 
 def test_merge_keeps_the_first_line(spark):

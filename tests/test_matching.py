@@ -2,13 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketwise.functions.text import is_key, normalise, parser_normalise, slug
 from basketwise.operators.matching import (
     match_aliases,
     match_terms,
-    match_terms_by_lookup,
     top_unmatched,
     unmatched_frequency,
 )
@@ -88,26 +88,43 @@ def test_term_match_takes_the_first_entry_that_fits(spark):
         ("lala", None),
     ]
     texts = spark.createDataFrame(rows, "written string, want string").withColumn("text", normalise(F.col("written")))
-    for matched in (match_terms(texts, "text", mapping(spark)), match_terms_by_lookup(texts, "text", mapping(spark))):
-        assert all(r["matched_ean"] == r["want"] for r in matched.collect())
-        assert matched.count() == len(rows)
+    matched = match_terms(texts, "text", mapping(spark))
+    assert all(r["matched_ean"] == r["want"] for r in matched.collect())
+    assert matched.count() == len(rows)
 
 
-def test_long_mapping_agrees_with_short_one(spark):
+def brute_terms(text, entries):
+    for _, ean, required, excluded in entries:
+        if required and all(t.strip() in text for t in required) and not any(t.strip() in text for t in excluded):
+            return ean
+    return None
+
+
+@pytest.mark.parametrize("blank", [0.0, 0.15])
+def test_term_match_agrees_with_brute_force(spark, blank):
+    """Terms of any length, blank ones among them, in a mapping longer than one would write."""
     rng = random.Random(3)
-    letters = "abcd "
-    texts = spark.createDataFrame(
-        [("".join(rng.choices(letters, k=rng.randint(0, 40))).strip(),) for _ in range(300)], "text string"
-    ).withColumn("text", normalise(F.col("text")))
-    entries = [
-        (n, str(n), ["".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 3))],
-         ["".join(rng.choices("abcd", k=2)) for _ in range(rng.randint(0, 2))])
-        for n in range(100)
-    ]
-    table = spark.createDataFrame(entries, MAPPING)
-    short = match_terms(texts.distinct(), "text", table).collect()
-    long = match_terms_by_lookup(texts.distinct(), "text", table).collect()
-    assert {r["text"]: r["matched_ean"] for r in short} == {r["text"]: r["matched_ean"] for r in long}
+    term = lambda longest: " " if rng.random() < blank else "".join(rng.choices("abcd", k=rng.randint(1, longest)))
+    texts = {"".join(rng.choices("abcd ", k=rng.randint(0, 40))) for _ in range(300)}
+    texts = {" ".join(t.split()) for t in texts} | {"abcd " * 300 + "end"}
+    entries = [(n, str(n), [term(4) for _ in range(rng.randint(0, 3))], [term(2) for _ in range(rng.randint(0, 2))]) for n in range(300)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["matched_ean"] for r in match_terms(frame, "text", spark.createDataFrame(entries, MAPPING)).collect()}
+    assert got == {t: brute_terms(t, entries) for t in texts}
+
+
+def test_entries_of_blank_terms_only(spark):
+    rows = [(0, "A", ["leche", " "], []), (1, "B", [" "], ["pan"]), (2, "C", [""], []), (3, "D", ["sal"], [""])]
+    texts = spark.createDataFrame([("leche lala",), ("pan",), ("sal",), ("",)], "text string")
+    got = {r["text"]: r["matched_ean"] for r in match_terms(texts, "text", spark.createDataFrame(rows, MAPPING)).collect()}
+    assert got == {"leche lala": "A", "pan": "C", "sal": "B", "": "B"}
+
+
+def test_a_text_is_normalised_at_most_twice(spark):
+    texts = spark.createDataFrame([("Leche",)], "written string").withColumn("text", normalise(F.col("written")))
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    once = plan(texts).count("translate(")
+    assert once <= plan(match_terms(texts, "text", mapping(spark))).count("translate(") <= 2 * once
 
 
 def test_unmatched_texts_are_counted_with_their_first_price(spark):
@@ -118,6 +135,14 @@ def test_unmatched_texts_are_counted_with_their_first_price(spark):
     assert got == [("a", 2, 7.0)]
 
 
+def test_the_parser_keeps_marks_beyond_the_first_block(spark):
+    """An enclosing or later combining mark stays for the parser and cuts a slug; normalise drops it."""
+    text = "a\u0483b\u0301c\u1dc4"
+    frame = spark.createDataFrame([(text,)], "t string")
+    row = frame.select(normalise(F.col("t")), parser_normalise(F.col("t")), slug(F.col("t"))).first()
+    assert tuple(row) == ("abc", "a\u0483bc\u1dc4", "a-bc")
+
+
 def test_text_functions(spark):
     rows = [("  Atún   Ácido\tÑandú ", "atun acido nandu", "atun   acido\tnandu", "atun-acido-nandu"), ("é", "e", "e", "e")]
     frame = spark.createDataFrame(rows, "t string, n string, p string, s string").select(

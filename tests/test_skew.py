@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketwise.model import Store
-from basketwise.operators.matching import match_terms_by_lookup, substrings
-from basketwise.operators.optimise import basket_costs, optimise, price_items
+from basketwise.operators.matching import match_terms, text_runs
+from basketwise.operators.optimise import basket_costs, best_pair, optimise, price_items
 from basketwise.operators.shopping import shopping_plan
 
 STORES = [Store("a", "A"), Store("b", "B")]
@@ -67,7 +67,7 @@ def test_a_hot_product_is_split(spark, small_partitions):
 
 def test_a_hot_basket_is_split_in_its_plan(spark, small_partitions):
     items, costs = optimise(baskets(spark), prices(spark), STORES, keep=True)
-    plan = shopping_plan(items, costs)
+    plan = shopping_plan(items, costs, best_pair(items))
     assert "skew=true" in final_plan(plan)
     assert plan.count() == 3 * 60000
 
@@ -77,7 +77,7 @@ def test_a_hot_text_is_matched_once(spark, small_partitions):
         F.when(F.col("id") % 3 == 0, F.lit("leche lala")).otherwise(F.concat(F.lit("pan "), "id")).alias("text")
     )
     mapping = spark.createDataFrame([(0, "M", ["leche"], []), (1, "P", ["pan 1"], ["9"])], "entry_no int, ean string, requiere array<string>, excluye array<string>")
-    got = {r["matched_ean"]: r["count"] for r in match_terms_by_lookup(rows, "text", mapping).groupBy("matched_ean").count().collect()}
+    got = {r["matched_ean"]: r["count"] for r in match_terms(rows, "text", mapping).groupBy("matched_ean").count().collect()}
     want = sum(1 for i in range(30000) if i % 3 and "pan 1" in f"pan {i}" and "9" not in f"pan {i}")
     assert got["M"] == 10000 and got["P"] == want
 
@@ -85,6 +85,5 @@ def test_a_hot_text_is_matched_once(spark, small_partitions):
 def test_long_texts_are_spelled_out_whole(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(5000)) + "needle at the very end"
     frame = spark.createDataFrame([(1, text), (2, "")], "id int, text string")
-    lengths = F.lit([3, 6]).cast("array<int>")
-    got = {r["part"] for r in substrings(frame, ["id"], "text", lengths, "part").collect()}
-    assert got == {text[i:i + n] for n in (3, 6) for i in range(len(text) - n + 1)}
+    got = {r["run"] for r in text_runs(frame, ["id"], "text", [2, 3]).collect()}
+    assert got == {text[i:i + n] for n in (2, 3) for i in range(len(text) - n + 1)}

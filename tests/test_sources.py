@@ -212,8 +212,7 @@ def test_dimensions(spark, tmp_path):
         spark.createDataFrame([("k", "n")], "id string, name string").write.parquet(str(tmp_path / name))
     assert load_dimensions(spark, str(tmp_path)).categories.first()["name"] == "n"
     many = spark.range(300).selectExpr("string(id) AS store_id", "'n' AS name", "id")
-    with pytest.raises(ValueError):
-        store_list(many, "id")
+    assert [x.id for x in store_list(many, "id")] == [str(n) for n in range(300)]
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     new = spark.createDataFrame([(2, None), (3, "c")], "id int, v string")
     assert {tuple(r) for r in upsert(old, new, "id").collect()} == {(1, "a"), (2, None), (3, "c")}
@@ -324,3 +323,18 @@ def test_suggestions_of_all_sources(spark):
     a = spark.createDataFrame([("k", 3)], "clave string, veces bigint").withColumn("source", F.lit("a"))
     b = spark.createDataFrame([("m", 5), ("n", 1)], "clave string, veces bigint").withColumn("source", F.lit("b"))
     assert [r["clave"] for r in shown_suggestions(union_all([a, b]), 2).collect()] == ["m", "k"]
+
+
+def test_survey_files_go_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("producto,precio,estado\nleche,10,QRO\n")
+    (tmp_path / "b.csv").write_text("precio,producto\n20,pan\n")
+    (tmp_path / "c.csv").write_text("precio,producto\n30,sal\n")
+    rows = read_survey(spark, str(tmp_path)).select("producto", "precio", "estado").collect()
+    assert sorted(tuple(r) for r in rows) == [("leche", "10", "QRO"), ("pan", "20", None), ("sal", "30", None)]
+
+
+def test_a_long_typed_line_is_cut_in_one_pass(spark):
+    plain, quoted = ",".join(["x"] * 20_000), ",".join(['"a, b"'] * 20_000)
+    frame = spark.createDataFrame([(plain,), (quoted,)], "line string")
+    got = frame.select(csv_fields(F.col("line")).alias("f")).collect()
+    assert [len(r["f"]) for r in got] == [20_000, 20_000] and set(got[1]["f"]) == {"a, b"}
