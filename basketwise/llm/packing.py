@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -144,15 +143,14 @@ def pack(cut: DataFrame, key: str = "doc_id", limit: int = LIMIT, group: int = G
     groups = max(1, -(-cut.count() // group))
     dealt = cut.withColumn("grp", F.pmod(F.xxhash64(key, "piece", "ids_crc32", "length"), F.lit(groups)).cast("long"))
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", key, "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+    def work(rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), (key, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        rows = rows.sort_by(order)
         bins, offsets = sum_of_squares(rows["length"].to_numpy(), limit)
-        out = rows.drop(columns="grp")
-        out["sequence_id"] = rows["grp"].to_numpy() * (1 << 32) + bins
-        out["offset"] = offsets
-        return out
+        places = rows["grp"].to_numpy() * (1 << 32) + bins
+        return rows.drop_columns("grp").append_column("sequence_id", pa.array(places)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("grp").applyInPandas(work, ", ".join(_fields(cut)) + ", sequence_id long, offset long")
+    return dealt.groupBy("grp").applyInArrow(work, ", ".join(_fields(cut)) + ", sequence_id long, offset long")
 
 
 def _fields(frame: DataFrame) -> list[str]:
