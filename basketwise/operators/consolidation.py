@@ -63,13 +63,18 @@ def medians_of_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("ean", "store_id").agg(*_spread()).withColumnRenamed("median", "price")
 
 
-def consolidate(observations: DataFrame, ties: tuple[str | Column, ...] = TIES) -> DataFrame:
-    """Median price carried by the row captured last."""
-    merged = (
+def _merged(observations: DataFrame, ties: tuple[str | Column, ...]) -> DataFrame:
+    """Spread of the prices and the row captured last, per product and store."""
+    return (
         price_cells(observations, ties)
         .groupBy("ean", "store_id")
         .agg(*_spread(), F.max_by("_payload", "_order").alias("rep"))
     )
+
+
+def consolidate(observations: DataFrame, ties: tuple[str | Column, ...] = TIES) -> DataFrame:
+    """Median price carried by the row captured last."""
+    merged = _merged(observations, ties)
     kept = [f"rep.{c}" for c in observations.columns if c not in ("ean", "store_id", "price")]
     return merged.select(
         "ean", "store_id", F.col("median").alias("price"), *kept, "n_obs", "price_min", "price_max"
@@ -93,21 +98,19 @@ def latest_prices(observations: DataFrame, ties: tuple[str | Column, ...] = TIES
 
 def median_against_latest(observations: DataFrame) -> DataFrame:
     """Both notions of the current price side by side."""
-    merged = consolidate(observations)
-    latest = latest_prices(observations).select("ean", "store_id", F.col("price").alias("latest_price"))
-    return merged.join(latest, ["ean", "store_id"]).select(
+    return _merged(observations, TIES).select(
         "ean",
         "store_id",
-        F.col("price").alias("median_price"),
-        "latest_price",
-        round2(F.col("latest_price") - F.col("price")).alias("difference"),
+        F.col("median").alias("median_price"),
+        F.col("rep.price").alias("latest_price"),
+        round2(F.col("rep.price") - F.col("median")).alias("difference"),
     )
 
 
 def price_history(
     observations: DataFrame, as_of: Column, days: int = 90, products: DataFrame | None = None
 ) -> DataFrame:
-    """Observations of the last days, at least one day, oldest first.
+    """Observations of the last days, at least one day; in no order, as they may be many.
 
     ``products`` (column ean) restricts the history to a list of products.
     """
@@ -115,9 +118,9 @@ def price_history(
     recent = observations.where(F.col("captured_at") >= since)
     if products is not None:
         recent = recent.join(products.select("ean").distinct(), "ean", "left_semi")
-    return recent.select("ean", "store_id", "price", "captured_at").orderBy("captured_at")
+    return recent.select("ean", "store_id", "price", "captured_at")
 
 
 def product_history(observations: DataFrame, ean: str, as_of: Column, days: int = 90) -> DataFrame:
-    """History of one product."""
-    return price_history(observations.where(F.col("ean") == ean), as_of, days).drop("ean")
+    """History of one product, oldest first."""
+    return price_history(observations.where(F.col("ean") == ean), as_of, days).drop("ean").orderBy("captured_at")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basketwise.fixed import BRANDS, SUGGESTIONS_KEPT, UNITS, VARIANT_STEMS
+from basketwise.fixed import BRANDS, FILLER_BASE, FILLER_FACTORS, SUGGESTIONS_KEPT, UNITS, VARIANT_STEMS
 from basketwise.functions.text import branch_id, first_contained, is_key, normalise, numbers_in, slug
+from basketwise.model import Store
 from basketwise.operators.id_match import ids_to_review, match_offers, match_telemetry
 from basketwise.operators.matching import match_aliases, match_terms, top_unmatched, unmatched_frequency
 from basketwise.operators.plausibility import with_plausibility
-from basketwise.plans.baskets import list_lines, parse_lines, read_lines
-from basketwise.plans.bindings import branches, products, table
+from basketwise.operators.consolidation import median_prices
+from basketwise.operators.optimise import optimise, savings
+from basketwise.plans.baskets import list_lines, parse_lines, parse_lists, read_lines
+from basketwise.plans.bindings import MEDIANS, OBS, branches, observations, products, table
 from basketwise.plans.catalogue import query
 from basketwise.sources.dimensions import search_catalog, searchable
 
@@ -144,9 +147,7 @@ def alias_match(spark: SparkSession, folder: str) -> DataFrame:
     return match_aliases(terms, searchable(products(spark, folder), "position"))
 
 
-@query(
-    "pack_quantity",
-    rf"""WITH written_lines AS (
+PARSED_SQL = rf"""WITH written_lines AS (
       SELECT l_orderkey AS basket_id, l_linenumber AS line,
         CAST(CAST(l_quantity AS BIGINT) * 100 AS VARCHAR) || CASE l_linenumber % 4 WHEN 0 THEN 'g ' WHEN 1 THEN ' ml de ' WHEN 2 THEN ' latas ' ELSE ' ' END || {WRITTEN} AS written
       FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -168,9 +169,11 @@ def alias_match(spark: SparkSession, folder: str) -> DataFrame:
            WHEN dimension = 'count' THEN NULL
            ELSE 'no se pudo convertir ' || CAST(amount AS BIGINT) || CASE dimension WHEN 'mass' THEN ' g' ELSE ' ml' END || ' a presentaciones; se asumió 1' END AS measure_note,
       CASE WHEN is_custom THEN upper(substr(tail, 1, 1)) || substr(tail, 2) END AS custom_name
-    FROM found""",
-)
-def pack_quantities(spark: SparkSession, folder: str) -> DataFrame:
+    FROM found"""
+
+
+def _written_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines the way people write them."""
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_size")
     ways = F.array(*[F.lit(w) for w in ("g ", " ml de ", " latas ", " ")])
     written = F.concat(
@@ -178,9 +181,14 @@ def pack_quantities(spark: SparkSession, folder: str) -> DataFrame:
         F.get(ways, (F.col("l_linenumber") % 4).cast("int")),
         _written_term(F.col("p_name"), F.col("p_size")),
     )
-    lines = table(spark, folder, "lineitem").join(part, "l_partkey").select(
+    return table(spark, folder, "lineitem").join(part, "l_partkey").select(
         F.col("l_orderkey").alias("basket_id"), F.col("l_linenumber").cast("bigint").alias("line"), written.alias("written")
     )
+
+
+@query("pack_quantity", PARSED_SQL)
+def pack_quantities(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _written_lines(spark, folder)
     catalog = products(spark, folder)
     parsed = parse_lines(lines, catalog, searchable(catalog, "position"))
     return parsed.select(
@@ -195,6 +203,55 @@ def pack_quantities(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Chains under which the regions sell; the last one has no region.
+LIST_STORES = {"africa": "aurrera", "america": "chedraui", "asia": "walmart", "europe": "lacomer", "middle east": "heb", "": "soriana"}
+_NAMES = ", ".join(f"('{region}', '{store}', {n})" for n, (region, store) in enumerate(LIST_STORES.items()))
+_FILLERS = ", ".join(f"('{s}', {int(FILLER_BASE * f * 10 + 0.5) / 10})" for s, f in FILLER_FACTORS.items())
+
+
+@query(
+    "list_savings",
+    f"""WITH {OBS}, {MEDIANS}, parsed AS ({PARSED_SQL}), names(region, store_id, pos) AS (VALUES {_NAMES}),
+    fillers(store_id, price) AS (VALUES {_FILLERS}),
+    items AS MATERIALIZED (
+      SELECT basket_id, ean AS item, ean, sum(quantity) AS quantity, min(line) AS first_line FROM parsed WHERE NOT is_custom GROUP BY basket_id, ean
+      UNION ALL SELECT basket_id, 'line ' || row_number() OVER (), NULL, quantity, line FROM parsed WHERE is_custom),
+    stores AS (SELECT store_id, pos FROM names),
+    offers AS MATERIALIZED (
+      SELECT basket_id, item, quantity, n.store_id, pos, price FROM items JOIN medians USING (ean) JOIN names n ON n.region = medians.store_id
+      UNION ALL SELECT basket_id, item, quantity, store_id, pos, price FROM items JOIN fillers ON ean IS NULL JOIN stores USING (store_id)),
+    priced AS MATERIALIZED (SELECT basket_id, item, quantity, min(price) AS best_price FROM offers GROUP BY ALL),
+    basket_size AS (SELECT basket_id, count(*) AS n_priced, floor(sum(floor(best_price * 100 + 0.5) * quantity) + 0.5) / 100 AS split_total
+      FROM priced GROUP BY basket_id),
+    singles AS (SELECT b.basket_id, s.store_id, s.pos, any_value(b.n_priced) AS n_priced, count(o.item) AS coverage,
+        floor(coalesce(sum(floor(o.price * 100 + 0.5) * o.quantity), 0) + 0.5) / 100 AS total
+      FROM basket_size b CROSS JOIN stores s LEFT JOIN offers o ON o.basket_id = b.basket_id AND o.store_id = s.store_id GROUP BY ALL),
+    ranked AS (SELECT *, coverage = n_priced AS is_complete,
+        row_number() OVER (PARTITION BY basket_id ORDER BY coverage = n_priced DESC, coverage DESC, total, pos) AS rank FROM singles),
+    worst AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY is_complete DESC, total DESC, rank) = 1)
+    SELECT s.basket_id, n_priced, split_total, b.store_id AS best_store, b.total AS best_total, w.store_id AS baseline_store,
+      floor((w.total - split_total) * 100 + 0.5) / 100 AS savings_vs_worst
+    FROM (SELECT basket_id, n_priced, split_total FROM basket_size) s JOIN (SELECT basket_id, store_id, total FROM ranked WHERE rank = 1) b USING (basket_id)
+    JOIN (SELECT basket_id, store_id, total FROM worst) w USING (basket_id)""",
+)
+def list_savings(spark: SparkSession, folder: str) -> DataFrame:
+    """From written lists to savings, with items outside the catalog at their filler prices."""
+    lines = _written_lines(spark, folder)
+    ordered = F.array_sort(F.collect_list(F.struct("line", "written")))
+    text = F.array_join(F.transform(ordered, lambda x: x["written"]), "\n")
+    lists = lines.groupBy("basket_id").agg(text.alias("text"))
+    catalog = products(spark, folder)
+    baskets = parse_lists(lists, catalog, searchable(catalog, "position"))
+    baskets = baskets.withColumn("item_id", F.coalesce("ean", F.concat(F.lit("line "), "line")))
+    medians = median_prices(observations(spark, folder))
+    named = F.create_map(*[F.lit(x) for pair in LIST_STORES.items() for x in pair])
+    prices = medians.withColumn("store_id", F.element_at(named, F.col("store_id")))
+    _, costs = optimise(baskets, prices, [Store(s, s.title()) for s in LIST_STORES.values()])
+    return savings(costs).join(costs.select("basket_id", "n_priced"), "basket_id").select(
+        "basket_id", "n_priced", "split_total", "best_store", "best_total", "baseline_store", "savings_vs_worst"
+    )
+
+
 @query(
     "catalog_search",
     """SELECT CAST(p_partkey AS VARCHAR) AS ean, p_name AS name FROM part

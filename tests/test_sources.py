@@ -338,3 +338,12 @@ def test_a_long_typed_line_is_cut_in_one_pass(spark):
     frame = spark.createDataFrame([(plain,), (quoted,)], "line string")
     got = frame.select(csv_fields(F.col("line")).alias("f")).collect()
     assert [len(r["f"]) for r in got] == [20_000, 20_000] and set(got[1]["f"]) == {"a, b"}
+
+
+def test_snapshots_of_the_same_time_are_versions_of_their_own(spark, tmp_path):
+    cells = spark.createDataFrame([("A", "x", 1.0, NOW)], "ean string, store_id string, price double, captured_at timestamp_ntz")
+    first = write_snapshot(spark, str(tmp_path), cells, "a", "A", NOW, partial=False)
+    second = write_snapshot(spark, str(tmp_path), cells.withColumn("ean", F.lit("B")), "b", "B", NOW, partial=True)
+    header, found = read_snapshot(spark, str(tmp_path))
+    assert first < second == header.first()["version"] and header.first()["source"] == "a+b"
+    assert {r["ean"] for r in found.collect()} == {"A", "B"}
