@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from basketwise.fixed import SUGGESTIONS_SHOWN
+from basketwise.fixed import SUGGESTIONS_SHOWN, SURVEY_CHAINS
 from basketwise.functions.dates import half_month_index, half_month_label, survey_date
 from basketwise.functions.numbers import round2
 from basketwise.operators.consolidation import median_prices
 from basketwise.operators.validation import classify_cells, sanitised
 from basketwise.plans.bindings import MEDIANS, OBS, as_of, chains, lines_with_chain, observations, products, table
 from basketwise.plans.catalogue import query
-from basketwise.plans.matching_queries import _term_case, term_table
+from basketwise.plans.ingest import run_ingest
+from basketwise.plans.matching_queries import TERMS, _term_case, term_table
 from basketwise.session import work_dir
 from basketwise.sinks.snapshot import merge_labels, merge_sources
+from basketwise.sources.feeds import ManualSource, PageSource, SearchSource, SurveySource
 from basketwise.sources.manual import manual_rows, read_manual
 from basketwise.sources.price_documents import (
     document_cells,
@@ -106,6 +109,28 @@ def survey_csv(spark: SparkSession, folder: str) -> DataFrame:
     return observed.select("ean", "store_id", "branch_id", "price", "captured_at")
 
 
+def _typed_files(spark: SparkSession, folder: str) -> str:
+    """Folder of files with the line items as someone might type them."""
+    path = work_dir(spark, "manual")
+    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + F.lit(0.5)) / F.lit(100.0)
+    # Line 7 of an order becomes a comment, some fields are left out or misspelt.
+    comment = F.when(F.col("l_linenumber") == 7, F.lit(" # ")).otherwise(F.lit(""))
+    typed = lines_with_chain(spark, folder).select(
+        F.concat(comment, F.when(F.col("l_tax") == 0.08, F.lit("")).otherwise(F.col("l_partkey").cast("string"))).alias("EAN"),
+        F.col("store_id").alias("Store_Id"),
+        F.when(F.col("l_discount") == 0.1, F.lit("n/a")).otherwise(price.cast("string")).alias("PRICE"),
+        F.when(F.col("l_linenumber") == 5, F.lit("ayer"))
+        .when(F.col("l_linenumber") == 6, F.lit(""))
+        .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+        .alias("Captured_At"),
+        F.concat(F.lit("Branch "), "l_suppkey", F.lit(', "main"')).alias("branch"),
+        F.lit("typed").alias("note"),
+    )
+    writer = typed.write.option("header", True).option("escape", '"').option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).csv(path)
+    return path
+
+
 @query(
     "manual_csv",
     """WITH typed AS (
@@ -124,24 +149,7 @@ def survey_csv(spark: SparkSession, folder: str) -> DataFrame:
     FROM typed GROUP BY ALL""",
 )
 def manual_csv(spark: SparkSession, folder: str) -> DataFrame:
-    path = work_dir(spark, "manual")
-    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + F.lit(0.5)) / F.lit(100.0)
-    # Line 7 of an order becomes a comment, some fields are left out or misspelt.
-    comment = F.when(F.col("l_linenumber") == 7, F.lit(" # ")).otherwise(F.lit(""))
-    typed = lines_with_chain(spark, folder).select(
-        F.concat(comment, F.when(F.col("l_tax") == 0.08, F.lit("")).otherwise(F.col("l_partkey").cast("string"))).alias("EAN"),
-        F.col("store_id").alias("Store_Id"),
-        F.when(F.col("l_discount") == 0.1, F.lit("n/a")).otherwise(price.cast("string")).alias("PRICE"),
-        F.when(F.col("l_linenumber") == 5, F.lit("ayer"))
-        .when(F.col("l_linenumber") == 6, F.lit(""))
-        .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
-        .alias("Captured_At"),
-        F.concat(F.lit("Branch "), "l_suppkey", F.lit(', "main"')).alias("branch"),
-        F.lit("typed").alias("note"),
-    )
-    writer = typed.write.option("header", True).option("escape", '"').option("emptyValue", "")
-    writer.option("ignoreLeadingWhiteSpace", False).csv(path)
-    rows = manual_rows(read_manual(spark, path), as_of())
+    rows = manual_rows(read_manual(spark, _typed_files(spark, folder)), as_of())
     return rows.groupBy("ean", "store_id", "branch", "price", "captured_at", "reason").agg(F.count("*").alias("n"))
 
 
@@ -453,3 +461,57 @@ def source_label_merge(spark: SparkSession, folder: str) -> DataFrame:
         merge_sources(F.concat_ws("+", status, priority), F.concat_ws("+", priority, F.concat(status, F.lit("x")))).alias("sources"),
         merge_labels(priority, status).alias("label"),
     )
+
+
+@query(
+    "ingest_sources",
+    f"""WITH {SURVEY}, {RESULTS},
+    surveyed AS (SELECT 'survey' AS source, {_term_case()} AS ean, store_id, price FROM here),
+    typed AS (SELECT 'manual' AS source, CAST(l_partkey AS VARCHAR) AS ean, lower(r_name) AS store_id, l_linenumber, l_discount, l_tax,
+        floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    paged AS (SELECT 'pages' AS source, CAST(m.page_id AS VARCHAR) AS ean, 'chedraui' AS store_id, 1 AS price
+      FROM pages m JOIN pages p ON p.url = m.url WHERE m.page_id % 10 <> 0 AND p.page_id % 7 NOT IN (4, 6)),
+    searched AS (SELECT 'search' AS source, 'S' || event_id AS ean, 'walmart' AS store_id, price FROM results WHERE event_type = 'view' AND position = 0 AND price > 0),
+    rows AS (SELECT * FROM surveyed WHERE ean IS NOT NULL
+      UNION ALL SELECT source, ean, store_id, price FROM typed WHERE l_linenumber NOT IN (5, 7) AND l_tax <> 0.08 AND l_discount <> 0.1
+      UNION ALL SELECT * FROM paged UNION ALL SELECT * FROM searched)
+    SELECT source, count(*) AS n_rows, count(*) FILTER (price <= 100000) AS prices_written,
+      count(DISTINCT (ean, store_id)) FILTER (price <= 100000) AS products_seen, count(*) FILTER (price > 100000) AS n_rejected, 'ok' AS status FROM rows GROUP BY source""",
+)
+def ingest_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """One run over the four sources, their mappings read from files."""
+    root = work_dir(spark, "ingest-sources")
+
+    def written(name: str, content: dict) -> str:
+        value = F.lit(json.dumps(content, ensure_ascii=False)).alias("value")
+        spark.range(1).select(value).write.text(f"{root}/{name}")
+        return f"{root}/{name}"
+
+    terms = [{"ean": e, "requiere": r, "excluye": x} for e, r, x in TERMS]
+    survey = f"{root}/survey"
+    _survey(spark, folder).write.option("header", True).option("escape", '"').csv(survey)
+    pages = _page_mapping(spark, folder)
+    entry = F.struct("ean", "producto", "url")
+    pages.select(F.to_json(F.struct(F.array(entry).alias("entradas"))).alias("value")).write.text(f"{root}/page-mapping")
+    _pages_with_blocks(spark, folder).write.parquet(f"{root}/pages")
+    seen = _responses(spark, folder).where(F.col("event_type") == "view")
+    key = F.concat(F.lit("S"), F.col("event_id")).alias("ean")
+    seen.select(key, F.lit("name").alias("by"), "body").write.parquet(f"{root}/responses")
+    offered = F.concat(F.lit("Offer "), "event_id").alias("name")
+    wanted = seen.select(key, offered, F.lit("pz").alias("unit"), F.lit(None).cast("double").alias("pack_amount"))
+    wanted.write.parquet(f"{root}/wanted")
+    sources = Registry(
+        [
+            SurveySource(survey, written("terms", {"entradas": terms})),
+            ManualSource(_typed_files(spark, folder)),
+            PageSource(f"{root}/pages", f"{root}/page-mapping", "chedraui", mapping_lines=True),
+            SearchSource(f"{root}/responses", f"{root}/wanted", written("ids", {"items": [], "_sin_mapear": []}), "walmart"),
+        ]
+    )
+    known = [products(spark, folder).select("ean"), wanted.select("ean"), pages.select("ean"), term_table(spark).select("ean")]
+    catalog = union_all(known).where(F.col("ean").isNotNull()).distinct()
+    names = spark.createDataFrame([(s,) for s in dict.fromkeys(SURVEY_CHAINS.values())], "store_id string")
+    stores = chains(spark, folder).select("store_id").union(names).distinct()
+    run = run_ingest(spark, sources, catalog, stores, f"{root}/run", datetime(2002, 1, 1))
+    return run.log.select("source", "n_rows", "prices_written", "products_seen", "n_rejected", "status")

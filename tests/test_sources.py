@@ -13,6 +13,7 @@ from basketwise.sinks.history import append_history, insert_or_ignore, read_hist
 from basketwise.sinks.snapshot import prices_snapshot, read_snapshot, write_document, write_snapshot
 from basketwise.sinks.dimensions import upsert, upsert_report
 from basketwise.sources.dimensions import branches_of, load_dimensions, store_list
+from basketwise.sources.feeds import ManualSource, PageSource, SearchSource, SurveySource
 from basketwise.sources.manual import csv_fields, manual_feed, numbered_lines, read_manual
 from basketwise.sources.mappings import id_mapping, page_mapping, term_mapping, unmapped
 from basketwise.sources.price_documents import (
@@ -347,3 +348,34 @@ def test_snapshots_of_the_same_time_are_versions_of_their_own(spark, tmp_path):
     header, found = read_snapshot(spark, str(tmp_path))
     assert first < second == header.first()["version"] and header.first()["source"] == "a+b"
     assert {r["ean"] for r in found.collect()} == {"A", "B"}
+
+
+def test_the_four_sources_of_a_run(spark, tmp_path):
+    """Each source reads its own files; one run takes them all, and one that is missing fails alone."""
+    write = lambda name, content: (tmp_path / name).write_text(content if isinstance(content, str) else json.dumps(content))
+    write("survey.csv", SURVEY)
+    write("terms.json", {"entradas": [{"ean": "A", "requiere": ["leche"], "excluye": []}]})
+    (tmp_path / "typed").mkdir()
+    (tmp_path / "typed" / "a.csv").write_text("ean,store_id,price\nA,heb,31\n,heb,5\n")
+    spark.createDataFrame([(u, h) for u, h, _ in PAGES], "url string, html string").write.parquet(str(tmp_path / "pages"))
+    write("page-mapping.json", {"entradas": [{"ean": "B", "producto": "One", "url": "u1"}]})
+    body = json.dumps({"organic_results": [{"title": "fancy thing", "price": "7", "us_item_id": "9"}]})
+    spark.createDataFrame([("C", "id", body)], "ean string, by string, body string").write.parquet(str(tmp_path / "responses"))
+    spark.createDataFrame([("C", "Fancy thing", "pz", 1.0)], "ean string, name string, unit string, pack_amount double").write.parquet(str(tmp_path / "wanted"))
+    write("ids.json", {"items": [{"ean": "C", "us_item_id": "9"}], "_sin_mapear": []})
+    path = lambda name: str(tmp_path / name)
+    registry = Registry([
+        SurveySource(path("survey.csv"), path("terms.json")),
+        ManualSource(path("typed")),
+        PageSource(path("pages"), path("page-mapping.json"), "chedraui"),
+        SearchSource(path("responses"), path("wanted"), path("ids.json"), "walmart"),
+        SurveySource(path("nowhere"), path("terms.json"), newest_only=True, id="gone"),
+    ])
+    products = spark.createDataFrame([("A",), ("B",), ("C",)], "ean string")
+    stores = spark.createDataFrame([(s,) for s in ("heb", "chedraui", "walmart", "aurrera", "soriana", "lacomer")], "store_id string")
+    run = run_ingest(spark, registry, products, stores, path("run"), NOW)
+    log = {r["source"]: (r["status"], r["prices_written"]) for r in run.log.collect()}
+    assert log.pop("survey")[0] == "ok"
+    assert log == {"manual": ("ok", 1), "pages": ("ok", 1), "search": ("ok", 1), "gone": ("failed", 0)}
+    outcome = registry.read(spark, NOW, "manual")[0]
+    assert [r["clave"] for r in outcome.feed.suggestions.collect()] == ["a.csv:3 incomplete_row"]
