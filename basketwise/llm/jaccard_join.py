@@ -2,17 +2,19 @@
 
 A document is the set of its 5-word shingles, hashed to 64 bits; equal sets are one class. The
 shingles of a set are hashed into groups, and the counts by group are a point: the overlap of two
-sets is at most the sum over the groups of the smaller count. An R-tree over points bounds the
-overlap of two nodes by the sum of the smaller of their upper corners, so that pairs of nodes, then
-pairs of points, fall away; what survives is verified on the shingles themselves.
+sets is at most the sum over the groups of the smaller count. Larger sets have more groups; a point
+is folded to the groups of a smaller one. An R-tree over points bounds the overlap of two nodes by
+the sum of the smaller of their upper corners, so that pairs of nodes, then pairs of points, fall
+away; what survives is verified on the shingles themselves.
 
 In many dimensions boxes around unlike points overlap, so a tree over all documents would prune
 little. Classes are therefore dealt into cells first, without loss: sets that are alike to 0.8 share
 a shingle among the first fifth of each in any common order. The order is by hash, with the
-shingles that most texts share last. A shingle that few classes begin with gives their pairs, which
-are tested by their points; classes around a common one form cells, which are cut into tiles by
-size. Every tile builds its R-tree, verifies what survives, and puts out a spanning forest of the
-links it finds, never all pairs.
+shingles that most texts share last. Classes that begin with the same shingle form a cell, and the
+points of a cell are joined by R-trees. Cells around very common shingles are put together where
+they meet and cut into tiles. The pairs of points that survive connect classes; only these groups
+fetch their texts, are cut into tiles by size, and are joined by R-trees once more, now with every
+survivor verified. Both joins put out a spanning forest of what they find, never all pairs.
 
 Defined results: a null text, an empty one and one without words have an empty set and link with
 nothing; a text of fewer words than a shingle is one shingle of its own kind; repeated rows and
@@ -30,21 +32,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from basketwise.llm.common import Forest, components, in_cells
+from basketwise.llm.common import components, in_cells, spread
 from basketwise.session import materialise
 
 SHINGLE = 5
 #: Overlap over union, as a fraction of whole numbers.
 SIMILAR = (80, 100)
-GROUPS = 64
-FINE_GROUPS = 512
-LEAF = 32
+#: Fewest groups of a point, shingles per group at most, and classes in a leaf of a tree.
+GROUPS, PER_GROUP, LEAF = 64, 8, 32
 #: Shingles a task holds at once; of each such block the commonest, from a least count on, are reported.
-BLOCK, REPORTED, COMMON = 1_000_000, 4096, 8
+BLOCK, REPORTED, COMMON = 1_000_000, 16_384, 3
 #: The commonest shingles of all texts that go last in the order: a fixed bound of what is broadcast.
-LAST = 65_536
-#: Prefix shingles per bucket, classes that share one before they form a cell, shingles per tile.
-BUCKET, FEW, TILE = 300_000, 8, 400_000
+LAST = 131_072
+#: Prefix shingles per bucket; classes that give pairs at once; classes of a cell that is one task's work;
+#: classes and shingles per tile of larger ones.
+BUCKET, FEW, CELL, PART, TILE = 300_000, 8, 512, 1024, 400_000
 
 _WORDS_KEPT = 500_000
 
@@ -90,8 +92,21 @@ def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def point(hashes: np.ndarray, groups: int) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(20)).astype(np.int64) % groups, minlength=groups).astype(np.int32)
+def point(hashes: np.ndarray) -> np.ndarray:
+    """Counts by group; the groups are as many as keep their counts small, a power of two."""
+    groups = GROUPS
+    while groups * PER_GROUP < len(hashes):
+        groups *= 2
+    while True:
+        counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Rows of counts brought to fewer groups."""
+    return points.reshape(len(points), -1, groups).sum(1, dtype=np.int32)
 
 
 def needed(a, b, similar: tuple[int, int]):
@@ -131,7 +146,7 @@ def _describing(size: int):
                 found = shingler.hashes(text.as_py())
                 ns.append(len(found))
                 nodes.append(set_key(found) if len(found) else None)
-                points.append(point(found, GROUPS).tobytes() if len(found) else None)
+                points.append(point(found).tobytes() if len(found) else None)
                 held.append(found)
                 total += len(found)
                 if total > BLOCK:
@@ -243,12 +258,12 @@ def _possible(similar: tuple[int, int]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a = np.frombuffer(b"".join(batch["xp"]), "<i4").reshape(-1, GROUPS)
-            b = np.frombuffer(b"".join(batch["yp"]), "<i4").reshape(-1, GROUPS)
-            n = batch["xn"].to_numpy(), batch["yn"].to_numpy()
-            yield batch.loc[np.minimum(a, b).sum(1) >= needed(*n, similar), ["x", "y"]]
+            keep = []
+            for a, b, want in zip(batch["xp"], batch["yp"], needed(batch["xn"], batch["yn"], similar), strict=True):
+                a, b = np.frombuffer(a, np.uint8)[None], np.frombuffer(b, np.uint8)[None]
+                groups = min(a.shape[1], b.shape[1])
+                keep.append(np.minimum(folded(a, groups), folded(b, groups)).sum() >= want)
+            yield batch.loc[keep, ["x", "y"]].rename(columns={"x": "a", "y": "b"})
 
     return run
 
@@ -258,94 +273,109 @@ class Tree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF) -> None:
         # Points are laid out by size, then by their heaviest groups, so that like ones share a leaf.
-        heavy = np.argsort(-points[:, :8], axis=1, kind="stable")[:, 0] if len(points) else np.empty(0)
+        heavy = points[:, :8].argmax(1)
         order = np.lexsort((points[:, 0], heavy, np.floor(np.log(np.maximum(sizes, 1)) * 8)))
+        self.points, self.sizes = points, sizes
         self.leaves = [order[k : k + leaf] for k in range(0, len(order), leaf)]
         self.corner = np.stack([points[leaf].max(0) for leaf in self.leaves])
         self.least = np.array([sizes[leaf].min() for leaf in self.leaves])
 
-    def meeting(self, other: Tree, similar: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of leaves whose corners allow enough overlap for their smallest sets."""
+    def survivors(self, other: Tree, similar: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places whose points allow enough overlap, by pairs of leaves whose corners do."""
         for k, leaf in enumerate(self.leaves):
             bound = np.minimum(self.corner[k], other.corner).sum(1)
-            for j in np.flatnonzero(bound >= needed(self.least[k], other.least, similar)):
-                if other is not self or j >= k:
-                    yield leaf, other.leaves[j]
+            for m in np.flatnonzero(bound >= needed(self.least[k], other.least, similar)):
+                if other is self and m < k:
+                    continue
+                right = other.leaves[m]
+                least = needed(self.sizes[leaf][:, None], other.sizes[right][None, :], similar)
+                i, j = np.nonzero(np.minimum(self.points[leaf][:, None, :], other.points[right][None, :, :]).sum(2) >= least)
+                i, j = leaf[i], right[j]
+                if other is self and m == k:
+                    i, j = i[i < j], j[i < j]
+                yield i, j
+
+
+def _survivors(points: list[np.ndarray], n: np.ndarray, sides: np.ndarray, similar: tuple[int, int]) -> Iterator[tuple]:
+    """Pairs of places of a cell that survive their points. Sides 0 and 1 meet each other, side 2 itself."""
+    p, q = similar
+    kinds = sorted({(int(side), len(x)) for side, x in zip(sides, points, strict=True)})
+    length = np.array([len(x) for x in points])
+    held = {kind: np.flatnonzero((sides == kind[0]) & (length == kind[1])) for kind in kinds}
+    grids = {kind: np.stack([points[k] for k in held[kind]]) for kind in kinds}
+    for x, a in enumerate(kinds):
+        for b in kinds[x:]:
+            meets = a[0] == b[0] == 2 or {a[0], b[0]} == {0, 1}
+            apart = q * n[held[a]].max(initial=0) < p * n[held[b]].min() or q * n[held[b]].max(initial=0) < p * n[held[a]].min()
+            if not meets or apart:
+                continue
+            groups = min(a[1], b[1])
+            left = Tree(folded(grids[a], groups), n[held[a]])
+            right = left if a == b else Tree(folded(grids[b], groups), n[held[b]])
+            for i, j in left.survivors(right, similar):
+                yield held[a][i], held[b][j]
+
+
+def _pointing(similar: tuple[int, int]):
+    """(a, b) of a spanning forest of the pairs of a cell that survive their points."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        points = [np.frombuffer(x, np.uint8) for x in rows["point"]]
+        nodes, label = rows["node"].to_numpy(), np.arange(len(rows))
+        for i, j in _survivors(points, rows["n"].to_numpy(), rows["side"].to_numpy(), similar):
+            spread(label, i, j)
+        joined = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"a": nodes[joined], "b": nodes[label[joined]]})
+
+    return work
 
 
 def _verifying(size: int, similar: tuple[int, int]):
-    """Links within a tile: (a, b) of a spanning forest. Sides 0 and 1 meet each other, side 2 itself."""
+    """(a, b) of a spanning forest of the links of a cell."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         shingler = Shingler(size)
         nodes, sides, sets = [], [], []
         for node, side, text in zip(rows["node"], rows["side"], rows["text"], strict=True):
             found = shingler.hashes(text)
-            # A fetched row may be another text under the same id.
+            # A fetched row may be another text under the same hash.
             if len(found) and set_key(found) == node:
                 nodes.append(node)
                 sides.append(side)
                 sets.append(found)
         n = np.array([len(s) for s in sets])
-        sides = np.array(sides)
-        forest, out = Forest(), []
-        coarse = np.stack([point(s, GROUPS) for s in sets]) if sets else np.empty((0, GROUPS))
-        fine: dict[int, np.ndarray] = {}
-
-        def detail(k: int) -> np.ndarray:
-            if k not in fine:
-                if len(fine) > 4096:
-                    fine.clear()
-                fine[k] = point(sets[k], FINE_GROUPS)
-            return fine[k]
-
-        def meet(left: np.ndarray, right: np.ndarray) -> None:
-            least = needed(n[left][:, None], n[right][None, :], similar)
-            bound = np.minimum(coarse[left][:, None, :], coarse[right][None, :, :]).sum(2)
-            for i, j in zip(*np.nonzero(bound >= least), strict=True):
-                a, b = int(left[i]), int(right[j])
-                if nodes[a] == nodes[b] or forest.root(nodes[a]) == forest.root(nodes[b]):
-                    continue
-                want = int(least[i, j])
-                if np.minimum(detail(a), detail(b)).sum() < want:
+        label, out = np.arange(len(sets)), []
+        for left, right in _survivors([point(s) for s in sets], n, np.array(sides), similar):
+            new = label[left] != label[right]
+            for a, b in zip(left[new].tolist(), right[new].tolist(), strict=True):
+                if label[a] == label[b]:
                     continue
-                place = np.searchsorted(sets[b], sets[a])
-                place[place == len(sets[b])] = 0
-                if (sets[b][place] == sets[a]).sum() >= want:
-                    forest.join(nodes[a], nodes[b])
+                small, large = (sets[a], sets[b]) if n[a] <= n[b] else (sets[b], sets[a])
+                place = np.searchsorted(large, small)
+                place[place == len(large)] = 0
+                if (large[place] == small).sum() >= needed(n[a], n[b], similar):
                     out.append((nodes[a], nodes[b]))
-
-        def tree(side: int) -> tuple[Tree, np.ndarray] | None:
-            some = np.flatnonzero(sides == side)
-            return (Tree(coarse[some], n[some]), some) if len(some) else None
-
-        if (both := tree(2)) is not None:
-            for a, b in both[0].meeting(both[0], similar):
-                meet(both[1][a], both[1][b])
-        if (one := tree(0)) is not None and (two := tree(1)) is not None:
-            for a, b in one[0].meeting(two[0], similar):
-                meet(one[1][a], two[1][b])
-        return pd.DataFrame(out, columns=["a", "b"])
+                    label[label == label[b]] = label[a]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return work
 
 
-def _tiles(around: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """(cell, side, node) of the tiles of all cells of classes around common shingles.
+def _tiles(links: DataFrame, classes: DataFrame, similar: tuple[int, int], parts: Column) -> DataFrame:
+    """(cell, side, node) of the tiles of the groups that links (a, b) connect.
 
-    A cell holds the classes that common shingles connect. Within it classes are put into bands of
-    size, so that sets alike enough are in one band or in neighbours, and large bands into parts of
-    a bounded number of shingles. Each part meets itself, the other parts of its band, and the parts
-    of the next band.
+    Within a group classes are put into bands of size, so that sets alike enough are in one band or
+    in neighbours, and large bands into parts of bounded size. Each part meets itself, the other
+    parts of its band, and the parts of the next band.
     """
-    cells = components(around.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    cells = components(links)
     step = float(np.log(similar[1] / similar[0]))
     rows = classes.select("node", "n").join(cells, "node").withColumn("band", F.floor(F.log("n") / step + 1e-9))
     rows = materialise(rows, "cells")
-    parts = rows.groupBy("root", "band").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("parts"), F.count("*").alias("members"))
-    after = parts.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("next_parts"))
-    before = parts.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("parts_before"))
-    sized = parts.join(after, ["root", "band"], "left").join(before, ["root", "band"], "left")
+    counted = rows.groupBy("root", "band").agg(F.ceil(parts).cast("int").alias("parts"), F.count("*").alias("members"))
+    after = counted.select("root", (F.col("band") - 1).alias("band"), F.col("parts").alias("next_parts"))
+    before = counted.select("root", (F.col("band") + 1).alias("band"), F.col("parts").alias("parts_before"))
+    sized = counted.join(after, ["root", "band"], "left").join(before, ["root", "band"], "left")
     alone = (F.col("members") == 1) & F.col("next_parts").isNull() & F.col("parts_before").isNull()
     dealt = rows.join(sized.where(~alone), ["root", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     name = lambda a_band, a, b_band, b: F.concat_ws("-", F.lit("t"), "root", a_band, a, b_band, b)
@@ -393,25 +423,41 @@ def classes_and_links(
         return classes.select(F.col("node").alias(name), F.col("n").alias(f"{name}n"), F.col("point").alias(f"{name}p"))
 
     pairs = met.where("kind = 0").select("x", "y").distinct().join(side("x"), "x").join(side("y"), "y")
-    pairs = materialise(pairs.mapInPandas(_possible(similar), "x long, y long"), "pairs")
-    # The partners of one class are one cell; small cells share a task but are verified one by one.
-    stars = pairs.select("x").distinct().select(F.concat_ws("-", F.lit("s"), "x").alias("cell"), F.lit(0).alias("side"), F.col("x").alias("node"))
-    stars = stars.union(pairs.select(F.concat_ws("-", F.lit("s"), "x"), F.lit(1), "y"))
-    around = materialise(met.where("kind = 1").select("x", "y").distinct(), "around")
-    members = stars.union(_tiles(around, classes, similar))
+    near = pairs.mapInPandas(_possible(similar), "a long, b long")
+    near = materialise(near.union(_near_in_cells(met.where("kind = 1").select("x", "y"), classes, similar)), "near")
+    members = _tiles(near, classes, similar, F.sum("n") / TILE)
     # A class is fetched through one of its rows.
     carrier = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     wanted = materialise(members.join(carrier, "node"), "members")
     # Texts are read once per class, not once per cell.
     texts = plain.select("row", "text").join(wanted.select("row", "node").distinct(), "row")
     texts = materialise(texts.dropDuplicates(["row"]).select("node", "text"), "texts")
-    cells = wanted.select("cell", "side", "node").join(texts, "node")
-    parts = max(64, documents.sparkSession.sparkContext.defaultParallelism * 4)
-    cells = cells.repartition(parts, "cell").sortWithinPartitions("cell")
-    links = materialise(cells.mapInPandas(in_cells("cell", _verifying(size, similar)), "a long, b long"), "links")
+    links = materialise(_by_cell(wanted.select("cell", "side", "node").join(texts, "node"), _verifying(size, similar)), "links")
     return rows, classes, links
 
 
+def _by_cell(rows: DataFrame, work) -> DataFrame:
+    parts = max(64, rows.sparkSession.sparkContext.defaultParallelism * 4)
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(in_cells("cell", work), "a long, b long")
+
+
+def _near_in_cells(around: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that connect the classes around common shingles whose points allow enough overlap.
+
+    Shingles with the same classes around them are one cell. Cells of more than a task's work are put
+    together where they meet, and cut into tiles.
+    """
+    around = materialise(around.distinct(), "around")
+    members = around.groupBy("x").agg(F.count("*").alias("k"), F.sum(F.xxhash64("y").cast("decimal(20,0)")).alias("who")).where("k > 1")
+    cells = members.groupBy("k", "who").agg(F.min("x").alias("x")).select("x", "k")
+    rows = materialise(around.join(cells, "x"), "cell-rows")
+    small = rows.where(F.col("k") <= CELL).select(F.concat_ws("-", F.lit("r"), "x").alias("cell"), F.lit(2).alias("side"), F.col("y").alias("node"))
+    large = rows.where(F.col("k") > CELL).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    tiles = _tiles(large, classes, similar, F.count("*") / PART)
+    pointed = small.union(tiles).join(classes.select("node", "n", "point"), "node")
+    return _by_cell(pointed, _pointing(similar))
+
+
 def _joined(documents: DataFrame, key: str, text: str, size: int, similar: tuple[int, int]) -> DataFrame:
     """(id, row, n, root, component_id) of every row; root tells components apart, also where ids are null."""
     rows, classes, links = classes_and_links(documents, key, text, size, similar)
