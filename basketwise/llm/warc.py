@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from basketwise.session import materialise
+
 #: Formats of the archive standard; fixed values.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreservation.org/warc/1.1/revisit/identical-payload-digest"
@@ -39,8 +41,9 @@ READ = (
 def with_revisits(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> DataFrame:
     """Adds payload_bytes, payload_digest, record_type and refers_to to (page_id, url, payload) rows.
 
-    Only digests that occur twice are joined back; rows that cannot be revisits carry a key of their
-    own, so that they spread. Spark splits a digest that holds many rows.
+    Only digests that occur twice are joined back; they are written first, so that their real size
+    decides whether the payloads have to move. Rows that cannot be revisits carry a key of their own,
+    so that they spread. Spark splits a digest that holds many rows.
     """
     content = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.withColumn(payload, content).withColumns(
@@ -51,6 +54,7 @@ def with_revisits(pages: DataFrame, page_id: str = "page_id", payload: str = "ht
         rows.where(large).groupBy("payload_digest").agg(F.min(page_id).alias("first_id"), F.count("*").alias("n"))
         .where("n > 1").select(F.col("payload_digest").alias("joined_by"), "first_id")
     )
+    firsts = materialise(firsts, "first-payloads")
     own = F.concat_ws("-", F.lit("own"), F.col(page_id).cast("string"), F.xxhash64(payload).cast("string"))
     keyed = rows.withColumn("joined_by", F.when(large, F.col("payload_digest")).otherwise(own))
     again = F.col("first_id").isNotNull() & ~F.col(page_id).eqNullSafe(F.col("first_id"))
