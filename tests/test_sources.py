@@ -342,7 +342,7 @@ def test_a_long_typed_line_is_cut_in_one_pass(spark):
 
 
 def test_snapshots_of_the_same_time_are_versions_of_their_own(spark, tmp_path):
-    cells = spark.createDataFrame([("A", "x", 1.0, NOW)], "ean string, store_id string, price double, captured_at timestamp_ntz")
+    cells = spark.createDataFrame([("A", "x", 1.0, NOW, "s")], "ean string, store_id string, price double, captured_at timestamp_ntz, source string")
     first = write_snapshot(spark, str(tmp_path), cells, "a", "A", NOW, partial=False)
     second = write_snapshot(spark, str(tmp_path), cells.withColumn("ean", F.lit("B")), "b", "B", NOW, partial=True)
     header, found = read_snapshot(spark, str(tmp_path))
