@@ -48,6 +48,9 @@ LAST = 131_072
 #: classes and shingles per tile of larger ones.
 BUCKET, FEW, CELL, PART, TILE = 300_000, 8, 512, 1024, 400_000
 
+#: Bits that say which rows are fetched: a fixed size of what is broadcast.
+BITS = 1 << 23
+
 _WORDS_KEPT = 500_000
 
 
@@ -430,12 +433,29 @@ def classes_and_links(
     carrier = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("row").alias("row"))
     wanted = materialise(members.join(carrier, "node"), "members")
     # Texts are read once per class, not once per cell.
-    texts = plain.select("row", "text").join(wanted.select("row", "node").distinct(), "row")
+    ids = materialise(wanted.select("row", "node").distinct(), "wanted")
+    texts = _maybe(plain.select("row", "text"), ids).join(ids, "row")
     texts = materialise(texts.dropDuplicates(["row"]).select("node", "text"), "texts")
     links = materialise(_by_cell(wanted.select("cell", "side", "node").join(texts, "node"), _verifying(size, similar)), "links")
     return rows, classes, links
 
 
+def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Drops most rows whose `row` is not wanted, before their texts are moved.
+
+    A table of BITS bits says which hashes are wanted; rows that share a bit with one get through
+    and fall away in the join that follows.
+    """
+    slot = F.pmod("row", F.lit(BITS))
+    word, bit = F.floor(slot / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(row, {BITS}) % 64 AS INT))")
+    some = wanted.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = rows.sparkSession.range(BITS // 64).select(F.col("id").cast("int").alias("word")).join(some, "word", "left")
+    # As many words as the table has, whatever the data.
+    table = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("t"))
+    bits = F.get(table.select(F.transform("t", lambda w: w["bits"])).scalar(), word)
+    return rows.where(bits.bitwiseAND(bit) != 0)
+
+
 def _by_cell(rows: DataFrame, work) -> DataFrame:
     parts = max(64, rows.sparkSession.sparkContext.defaultParallelism * 4)
     return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(in_cells("cell", work), "a long, b long")
