@@ -175,16 +175,22 @@ class Scorer:
     bias: float
 
 
-def fit_scorer(rows: np.ndarray, goal: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
-    """Logistic regression on posterior labels; both classes weigh the same."""
+def fit_scorer(
+    places: list[np.ndarray], shares: list[np.ndarray], goal: np.ndarray, dimensions: int,
+    rounds: int = 300, rate: float = 0.05, decay: float = 1e-4,
+) -> Scorer:
+    """Logistic regression on posterior labels over sparse rows; both classes weigh the same."""
+    lengths = np.array([len(p) for p in places])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    column, value = np.concatenate(places), np.concatenate(shares).astype(np.float64)
     share = float(np.clip(goal.mean(), 1e-3, 1 - 1e-3))
     each = goal / share + (1 - goal) / (1 - share)
-    w = np.zeros(rows.shape[1] + 1)
+    w = np.zeros(dimensions + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-(rows @ w[:-1] + w[-1])))
+        p = 1 / (1 + np.exp(-(np.add.reduceat(value * w[column], starts) + w[-1])))
         d = each * (p - goal) / len(goal)
-        g = np.append(rows.T @ d + decay * w[:-1], d.sum())
+        g = np.append(np.bincount(column, value * np.repeat(d, lengths), dimensions) + decay * w[:-1], d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return Scorer(w[:-1], float(w[-1]))
@@ -218,10 +224,10 @@ def train(
     some = rows.withColumn("order", F.xxhash64("text")).where(_share(documents, votes_of, sample)).orderBy("order").limit(sample)
     read = some.select("text").mapInPandas(_voting_texts, "text string, votes array<int>")
     taught = read.mapInPandas(_sampling(dimensions), "votes array<int>, places array<long>, shares array<float>").toPandas()
-    grid = np.zeros((len(taught), dimensions), dtype=np.float32)
-    for k, (places, shares) in enumerate(zip(taught["places"], taught["shares"], strict=True)):
-        grid[k, places] = shares
-    return model, fit_scorer(grid, model.posterior(np.array(taught["votes"].tolist())))
+    if not len(taught):
+        return model, empty
+    goal = model.posterior(np.array(taught["votes"].tolist()))
+    return model, fit_scorer(taught["places"].tolist(), taught["shares"].tolist(), goal, dimensions)
 
 
 def _share(documents: DataFrame, votes_of: DataFrame, sample: int):
