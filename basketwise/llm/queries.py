@@ -76,10 +76,10 @@ URL_RULES = [
 
 
 def page_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """(host, bad) of the labelled documents that pages carry; a page's url ends with its document's id."""
+    """(host, bad) of the labelled documents that pages carry; the last part of a page's path starts with its document's id."""
     path = url_reputation.path_of(F.col("url"))
     carried = table(spark, folder, "pages").select(
-        url_reputation.host_of(F.col("url")).alias("host"), F.regexp_extract(path, r"/([0-9]+)[^/]*$", 1).try_cast("long").alias("doc_id")
+        url_reputation.host_of(F.col("url")).alias("host"), F.regexp_extract(path, r"/([0-9]+)[^/]*/?$", 1).try_cast("long").alias("doc_id")
     )
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labels = table(spark, folder, "labels").select("doc_id", bad.alias("bad"))

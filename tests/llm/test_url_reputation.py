@@ -1,5 +1,5 @@
 from basketwise.llm import url_reputation as u
-from basketwise.llm.queries import URL_RULES
+from basketwise.llm.queries import URL_RULES, page_outcomes
 
 
 def judged(spark, urls, outcomes):
@@ -42,3 +42,15 @@ def test_reputation_is_shrunk_and_bounded(spark):
 def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert u.judge(pages, spark.createDataFrame([], "host string, bad boolean"), URL_RULES).count() == 0
+
+
+def test_every_form_of_url_yields_its_outcome(spark, tmp_path):
+    forms = ["/en/{}", "/en/{}/", "/en/{}.html", "/en/{}#top", "/en/{}?page=2&ref=x", "/en/{}/?utm_source=feed", "/{}/"]
+    other = ["/en/", "/en/x9/", "/en/9//", "/9/en/", "", "/"]
+    urls = [f"http://h{n}.org" + form.format(n) for n, form in enumerate(forms)] + [f"http://none.org{path}" for path in other]
+    pages = spark.createDataFrame([(n, url, "") for n, url in enumerate(urls)], "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(10)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r["host"], r["bad"]) for r in page_outcomes(spark, str(tmp_path)).collect()}
+    assert got == {(f"h{n}.org", n % 2 == 0) for n in range(len(forms))}
