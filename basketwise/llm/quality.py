@@ -5,7 +5,11 @@ without labels: expectation-maximisation on the counts of vote patterns, over al
 posterior is the label of its texts. A linear scorer over hashed word shapes then learns from the
 posteriors of a bounded sample (`sample`, a documented parameter) and scores every whole text.
 
-Only the counts of vote patterns (at most 3 to the number of labellers) and the sampled rows' hashed
+The sample is of distinct texts, each weighted by its rows: the smaller a text's hash and the more
+rows it has, the sooner it is in (priority sampling). A text of many rows is in by itself and weighs
+what its rows weigh; the others stand for those left out.
+
+Only the counts of vote patterns (at most 3 to the number of labellers) and the sampled texts' hashed
 shares reach the driver.
 
 Defined results: a null text is an empty one; an empty text is voted bad by its length; repeated rows
@@ -24,7 +28,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 LABELLERS = ("repeats", "capitals", "symbols", "variety", "lines", "length", "word_length", "sentences")
 SYMBOLS = b"%$*&|#@~^<>{}[]\\=_!"
@@ -162,9 +166,15 @@ class Features:
 def _sampling(dimensions: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(dimensions)
+        seen: set[int] = set()
         for batch in batches:
+            # A text's copies in a task give one row.
+            batch = batch[~(batch["order"].duplicated() | batch["order"].isin(seen))]
+            seen.update(batch["order"])
             found = [features.of(text) for text in batch["text"]]
-            yield pd.DataFrame({"votes": batch["votes"], "places": [f[0] for f in found], "shares": [f[1] for f in found]})
+            yield batch.drop(columns="text").assign(
+                votes=[votes(text) for text in batch["text"]], places=[f[0] for f in found], shares=[f[1] for f in found]
+            )
 
     return run
 
@@ -176,20 +186,21 @@ class Scorer:
 
 
 def fit_scorer(
-    places: list[np.ndarray], shares: list[np.ndarray], goal: np.ndarray, dimensions: int,
+    places: list[np.ndarray], shares: list[np.ndarray], goal: np.ndarray, dimensions: int, weight: np.ndarray,
     rounds: int = 300, rate: float = 0.05, decay: float = 1e-4,
 ) -> Scorer:
-    """Logistic regression on posterior labels over sparse rows; both classes weigh the same."""
+    """Logistic regression on posterior labels over sparse, weighted rows; both classes weigh the same."""
     lengths = np.array([len(p) for p in places])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     column, value = np.concatenate(places), np.concatenate(shares).astype(np.float64)
-    share = float(np.clip(goal.mean(), 1e-3, 1 - 1e-3))
-    each = goal / share + (1 - goal) / (1 - share)
+    weight = weight / weight.sum()
+    share = float(np.clip(goal @ weight, 1e-3, 1 - 1e-3))
+    each = (goal / share + (1 - goal) / (1 - share)) * weight
     w = np.zeros(dimensions + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(np.add.reduceat(value * w[column], starts) + w[-1])))
-        d = each * (p - goal) / len(goal)
+        d = each * (p - goal)
         g = np.append(np.bincount(column, value * np.repeat(d, lengths), dimensions) + decay * w[:-1], d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
@@ -214,32 +225,31 @@ def _scoring(scorer: Scorer, dimensions: int):
 def train(
     documents: DataFrame, votes_of: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, dimensions: int = DIMENSIONS
 ) -> tuple[LabelModel | None, Scorer]:
-    """Fits both models. The label model counts all texts; the scorer sees the `sample` rows of smallest hash."""
+    """Fits both models. The label model counts all texts; the scorer sees `sample` distinct texts, weighted by their rows."""
     patterns = votes_of.groupBy("votes").count().collect()
     empty = Scorer(np.zeros(dimensions), 0.0)
     if not patterns:
         return None, empty
     model = fit_labels(np.array([r["votes"] for r in patterns]), np.array([r["count"] for r in patterns], dtype=float))
-    rows = documents.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    some = rows.withColumn("order", F.xxhash64("text")).where(_share(documents, votes_of, sample)).orderBy("order").limit(sample)
-    read = some.select("text").mapInPandas(_voting_texts, "text string, votes array<int>")
-    taught = read.mapInPandas(_sampling(dimensions), "votes array<int>, places array<long>, shares array<float>").toPandas()
-    if not len(taught):
-        return model, empty
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = documents.select(content.alias("text"), F.xxhash64(content).alias("order"), F.xxhash64(F.col(key)).alias("copy"))
+    # Of a text's rows those of the smallest key's hash are read; hashes and numbers are all that moves.
+    texts = rows.groupBy("order").agg(F.count("*").alias("n"), F.min("copy").alias("copy"))
+    chosen = texts.withColumn("rank", _uniform(F.col("order")) / F.col("n")).orderBy("rank", "order").limit(sample + 1)
+    read = rows.join(F.broadcast(chosen), ["order", "copy"]).select("order", "n", "rank", "text")
+    schema = "order long, n long, rank double, votes array<int>, places array<long>, shares array<float>"
+    taught = read.mapInPandas(_sampling(dimensions), schema).dropDuplicates(["order"]).toPandas().sort_values(["rank", "order"])
+    # The first text left out tells how many rows one of the others stands for.
+    least = 1 / taught["rank"].iloc[sample] if len(taught) > sample else 1.0
+    taught = taught[:sample]
     goal = model.posterior(np.array(taught["votes"].tolist()))
-    return model, fit_scorer(taught["places"].tolist(), taught["shares"].tolist(), goal, dimensions)
-
+    weight = np.maximum(taught["n"].to_numpy(dtype=float), least)
+    return model, fit_scorer(taught["places"].tolist(), taught["shares"].tolist(), goal, dimensions, weight)
 
-def _share(documents: DataFrame, votes_of: DataFrame, sample: int):
-    """Keeps about twice the sample by hash, so that ordering does not move all texts."""
-    n = max(1, votes_of.count())
-    parts = 1 << 20
-    return F.pmod(F.col("order"), F.lit(parts)) < min(parts, int(2 * sample / n * parts) + 1)
 
-
-def _voting_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"text": batch["text"], "votes": [votes(text) for text in batch["text"]]})
+def _uniform(order: Column) -> Column:
+    """A hash as a number above 0 and up to 1."""
+    return (F.shiftrightunsigned(order, 11) + 1) / F.lit(float(1 << 53))
 
 
 def score(documents: DataFrame, scorer: Scorer, key: str = "doc_id", text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:

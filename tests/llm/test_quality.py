@@ -42,3 +42,44 @@ def test_edges(spark):
     empty = frame.limit(0)
     model, scorer = quality.train(empty, quality.voted(empty))
     assert model is None and quality.score(empty, scorer).count() == 0
+
+
+PROSE = "Some words of a plain text, of moderate length, stand in a row. They end here, more or less. " * 3
+JUNK = "BUY!! NOW!! %% $$ " * 40
+
+
+def trained(spark, counted, **options):
+    """The training's models and what its scorer was given, for texts with their numbers of rows."""
+    frame = spark.createDataFrame(list(enumerate(counted)), "k long, x struct<text:string,n:int>")
+    frame = frame.selectExpr("explode(sequence(1, x.n)) AS i", "k", "x.text AS text").selectExpr("k * 1000000 + i AS doc_id", "text")
+    given = {}
+    plain = quality.fit_scorer
+
+    def fit(places, shares, goal, dimensions, *rest, **more):
+        given.update(rows=len(places), goal=goal, weight=rest[0] if rest else None)
+        return plain(places, shares, goal, dimensions, *rest, **more)
+
+    quality.fit_scorer = fit
+    try:
+        model, scorer = quality.train(frame, quality.voted(frame), **options)
+    finally:
+        quality.fit_scorer = plain
+    return frame, scorer, given
+
+
+def test_few_distinct_texts_of_many_rows_train_the_scorer(spark):
+    counted = [(PROSE + f"And line {n}.", 500) for n in range(5)] + [(JUNK + str(n), 500) for n in range(3)]
+    frame, scorer, given = trained(spark, counted, sample=40)
+    assert given["rows"] == 8 and scorer.weights.any()
+    scores = {r["doc_id"]: r["score"] for r in quality.score(frame.where("doc_id % 1000000 = 1"), scorer).collect()}
+    assert all((scores[n * 1_000_000 + 1] > 0.5) == (n < 5) for n in range(8))
+
+
+def test_a_text_of_a_third_of_all_rows_weighs_a_third(spark):
+    """Whichever its hash, the copies take one place and weigh what they are."""
+    for hot in range(4):
+        counted = [(PROSE + f"Hot {hot}.", 1000)] + [(PROSE + f"And line {n}.", 1) for n in range(1000)] + [(JUNK + str(n), 1) for n in range(1000)]
+        _, scorer, given = trained(spark, counted, sample=200)
+        weight = given["weight"] / given["weight"].sum()
+        assert given["rows"] == 200 and abs(weight.max() - 1 / 3) < 0.07 and np.sort(weight)[-2] < 0.01
+        assert 0.2 < weight @ (given["goal"] < 0.5) < 0.47
