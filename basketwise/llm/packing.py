@@ -6,7 +6,8 @@ expected size, and each group is packed by itself: longest first, every piece go
 squared counts of open bins per residual gap become smallest. A bin is opened only where no gap
 holds the piece, so a group leaves few bins unfilled.
 
-Defined results: a null or empty text is the single id 0; repeated rows are packed each; pieces of
+Defined results: a null or empty text is the single id 0; the name of an added token in a text, such
+as <|endoftext|>, is that token's id, as the tokenizer gives it unaltered; repeated rows are packed each; pieces of
 equal length go in the order of their keys; an empty table gives no rows; other columns are not
 looked at.
 """
@@ -33,7 +34,7 @@ _RARE = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u036f\u0400-\u0481\u048a-\u052f\u2
 
 @functools.cache
 def _encoders(vocabulary: str, ranks: str):
-    """The exact tokenizer, and a faster reader of the same vocabulary."""
+    """The exact tokenizer, a faster reader of the same vocabulary, and what finds added tokens, which only the first knows."""
     import base64
 
     import public_tokenizers
@@ -41,19 +42,20 @@ def _encoders(vocabulary: str, ranks: str):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    exact.encode_special_tokens = True
+    added = [token.content for token in exact.get_added_tokens_decoder().values()]
+    holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
     with open(public_tokenizers.path(ranks), "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return exact, fast
+    return exact, fast, holds_added
 
 
 def token_ids(text: str | None, vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken") -> np.ndarray:
     """The ids of a text, then 0."""
-    exact, fast = _encoders(vocabulary, ranks)
+    exact, fast, holds_added = _encoders(vocabulary, ranks)
     if not text:
         ids = []
-    elif _RARE.search(text):
+    elif _RARE.search(text) or holds_added(text):
         ids = exact.encode(text, add_special_tokens=False).ids
     else:
         ids = fast.encode_ordinary(text)

@@ -88,6 +88,15 @@ def test_long_texts_agree(exact):
         assert packing.token_ids(text).tolist() == exact(text)
 
 
+def test_added_tokens_are_read_as_the_unaltered_tokenizer_reads_them():
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    added = [token.content for token in plain.get_added_tokens_decoder().values()]
+    assert added
+    for token in added:
+        for text in (f"end {token} x", token, f"a{token}{token}b", f"{token[:-1]} {token.upper()}", f"\u4e2d{token}\u3000 end"):
+            assert packing.token_ids(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0], text
+
+
 def brute_sum_of_squares(lengths, limit):
     """Tries every gap and compares the whole sum."""
     gaps, bins, out = {}, 0, []
