@@ -91,6 +91,18 @@ def test_edges(spark):
     assert pii.pseudonymise(frame.limit(0), "k").count() == 0
 
 
+def test_long_secrets_are_replaced_to_their_end(spark):
+    sizes = (8, 128, 129, 300, 5000, 100_000)
+    secrets = [("aB3_-.x9" * n)[:n] for n in sizes]
+    for secret, (text, kinds) in zip(secrets, done(spark, [f"see token={s} ok" for s in secrets]), strict=True):
+        new = re.fullmatch("see token=(.*) ok", text)[1]
+        assert kinds == ["secret"] and form(new) == form(secret)
+        # The last characters go too, not only the first 128.
+        for k in range(0, len(secret), 64):
+            assert len(secret) - k < 8 or new[k : k + 64] != secret[k : k + 64]
+        assert new[-8:] != secret[-8:]
+
+
 def test_small_table(spark, tables):
     got = {r["doc_id"]: r for r in QUERIES["op5_feistel_pii"](spark, SMALL).collect()}
     assert set(got) == {d["doc_id"] for d in tables["documents"]}
