@@ -5,7 +5,7 @@ decontamination drops documents with benchmark passages, personal data is replac
 is packed into token sequences. All but the last return the columns of `documents`.
 
 Defined results: rows are kept or dropped whole; a null id is an id of its own to the joins; a null
-text has no language and goes; of rows that repeat an id and a text one stays after the Jaccard join;
+text has no language and goes, unless no row has a language at all; of rows that repeat an id and a text one stays after the Jaccard join;
 an empty table stays empty; further columns pass through.
 """
 
@@ -20,19 +20,19 @@ from basketwise.llm.common import ship, table
 from basketwise.llm.queries import PII_KEY
 from basketwise.session import materialise
 
-#: A document stays if at least this share of its letters is in one language.
-LEAST_SHARE = 0.5
 #: Words of a document that may stand in benchmark passages.
 HIT_WORDS = 0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of which most letters are in one language."""
+    """Keeps documents with a language, whatever its share; all of them where no row has a language to learn from."""
     columns = {name: f"c{k}" for k, name in enumerate(docs.columns)}
     renamed = docs.withColumnsRenamed(columns)
     model = language_id.learn(docs)
+    if not model.langs:
+        return docs
     labelled = language_id.label(renamed, model, columns["text"], tuple(columns.values()), spans=False)
-    kept = labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    kept = labelled.where(F.col("lang_pred") != "und")
     return kept.select(*(F.col(short).alias(name) for name, short in columns.items()))
 
 

@@ -60,3 +60,19 @@ def test_extra_columns_pass_through(spark):
         frame = _on(spark, stage, frame, SMALL)
     assert frame.columns == [*[c.split()[0] for c in COLUMNS.split(", ")], "row", "score"] and frame.count() == 1
     assert pii.pseudonymise(frame, "k").columns == frame.columns
+
+
+def test_mixed_texts_and_tables_without_languages_stay(spark):
+    parts = {
+        "en": "the weather is fine today and the children are playing outside in the garden",
+        "de": "das wetter ist heute schön und die kinder spielen draußen im garten",
+        "fr": "le temps est beau aujourd'hui et les enfants jouent dehors dans le jardin",
+        "es": "el tiempo es bueno hoy y los niños juegan fuera en el jardín",
+    }
+    rows = [(k, text, lang, "s", 5) for k, (lang, text) in enumerate(parts.items())]
+    rows += [(10, " ".join(parts.values()), None, "s", 5), (11, "12 34", None, "s", 5), (12, None, None, "s", 0)]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    stage = dict(corpus_pipeline.STAGES)["language ID"]
+    assert sorted(r["doc_id"] for r in stage(spark, frame, SMALL).collect()) == [0, 1, 2, 3, 10]
+    unlabelled = frame.withColumn("lang", frame["lang"].substr(9, 1)).selectExpr("doc_id", "text", "nullif(lang, '') AS lang", "source", "n_chars")
+    assert sorted(r["doc_id"] for r in stage(spark, unlabelled, SMALL).collect()) == [0, 1, 2, 3, 10, 11, 12]
