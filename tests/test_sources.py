@@ -1,5 +1,6 @@
 """Sources: files in, observations out."""
 
+import gzip
 import json
 from dataclasses import dataclass
 from datetime import datetime
@@ -379,3 +380,13 @@ def test_the_four_sources_of_a_run(spark, tmp_path):
     assert log == {"manual": ("ok", 1), "pages": ("ok", 1), "search": ("ok", 1), "gone": ("failed", 0)}
     outcome = registry.read(spark, NOW, "manual")[0]
     assert [r["clave"] for r in outcome.feed.suggestions.collect()] == ["a.csv:3 incomplete_row"]
+
+
+def test_survey_reads_files_of_every_name(spark, tmp_path):
+    header = "producto,presentacion,marca,precio,fecha_registro,estado,cadena_comercial,nombre_comercial,municipio"
+    for n, name in enumerate(("a.csv", "B.CSV", "c.Csv", "d.txt")):
+        (tmp_path / name).write_text(f"{header}\np{n},1,m,{n},2025-01-01,q,c,n,m\n")
+    with gzip.open(tmp_path / "e.csv.gz", "wt") as out:
+        out.write("precio,producto\n4,p4\n")
+    got = read_survey(spark, str(tmp_path)).select("producto", "precio").collect()
+    assert sorted(map(tuple, got)) == [(f"p{n}", str(n)) for n in range(5)]
