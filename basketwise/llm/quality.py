@@ -12,6 +12,10 @@ what its rows weigh; the others stand for those left out.
 Only the counts of vote patterns (at most 3 to the number of labellers) and the sampled texts' hashed
 shares reach the driver.
 
+Words are runs between white space; longer ones than PIECE count in consecutive pieces, so texts of
+scripts without spaces are scored to their end. The vote on length counts the letters of long words
+too, and long words of letters without case say nothing about word lengths and sentences.
+
 Defined results: a null text is an empty one; an empty text is voted bad by its length; repeated rows
 count each; an empty table gives no rows and an untrained scorer of 0.5; other columns are not
 looked at.
@@ -36,33 +40,48 @@ DIMENSIONS = 1 << 12
 SAMPLE = 4000
 #: Distinct words whose shapes a task keeps.
 KEPT = 300_000
+#: Characters of a word that are looked at as one; of a word that counts as long; letters that count as a word within one.
+PIECE, LONG, LETTERS = 64, 12, 6
 
 
 def _vote(value: float, bad_above: float, good_below: float) -> int:
     return -1 if value > bad_above else 1 if value < good_below else 0
 
 
+def _size(words: list[str]) -> int:
+    """The number of words; a long one counts by its letters."""
+    return sum(max(1, sum(map(str.isalpha, w)) // LETTERS) if len(w) > LONG else 1 for w in words)
+
+
+def _caseless(text: str) -> bool:
+    """Whether most letters are of scripts without case."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c.islower() or c.isupper() for c in letters) < len(letters)
+
+
 def votes(text: str) -> list[int]:
     """1 good, -1 bad, 0 nothing, by labeller."""
     words = text.split()
     n = len(words)
+    short = -1 if n < 5 and _size(words) < 5 else 0
     if n < 3:
-        return [0, 0, 0, 0, 0, -1, 0, 0]
+        return [0, 0, 0, 0, 0, short, 0 if short or _caseless(text) else -1, 0]
     raw = text.encode("utf-8", "replace")
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = [line for line in text.split("\n") if line.strip()]
     variety = math.log(len(set(words))) / math.log(n)
     length = len(text) / n - 1
     ends = raw.count(b".") + raw.count(b",") + raw.count(b"?")
+    unspaced = length > 9.5 and _caseless(text)
     return [
         _vote(sum(map(eq, words, words[1:])) / n, 0.1, 0.02),
         _vote(sum(map(str.isupper, words)) / n, 0.3, 0.1),
         _vote(symbols / n, 0.2, 0.03),
         _vote(-variety, -0.7, -0.8) if n >= 20 else 0,
         _vote(1 - len(set(lines)) / len(lines), 0.3, 0.05) if len(lines) > 3 else 0,
-        0 if n >= 20 else -1 if n < 5 else 0,
-        _vote(abs(length - 5.5), 4, 2.5),
-        _vote(abs(math.log((ends + 0.5) / n) + 2), 2, 1.2),
+        short,
+        0 if unspaced else _vote(abs(length - 5.5), 4, 2.5),
+        0 if unspaced else _vote(abs(math.log((ends + 0.5) / n) + 2), 2, 1.2),
     ]
 
 
@@ -128,8 +147,15 @@ _RUNS = re.compile(r"(.)\1+")
 
 def shape(word: str) -> str:
     """Letters by case and digits, runs taken together, other characters as they are; and whether the word is long."""
-    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c for c in word[:64])
-    return _RUNS.sub(r"\1+", kinds) + ("_" if len(word) > 12 else "")
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c for c in word)
+    return _RUNS.sub(r"\1+", kinds) + ("_" if len(word) > LONG else "")
+
+
+def _pieces(words: list[str]) -> list[str]:
+    """The words, those longer than PIECE in consecutive pieces."""
+    if not words or max(map(len, words)) <= PIECE:
+        return words
+    return [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
 
 
 class Features:
@@ -150,7 +176,7 @@ class Features:
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(places, shares), the shares as square roots."""
-        words = text.split()
+        words = _pieces(text.split())
         if not words:
             return np.array([0]), np.array([1.0], np.float32)
         look = self._look

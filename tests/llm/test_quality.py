@@ -83,3 +83,25 @@ def test_a_text_of_a_third_of_all_rows_weighs_a_third(spark):
         weight = given["weight"] / given["weight"].sum()
         assert given["rows"] == 200 and abs(weight.max() - 1 / 3) < 0.07 and np.sort(weight)[-2] < 0.01
         assert 0.2 < weight @ (given["goal"] < 0.5) < 0.47
+
+
+def test_texts_without_spaces_count_to_their_end(spark):
+    features = quality.Features(quality.DIMENSIONS)
+    head = "中文文本" * 16
+    for tail in ("。，%" * 50, "Ab9" * 100, "#" * 5000 + "x1" * 40):
+        for text in (head, "f00dF" * 13):
+            plain, longer = (dict(zip(*map(list, features.of(t)), strict=True)) for t in (text, text + tail))
+            assert plain != longer and len(longer) > 2
+    a, b = (features.of("a" * 64 + end) for end in ("b7-" * 40, "B?7" * 40))
+    assert list(a[0]) != list(b[0])
+    clean = "这是一个关于天气的普通句子，今天下雨，明天会晴。" * 30
+    assert -1 not in quality.votes(clean) and -1 not in quality.votes("\n".join(clean[k:] for k in range(4)))
+    # Short texts stay bad by length, long runs of letters with case by the lengths of their words.
+    assert quality.votes("好。")[5] == quality.votes("two words")[5] == quality.votes("a b c d")[5] == quality.votes("=" * 500)[5] == -1
+    assert quality.votes("dGhpcyBpcyBub3Qg" * 40)[6] == -1
+    rows = [(n, PROSE + f"And line {n}.") for n in range(30)] + [(100 + n, JUNK + str(n)) for n in range(10)]
+    rows += [(200, "a" * 64), (201, "a" * 64 + "!%$A" * 200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    _, scorer = quality.train(frame.where("doc_id < 200"), quality.voted(frame.where("doc_id < 200")))
+    scores = {r["doc_id"]: r["score"] for r in quality.score(frame, scorer).collect()}
+    assert scores[200] != scores[201]
