@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.llm import contamination, embedding_dedup, jaccard_join, language_id, packing, pii, quality, sharding, url_reputation, warc
+from basketwise.llm import contamination, embedding_dedup, jaccard_join, language_id, merkle, packing, pii, quality, sharding, url_reputation, warc
 from basketwise.llm.common import ship, table
 from basketwise.session import materialise, work_dir
 
@@ -192,3 +192,52 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_count_vector_jaccard")
 def jaccard_components(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
+#: The unsigned CRC-32 of a decimal number, bit by bit, in SQL.
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda r, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(r, b)),
+      CAST(4294967295 AS BIGINT)))"""
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+
+def _levels(name: str, first: str) -> str:
+    """All levels of the trees whose leaves are (tree, lvl, idx, n, h)."""
+    return f"""{name} AS ({first} UNION ALL SELECT tree, lvl + 1, idx // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx))
+      FROM {name} WHERE n > 1 GROUP BY tree, lvl, idx // 2)"""
+
+
+def _fold(name: str, first: str, levels: str) -> str:
+    """Steps of rows (id, tree, lvl, idx, n, own, proof) up to the roots of their trees."""
+    return f"""{name} AS ({first} UNION ALL SELECT f.id, f.tree, f.lvl + 1, f.idx // 2, (f.n + 1) // 2,
+      sha256(CASE WHEN f.idx % 2 = 0 THEN f.own || coalesce(s.h, '') ELSE s.h || f.own END), f.proof || coalesce(s.h, '')
+      FROM {name} f LEFT JOIN {levels} s ON s.tree = f.tree AND s.lvl = f.lvl AND s.idx = xor(f.idx, 1) WHERE f.n > 1)"""
+
+
+_TREES = _levels("nodes", "SELECT tree, 0 AS lvl, idx, n, leaf AS h FROM numbered")
+_TOP = _levels("tops", "SELECT 0 AS tree, 0 AS lvl, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, h FROM nodes WHERE n = 1")
+_UP = _fold("up", "SELECT id, tree, 0 AS lvl, idx, n, altered AS own, '' AS proof FROM numbered", "nodes")
+_OVER = _fold("over", "SELECT id, 0 AS tree, 0 AS lvl, t.idx, t.n, own, proof FROM up JOIN named t ON t.name = up.tree WHERE up.n = 1", "tops")
+
+
+@query(
+    "op11_postorder_merkle_log",
+    f"""WITH RECURSIVE leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_LEAF.format(n="n_chars")} AS leaf,
+      CASE WHEN {_CRC32.format("doc_id")} % 7 = 0 THEN {_LEAF.format(n="(n_chars + 1)")} ELSE {_LEAF.format(n="n_chars")} END AS altered FROM documents),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS id,
+      row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+    {_TREES}, {_TOP}, {_UP},
+    named AS (SELECT tree AS name, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, h AS subroot FROM nodes WHERE n = 1),
+    {_OVER}
+    SELECT doc_id, leaf, subroot, tops.h AS root, sha256(proof) AS proof_sha256, own AS folded_root, own = tops.h AS verified
+    FROM over JOIN numbered USING (id) JOIN named ON named.name = numbered.tree, tops WHERE over.n = 1 AND tops.n = 1""",
+)
+def merkle_proofs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [F.col("n_chars") + 1 if c == 3 else f for c, f in enumerate(fields)]
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    leaves = documents.select("doc_id", "lang", merkle.leaf(*fields).alias("digest"), F.when(tampered, merkle.leaf(*changed)).alias("altered"))
+    made = merkle.manifest(materialise(leaves, "digests"), "doc_id", "lang")
+    return merkle.proofs(made, "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
