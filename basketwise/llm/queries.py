@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.llm import contamination, embedding_dedup, jaccard_join, language_id, merkle, packing, pii, quality, sharding, url_reputation, warc
+from basketwise.llm import contamination, embedding_dedup, jaccard_join, language_id, merkle, packing, pii, quality, secret_ownership, sharding, url_reputation, warc
 from basketwise.llm.common import ship, table
 from basketwise.session import materialise, work_dir
 
@@ -241,3 +241,43 @@ def merkle_proofs(spark: SparkSession, folder: str) -> DataFrame:
     leaves = documents.select("doc_id", "lang", merkle.leaf(*fields).alias("digest"), F.when(tampered, merkle.leaf(*changed)).alias("altered"))
     made = merkle.manifest(materialise(leaves, "digests"), "doc_id", "lang")
     return merkle.proofs(made, "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_GAPS = """{name} AS (SELECT id, t, regexp_extract_all(t, '{form}') AS m, string_split_regex(t, '{form}') AS g FROM docs),
+    {name}_at AS (SELECT id, m[k] AS v, CAST(list_sum(list_transform(g[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+      FROM {name}, unnest(range(1, len(m) + 1)) AS u(k))"""
+_ASSIGN_SQL = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+"""
+_VALUE_SQL = f"^{_ASSIGN_SQL.removesuffix('[A-Za-z0-9+/_.=-]+')}([A-Za-z0-9+/_.=-]+)$"
+
+
+@query(
+    "op13_secret_ownership",
+    f"""WITH docs AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS t FROM documents),
+    {_GAPS.format(name="assign", form=_ASSIGN_SQL)}, {_GAPS.format(name="access", form="AKIA[A-Z0-9]+")},
+    {_GAPS.format(name="hexa", form="[0-9a-f]{24,}")}, {_GAPS.format(name="opaque", form="[A-Za-z0-9_-]{24,}")},
+    base AS (SELECT id, a, 0 AS rank, a + length(v) AS b, regexp_extract(v, '{_VALUE_SQL}', 1) AS v FROM assign_at WHERE length(regexp_extract(v, '{_VALUE_SQL}', 1)) >= 6
+      UNION ALL SELECT id, a, 1, a + length(v), v FROM access_at WHERE length(v) >= 20 UNION ALL SELECT id, a, 2, a + length(v), v FROM hexa_at),
+    mixed AS (SELECT id, a, 3 AS rank, a + length(v) AS b, v FROM opaque_at WHERE regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')
+      AND regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 12),
+    cand AS (FROM base UNION ALL SELECT m.* FROM mixed m ANTI JOIN base ON base.id = m.id AND base.a < m.b AND m.a < base.b),
+    held AS (SELECT DISTINCT v, coalesce(source, chr(0)) AS owner FROM cand JOIN docs USING (id)),
+    counted AS (SELECT v, count(*) AS owners FROM held GROUP BY v),
+    judged AS (SELECT id, rank, a, owners = 1 AS live, ['assign', 'access', 'hex', 'opaque'][rank + 1] || ':' || a || ':' || b AS span
+      FROM cand JOIN counted USING (v) WHERE rank < 3 OR owners = 1),
+    by_doc AS (SELECT id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+      string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3) AS based, string_agg(span, ',' ORDER BY a, rank) AS spans,
+      count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM judged GROUP BY id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+      sha256(coalesce(based, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+    FROM docs LEFT JOIN by_doc USING (id)""",
+)
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources are the owners, documents their repositories."""
+    found = secret_ownership.scan(table(spark, folder, "documents"), "doc_id", "text", "doc_id", "source")
+    count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_ownership.written(base), 256).alias("base_sha256"), secret_ownership.written(F.col("spans")).alias("spans"),
+        "n_live", "n_example",
+    )
