@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from basketwise.llm import contamination, embedding_dedup, jaccard_join, language_id, merkle, packing, pii, quality, secret_ownership, sharding, url_reputation, warc
+from basketwise.llm import contamination, conversation_trie, embedding_dedup, jaccard_join, language_id, merkle, packing, pii, quality, secret_ownership, sharding, url_reputation, warc
 from basketwise.llm.common import ship, table
+from basketwise.llm.numbering import numbered
 from basketwise.session import materialise, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,6 +244,56 @@ def merkle_proofs(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.proofs(made, "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def rebuilt_conversations(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(conv, length) and (conv, depth, id, chars): the first turns of each hundred's conversation, then the own ones after as many."""
+    conv, heads = F.col("conv_id"), F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    said = table(spark, folder, "conversations").where(conv.isNotNull()).select(
+        "conv_id", "turn", conversation_trie.turn_digest(F.col("role"), F.col("text")).alias("id"),
+        F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("chars"),
+    )
+    own = materialise(numbered(said, "conv_id", "turn", "id"), "turns")
+    known = own.where("index = 0").select("conv_id", "total", heads.alias("heads"), (conv - conv % 100).alias("base"))
+    bases = known.where("conv_id = base").select("base", F.col("total").alias("offered"))
+    taken = F.least("heads", F.coalesce("offered", F.lit(0)))
+    members = known.join(bases, "base", "left").select("conv_id", "base", "heads", "total", taken.alias("taken"))
+    members = materialise(members, "members")
+    head = own.where((F.col("conv_id") % 100 == 0) & (F.col("index") < 5)).select(F.col("conv_id").alias("base"), "index", "id", "chars")
+    first = members.join(head, "base").where("index < taken").select("conv_id", (F.col("index") + 1).alias("depth"), "id", "chars")
+    rest = own.where(F.col("index") >= heads).select("conv_id", "index", "id", "chars").join(members, "conv_id")
+    rest = rest.select("conv_id", (F.col("taken") + F.col("index") - F.col("heads") + 1).alias("depth"), "id", "chars")
+    length = F.col("taken") + F.greatest(F.col("total") - F.col("heads"), F.lit(0))
+    turns = first.union(rest).withColumnRenamed("conv_id", "conv")
+    return members.select(F.col("conv_id").alias("conv"), length.cast("long").alias("length")), materialise(turns, "rebuilt")
+
+
+_PREFIX = "array_to_string(list_slice(ids, 1, {}), ' ')"
+
+
+@query(
+    "op12_double_array_prefix_trie",
+    f"""WITH said AS (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+      length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS idx FROM said),
+    convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format("conv_id")} % 6 AS h FROM own),
+    turns AS (SELECT c.conv_id, 0 AS part, o.idx, o.id, o.chars FROM convs c JOIN own o ON o.conv_id = c.base AND o.idx < c.h
+      UNION ALL SELECT conv_id, 1, idx, id, chars FROM own JOIN convs USING (conv_id) WHERE idx >= h),
+    seqs AS (SELECT conv_id, coalesce(ids, []) AS ids, coalesce(lens, []) AS lens FROM convs LEFT JOIN
+      (SELECT conv_id, list(id ORDER BY part, idx) AS ids, list(chars ORDER BY part, idx) AS lens FROM turns GROUP BY conv_id) USING (conv_id)),
+    passed AS (SELECT conv_id, d, {_PREFIX.format("d")} AS k, CASE WHEN d > 0 THEN {_PREFIX.format("d - 1")} END AS up,
+      CASE WHEN d > 0 THEN lens[d] ELSE 0 END AS chars, len(ids) = d AS ends FROM seqs, unnest(range(0, len(ids) + 1)) AS u(d)),
+    node AS (SELECT d, k, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * any_value(chars) AS saved,
+      sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM passed GROUP BY d, k),
+    kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY d, up),
+    told AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (d, k)),
+    below AS (SELECT a.d, a.k, sum(t.saved) AS saved, count(*) FILTER (t.n_children = 0) AS leaves FROM told t
+      JOIN passed p ON p.conv_id = t.conv_id AND p.d <= t.d JOIN (SELECT d, k FROM told) a ON a.d = p.d AND a.k = p.k GROUP BY a.d, a.k)
+    SELECT t.conv_id, t.d AS depth, u.conv_id AS parent_conv_id, t.n AS n_convs, t.n_children, b.leaves AS n_leaves,
+      CAST(b.saved AS BIGINT) AS saved_tokens, t.ends_sha256 FROM told t JOIN below b USING (d, k) LEFT JOIN told u ON u.d = t.d - 1 AND u.k = t.up""",
+)
+def conversation_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.nodes(*rebuilt_conversations(spark, folder))
+
+
 _GAPS = """{name} AS (SELECT id, t, regexp_extract_all(t, '{form}') AS m, string_split_regex(t, '{form}') AS g FROM docs),
     {name}_at AS (SELECT id, m[k] AS v, CAST(list_sum(list_transform(g[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a
       FROM {name}, unnest(range(1, len(m) + 1)) AS u(k))"""
