@@ -100,7 +100,7 @@ _ICC = """(SELECT 1 / least(greatest(CASE WHEN sum(n * (n - 1) * mu * (1 - mu))
     f"""WITH parsed AS ({_PARSED}),
     named AS (SELECT *, {_LAST.format(n=2)} AS two, {_LAST.format(n=3)} AS three, {_LAST.format(n=1)} AS one FROM parsed),
     keyed AS (SELECT page_id, host, path, CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain,
-      CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix, try_cast(regexp_extract(path, '/([0-9]+)[^/]*$', 1) AS BIGINT) AS doc_id FROM named),
+      CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix, try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) AS BIGINT) AS doc_id FROM named),
     hosts AS (SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (quality = 0 OR toxic = 1) AS DOUBLE) AS k
       FROM keyed JOIN labels USING (doc_id) WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY ALL),
     total AS (SELECT coalesce(sum(k) / sum(n), 0) AS rate FROM hosts),

@@ -14,7 +14,6 @@ from basketwise.llm.queries import QUERIES
 @pytest.fixture(scope="module")
 def exact():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
 
 
