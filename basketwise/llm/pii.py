@@ -3,7 +3,8 @@
 Card numbers (Luhn), bank account numbers (mod 97), addresses of four octets and dates are validated;
 phone and social security numbers, e-mail addresses, access keys and passwords are found by form.
 Every value is permuted within its format by a key: digits stay digits, letters stay letters of
-their case, separators stay, check digits hold again, dates stay dates. The permutation depends on
+their case (a to f among themselves), separators stay, check digits hold again, dates stay dates,
+those of the years 1900 to 2100 among themselves. The permutation depends on
 the key and the value alone, so equal values get equal pseudonyms in all documents, without a join.
 
 Defined results: a null text stays null, an empty one empty; a value that fails its validation stays
@@ -16,10 +17,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 FORMS = {
     "key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{8,}+",
+    "secret": r"(?:(?i:\b(?:password|passwd|pwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?)|"
+    r"(?i:\b(?:bearer|(?:password|passwd|pwd)\s{1,3}is)\s{1,3}[\"']?)(?=[A-Za-z+/_.~-]*[0-9]))[A-Za-z0-9+/_.~-]{8,}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
     "account": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])|"
+    r"(?<![0-9+.)-])(?<![0-9] )(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "security": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "day": r"(?<![0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9-])",
@@ -30,7 +33,12 @@ ANY = "|".join(FORMS.values())
 HINT = "[0-9@=:]"
 
 ROUNDS = 8
+#: Characters that are permuted among themselves.
+CLASSES = [("0", "9"), ("a", "f"), ("g", "z"), ("A", "F"), ("G", "Z")]
+#: Days of recent dates, which stay among themselves, and of all others from year 1 to 9999; each is a product of two.
 FIRST_DAY, DAYS = "1900-01-01", (270, 271)
+OTHER_DAYS = (1569, 2281)
+BEFORE = 693_595
 
 
 def _bind(value: Column, body) -> Column:
@@ -46,21 +54,16 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def _shifted(half: Column, other: Column, turn: Column, key: Column, hexadecimal: Column) -> Column:
-    """Moves every digit and letter of a half by amounts that follow from the other half."""
-    letters = F.when(hexadecimal, 6).otherwise(26)
+def _shifted(half: Column, other: Column, turn: Column, key: Column) -> Column:
+    """Moves every digit and letter of a half within its class, by amounts that follow from the other half."""
 
     def move(c: Column, by: Column) -> Column:
-        def within(first: str, size: Column) -> Column:
-            start = ord(first)
-            return F.char(F.lit(start) + F.pmod(F.ascii(c) - start + by, size))
-
-        return (
-            F.when(c.between("0", "9"), within("0", F.lit(10)))
-            .when(c.between("a", "z"), within("a", letters))
-            .when(c.between("A", "Z"), within("A", letters))
-            .otherwise(c)
-        )
+        out = c
+        for first, last in CLASSES:
+            size = ord(last) - ord(first) + 1
+            within = F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + by, F.lit(size)))
+            out = F.when(c.between(first, last), within).otherwise(out)
+        return out
 
     def stream(digest: Column) -> Column:
         def each(c: Column, i: Column) -> Column:
@@ -72,17 +75,20 @@ def _shifted(half: Column, other: Column, turn: Column, key: Column, hexadecimal
 
 
 def permuted(text: Column, key: Column) -> Column:
-    """A keyed permutation of all texts of the same form: a Feistel network over the two halves."""
+    """A keyed permutation of all texts of the same form: a Feistel network over the two halves.
+
+    The form of a text is the class of each character. No round changes it, so that each is
+    one-to-one among the texts of a form, and hexadecimal texts stay hexadecimal.
+    """
 
     def network(value: Column) -> Column:
-        hexadecimal = value.rlike("^(?:[0-9a-f]*|[0-9A-F]*)$")
         cut = F.floor(F.length(value) / 2).cast("int")
-        halves = F.struct(F.substr(value, F.lit(1), cut).alias("l"), F.substr(value, cut + 1).alias("r"), hexadecimal.alias("h"))
+        halves = F.struct(F.substr(value, F.lit(1), cut).alias("l"), F.substr(value, cut + 1).alias("r"))
 
         def turn(s: Column, i: Column) -> Column:
-            left = F.when(i % 2 == 0, _shifted(s["l"], s["r"], i, key, s["h"])).otherwise(s["l"])
-            right = F.when(i % 2 == 1, _shifted(s["r"], s["l"], i, key, s["h"])).otherwise(s["r"])
-            return F.struct(left.alias("l"), right.alias("r"), s["h"].alias("h"))
+            left = F.when(i % 2 == 0, _shifted(s["l"], s["r"], i, key)).otherwise(s["l"])
+            right = F.when(i % 2 == 1, _shifted(s["r"], s["l"], i, key)).otherwise(s["r"])
+            return F.struct(left.alias("l"), right.alias("r"))
 
         turns = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
         return F.aggregate(turns, halves, turn, lambda s: F.concat(s["l"], s["r"]))
@@ -208,12 +214,20 @@ def _day_number(value: Column) -> Column:
 
 
 def _day(value: Column, key: Column) -> Column:
+    recent = DAYS[0] * DAYS[1]
+
     def written(n: Column) -> Column:
         date = F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
         iso, us, eu = (F.date_format(date, form) for form in ("yyyy-MM-dd", "MM/dd/yyyy", "dd.MM.yyyy"))
         return F.when(value.rlike("-"), iso).when(value.rlike("/"), us).otherwise(eu)
 
-    return _bind(permuted_number(_day_number(value), *DAYS, key), written)
+    def moved(n: Column) -> Column:
+        # Other dates are numbered from year 1, without the recent ones.
+        place = F.when(n < 0, n + BEFORE).otherwise(n + BEFORE - recent)
+        other = _bind(permuted_number(place, *OTHER_DAYS, key), lambda m: F.when(m < BEFORE, m - BEFORE).otherwise(m - BEFORE + recent))
+        return F.when(n.between(0, recent - 1), permuted_number(n, *DAYS, key)).otherwise(other)
+
+    return _bind(_bind(_day_number(value), moved), written)
 
 
 def _after(value: Column, prefix: str, key: Column) -> Column:
@@ -228,7 +242,7 @@ def kind_of(value: Column) -> Column:
     """The kind of a value that was found by form, or null where its validation fails."""
     octets = F.forall(F.split(value, r"\."), lambda o: o.cast("int") <= 255)
     number = _day_number(value)
-    checks = {"account": _account_valid(value), "card": _luhn_valid(value), "address": octets, "day": number.between(0, DAYS[0] * DAYS[1] - 1)}
+    checks = {"account": _account_valid(value), "card": _luhn_valid(value), "address": octets, "day": number.between(-BEFORE, OTHER_DAYS[0] * OTHER_DAYS[1] + DAYS[0] * DAYS[1] - BEFORE - 1)}
     out = F.lit(None).cast("string")
     for kind, form in reversed(FORMS.items()):
         valid = F.when(F.coalesce(checks[kind], F.lit(False)), kind) if kind in checks else F.lit(kind)
@@ -245,7 +259,7 @@ def pseudonym(value: Column, kind: Column, key: Column) -> Column:
         .when(kind == "day", _day(value, key))
         .when(kind == "phone", _after(value, r"(?:\+[0-9]{1,3}(?=[ .(-])|\+[0-9])", key))
         .when(kind == "key", _after(value, "AKIA", key))
-        .when(kind == "secret", _after(value, r"[A-Za-z_]+\s*[=:]\s*[\"']?", key))
+        .when(kind == "secret", _after(value, r"[A-Za-z_]+(?:\s*[=:]\s*|\s+is\s+|\s+)[\"']?", key))
         .when(kind == "email", _bind(F.substring_index(value, ".", -1), lambda top: F.concat(
             permuted(F.substr(value, F.lit(1), F.length(value) - F.length(top)), key), top)))
         .when(kind == "security", permuted(value, key))
