@@ -143,7 +143,9 @@ def pack(cut: DataFrame, key: str = "doc_id", limit: int = LIMIT, group: int = G
     The number of groups follows the number of pieces, so each task packs about `group` of them.
     """
     groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("grp", F.pmod(F.xxhash64(key, "piece", "ids_crc32", "length"), F.lit(groups)).cast("long"))
+    # Equal pieces are told apart by where they are written, so that they spread as well.
+    written = F.xxhash64(key, "piece", "ids_crc32", "length", F.monotonically_increasing_id())
+    dealt = cut.withColumn("grp", F.pmod(written, F.lit(groups)).cast("long"))
 
     def work(rows: pa.Table) -> pa.Table:
         order = [("length", "descending"), (key, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]

@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -127,3 +127,14 @@ def test_sum_of_squares_is_the_least_at_every_step():
         bins, offsets = packing.sum_of_squares(lengths, limit)
         gaps, n = brute_sum_of_squares(lengths.tolist(), limit)
         assert (limit - offsets).tolist() == gaps and bins.max() + 1 == n
+
+
+def test_equal_pieces_spread_over_the_groups(spark):
+    from basketwise.session import materialise
+
+    rows = spark.range(60_000).selectExpr("if(id < 20000, 7, id) AS doc_id", "0 AS piece", "0L AS start", "if(id < 20000, 100L, 1 + id % 400) AS length", "0L AS ids_crc32")
+    packed = packing.pack(materialise(rows, "equal")).collect()
+    groups = Counter(r["sequence_id"] >> 32 for r in packed)
+    assert len(groups) == 8 and max(groups.values()) < 1.1 * 60_000 / 8
+    least = -(-sum(r["length"] for r in packed) // 2048)
+    assert len({r["sequence_id"] for r in packed}) <= least + len(groups)
