@@ -1,11 +1,12 @@
 """Sharding through fixed virtual slots and a versioned map from slots to shards.
 
-Records are hashed into a fixed number of slots. Bytes and rows are summed per slot, and a map
+Records are hashed into a fixed number of slots, by key, text and a number among equal ones, so
+that the rows of a frequent key or text spread. Bytes and rows are summed per slot, and a map
 from slots to shards is edited, slot by slot, until the shards hold nearly equal bytes. The map
 is a table of (version, slot, shard); every edit is a new version, so old placements stay known.
 
-Defined results: a null text has no bytes; a null key is hashed by its text instead, so that such
-rows spread; repeated rows are separate records; an empty table leaves an even map and no rows;
+Defined results: a null text has no bytes; a null key is a key of its own, whose rows spread like
+others; repeated rows are separate records; an empty table leaves an even map and no rows;
 other columns of the input are not looked at.
 """
 
@@ -13,7 +14,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from basketwise.llm.numbering import numbered
+from basketwise.session import materialise
 
 SLOTS = 8192
 OVERHEAD = 16
@@ -115,19 +119,17 @@ def grow(current: SlotMap, loads: dict[int, int], shards: int) -> SlotMap:
     return SlotMap(current.version + 1, tuple(shard_of))
 
 
-def slot_of(key: Column, text: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key, F.when(key.isNull(), text)), F.lit(slots)).cast("int")
-
-
 def records(rows: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
-    """(key, size, text_crc32, vslot) of every row."""
+    """(key, size, text_crc32, vslot) of every row. A record is known by its key, its text and its number among equal ones."""
     content = F.coalesce(F.col(text), F.lit(""))
-    return rows.select(
+    sized = rows.select(
         F.col(key),
         (F.octet_length(content).cast("long") + OVERHEAD).alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
-        slot_of(F.col(key), F.col(text), slots).alias("vslot"),
+        F.xxhash64(F.col(key), F.col(text)).alias("content"),
     )
+    vslot = F.pmod(F.xxhash64("content", "index"), F.lit(slots)).cast("int")
+    return materialise(numbered(sized, "content").select(F.col(key), "size", "text_crc32", vslot.alias("vslot")), "records")
 
 
 def slot_loads(sized: DataFrame) -> dict[int, tuple[int, int]]:

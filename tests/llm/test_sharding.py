@@ -47,3 +47,14 @@ def test_edges(spark, tmp_path):
     assert sorted(r["size"] for r in got) == [16, 16, 16, 16, 17, 200_016]
     assert {(r["shard"], r["slot"]) for r in got} and len({(r["shard"], r["slot"]) for r in got}) == 6
     assert sharding.shard(frame.limit(0), "doc_id", "text", 3, str(tmp_path / "b")).count() == 0
+
+
+def test_a_frequent_key_or_text_spreads(spark, tmp_path):
+    rows = spark.range(30_000).selectExpr("if(id < 10000, 5, if(id < 20000, null, id)) AS doc_id", "if(id < 15000, 'equal text', concat('t', id)) AS text")
+    got = sharding.shard(rows, "doc_id", "text", 20, str(tmp_path / "hot")).collect()
+    loads, slots = {}, {}
+    for r in got:
+        loads[r["shard"]] = loads.get(r["shard"], 0) + r["size"]
+        slots[r["virtual_slot"]] = slots.get(r["virtual_slot"], 0) + 1
+    assert len(got) == 30_000 and max(loads.values()) < 1.01 * sum(loads.values()) / 20
+    assert max(slots.values()) < 25 and len({(r["shard"], r["slot"]) for r in got}) == 30_000
