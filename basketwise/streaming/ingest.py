@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from basketwise.operators.validation import rejected_rows, valid_rows, with_problems
-from basketwise.sinks.history import first_of_each, new_rows
+from basketwise.sinks.history import MONTH, first_of_each, new_rows
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1000) -> DataFrame:
@@ -50,22 +51,21 @@ def start_ingest(
 def start_dedupe(observations: DataFrame, root: str, trigger: dict = READ_AND_STOP) -> StreamingQuery:
     """Writes the stream without repeats of the identity of an observation, however late they come.
 
-    A batch is compared with what earlier batches kept for the same span of capture times, so no
-    state has to be bounded and no late first row is lost. A batch that runs again replaces its own
-    folder.
+    What is kept lies by month of capture, rows without a time in a part of their own. A batch is
+    compared with what earlier batches kept in the very months it holds, so no state has to be bounded,
+    no late first row is lost, and a row of an old date makes only its own month be read. A batch that
+    runs again replaces its own folders.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         staged = batch_path(f"{root}/arrived", batch_id)
-        first_of_each(batch).write.mode("overwrite").parquet(staged)
+        first_of_each(batch).withColumn(MONTH, F.trunc("captured_at", "month")).write.mode("overwrite").parquet(staged)
         new = spark.read.parquet(staged)
         if batch_id:
-            span = new.agg(F.min("captured_at").alias("since"), F.max("captured_at").alias("until"))
-            kept = spark.read.parquet(f"{root}/deduped").where(F.col("batch") < batch_id)
-            within = F.col("captured_at").between(span.select("since").scalar(), span.select("until").scalar())
-            new = new_rows(kept.where(within), new)
-        new.write.mode("overwrite").parquet(batch_path(f"{root}/deduped", batch_id))
+            new = new_rows(kept_in_months_of(new, f"{root}/deduped", batch_id), new)
+        parts = new.withColumn("batch", F.lit(batch_id).cast("long")).hint("rebalance", MONTH).write
+        parts.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(MONTH, "batch").parquet(f"{root}/deduped")
 
     return (
         observations.writeStream.foreachBatch(write)
@@ -73,3 +73,14 @@ def start_dedupe(observations: DataFrame, root: str, trigger: dict = READ_AND_ST
         .trigger(**trigger)
         .start()
     )
+
+
+def kept_in_months_of(batch: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """What earlier batches kept in the months of a batch; as many months as it holds are looked up."""
+    months = [r[MONTH] for r in batch.select(MONTH).distinct().collect()]
+    schema = StructType([*batch.schema.fields, StructField("batch", LongType())])
+    within = F.col(MONTH).isin([m for m in months if m is not None])
+    if None in months:
+        within = within | F.col(MONTH).isNull()
+    # Conditions on folders only, so that no other month is opened.
+    return batch.sparkSession.read.schema(schema).parquet(path).where(within & (F.col("batch") < batch_id)).drop("batch")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketwise.operators.consolidation import latest_prices, median_prices
-from basketwise.streaming.current import BatchTable, add_up, read_current, read_medians, start_current, start_medians
+from basketwise.streaming.current import KeyedTable, add_up, count_table, read_current, read_medians, start_current, start_medians
 from basketwise.streaming.ingest import file_stream, start_dedupe, start_ingest
 
 OBS = "ean string, store_id string, branch_id string, price double, captured_at timestamp_ntz, source string"
@@ -46,7 +46,7 @@ def test_current_prices(spark, feed, tmp_path, every):
     assert rows_of(read_current(spark, str(tmp_path), every).select(columns)) == rows_of(latest_prices(batch(spark, feed)).select(columns))
 
 
-@pytest.mark.parametrize("every", [2, 100])
+@pytest.mark.parametrize("every", [2, 3, 100])
 def test_medians(spark, feed, tmp_path, every):
     start_medians(stream(spark, feed), str(tmp_path), every).awaitTermination()
     columns = ["ean", "store_id", "price", "n_obs", "price_min", "price_max"]
@@ -54,7 +54,7 @@ def test_medians(spark, feed, tmp_path, every):
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
-    table = BatchTable(str(tmp_path), add_up, every=2)
+    table = KeyedTable(str(tmp_path), add_up, every=2)
     counts = spark.createDataFrame([("A", "x", 1.0, 3)], "ean string, store_id string, price double, n bigint")
     for batch_id in (0, 1, 2, 2, 3):
         table.append(batch_id, counts)
@@ -63,6 +63,49 @@ def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
     assert table.read(spark, 2).agg(F.sum("n")).first()[0] == 9
 
 
+def files_read(frame):
+    """How many files the scans of a plan without shuffles open."""
+    execution = frame._jdf.queryExecution()
+    execution.toRdd().count()
+    leaves = execution.executedPlan().collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numFiles").value() for k in range(leaves.size()))
+
+
+@pytest.mark.parametrize("every", [3, 100])
+def test_a_batch_reads_touched_buckets_only(spark, tmp_path, every):
+    table = KeyedTable(str(tmp_path / "state"), add_up, every=every, buckets=16)
+    row = "ean string, store_id string, price double, n bigint"
+    many = spark.createDataFrame([(str(k), "x", 1.0, 1) for k in range(400)], row)
+    few = spark.createDataFrame([("7", "x", 1.0, 5)], row)
+    for batch_id in range(8):
+        table.append(batch_id, few if batch_id == 5 else many)
+    buckets = table.touched(spark, 5, few.schema)
+    assert len(buckets) == 1
+    state = table.rows(spark, 5, buckets, few.schema)
+    # One folded folder at most, and the deltas of one bucket.
+    assert files_read(state) <= min(6, every) + 1 < 16
+    assert files_read(table.rows(spark, 5, None, few.schema)) >= 16 * 2
+    assert {r["n"] for r in add_up(state.where("ean = '7'")).collect()} == {10}
+    assert table.read(spark).agg(F.sum("n")).first()[0] == 7 * 400 + 5
+    # Each batch folds only the buckets that are due.
+    folds = sorted((tmp_path / "state" / "folded").glob("before=*"))
+    assert len(folds) == max(0, 8 - every) and all(len(list(f.glob("bucket=*"))) <= -(-16 // every) for f in folds)
+
+
+def test_dedupe_opens_only_the_months_of_a_batch(spark, tmp_path):
+    from basketwise.streaming.ingest import kept_in_months_of
+
+    when = [datetime(2020 + n // 12, n % 12 + 1, 3) for n in range(40)] + [None]
+    for n, rows in enumerate([[("A", "x", "", 1.0, t, "s") for t in when], [("A", "x", "", 2.0, t, "s") for t in (when[0], None, datetime(2030, 1, 1))]]):
+        spark.createDataFrame(rows, OBS).coalesce(1).write.parquet(str(tmp_path / "in" / f"part-{n}"))
+    start_dedupe(file_stream(spark, str(tmp_path / "in" / "*"), OBS, files_per_batch=1), str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out" / "deduped"))
+    # Rows without a time repeat no more, and an old row brings in its own month only.
+    assert got.count() == 42 and got.where("captured_at IS NULL").count() == 1
+    second = spark.read.parquet(str(tmp_path / "out" / "arrived" / "batch=1"))
+    assert files_read(kept_in_months_of(second, str(tmp_path / "out" / "deduped"), 1)) == 2
+
+
 def test_ingest_splits_valid_and_rejected(spark, feed, tmp_path):
     products = spark.createDataFrame([("0",), ("1",)], "ean string")
     stores = spark.createDataFrame([("x",)], "store_id string")
