@@ -7,7 +7,7 @@ every store sits in one row (one column per store). All totals of a basket then
 out of a single aggregation over its items: partial sums leave each task as one row per
 basket, and one shuffle of these rows serves the store totals, the split and the savings
 together. No list of items is collected, so a basket may be of any size. Pairs of stores
-are decided apart, by the sets of stores that sell an item.
+are decided apart, by the sets of stores that sell an item and by bounds of their totals.
 """
 
 from __future__ import annotations
@@ -196,69 +196,114 @@ LINE_CENTS = "CAST(floor({price} * quantity + 0.5D) AS DOUBLE)"
 MONEY = "floor({cents} + 0.5D) / 100.0D"
 
 
-def _widest_pairs(items: Items) -> DataFrame:
-    """(basket_id, first, second, coverage): the pairs of positions that cover most items of a basket.
+#: Prices of a line, by their rank among its offers, against which the stores of a pair are measured.
+REFERENCES = (0.1, 0.25, 0.5)
+#: Pairs of a basket that are priced first, those of the lowest bounds.
+FIRST_PAIRS = 4
+
+
+def _pair_lines(items: Items) -> DataFrame:
+    """(basket_id, quantity, prices) of the priced items, with the list of stores where baskets have their own."""
+    return items.rows.where("n_offers > 0").select(
+        "basket_id", "quantity", F.array(*items.prices).alias("prices"), *([F.col("enabled")] if items.own_stores else [])
+    )
+
+
+def _measured(lines: DataFrame, n_stores: int) -> DataFrame:
+    """Adds to every line what each store has at least to do with the subtotal of a pair, per reference: c0_0, c0_1, ...
+
+    For any reference m, min(a, b) >= (min(a, m) - m / 2) + (min(b, m) - m / 2), and 0 does for a store
+    without a price: the cheaper of two prices is bounded by a sum of what each store alone tells. Twice
+    these amounts are kept, in whole cents.
+    """
+    cents_of = "floor({} * quantity + 0.5D)"
+    rows = lines.withColumn("_sorted", F.array_sort(F.array_compact("prices")))
+    rows = rows.withColumns(
+        {f"_m{r}": F.expr(cents_of.format(f"get(_sorted, CAST(floor({share}D * size(_sorted)) AS INT))")) for r, share in enumerate(REFERENCES)}
+        | {"_most": F.expr(cents_of.format("get(_sorted, size(_sorted) - 1)"))}
+    )
+    own = {f"_a{i}": F.expr(cents_of.format(f"get(prices, {i})")) for i in range(n_stores)}
+    # Of a negative quantity the dearest price gives the lowest subtotal.
+    part = "CASE WHEN quantity < 0 THEN _most WHEN _a{i} IS NOT NULL THEN 2 * least(_a{i}, _m{r}) - _m{r} ELSE 0 END"
+    parts = {f"c{r}_{i}": F.expr(part.format(r=r, i=i)) for r in range(len(REFERENCES)) for i in range(n_stores)}
+    return rows.withColumns(own).withColumns(parts).drop("_sorted", "_most", *(f"_m{r}" for r in range(len(REFERENCES))), *own)
+
+
+def _bounded_pairs(lines: DataFrame, n_stores: int) -> DataFrame:
+    """(basket_id, pairs) with the pairs (bound, first, second, coverage) of positions that cover most items, lowest bounds first.
 
     Items are counted by the set of stores that sell them, so a basket has as many sets as
     its items differ in, never its items. Only stores with prices in the basket come in
     question, and the first one without, which stands for a second store that adds nothing.
+    No pair costs less than its bound, in half cents.
     """
-    own = [F.col("enabled")] if items.own_stores else []
-    sells = F.array_compact(F.array(*[F.when(p.isNotNull(), F.lit(i)) for i, p in enumerate(items.prices)]))
-    sold = items.rows.where("n_offers > 0").withColumn("sells", sells)
-    counted = sold.groupBy("basket_id", "sells", *own).agg(F.count("*").alias("n"))
-    size = F.size("enabled") if own else F.lit(len(items.stores))
+    own = ["enabled"] if "enabled" in lines.columns else []
+    sells = F.filter(F.transform("prices", lambda p, i: F.when(p.isNotNull(), i)), lambda i: i.isNotNull())
+    names = [[f"c{r}_{i}" for i in range(n_stores)] for r in range(len(REFERENCES))]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for row in names for c in row]
+    counted = _measured(lines, n_stores).withColumn("sells", sells).groupBy("basket_id", "sells", *own).agg(F.count("*").alias("n"), *sums)
+    size = F.size("enabled") if own else F.lit(n_stores)
     baskets = counted.groupBy("basket_id").agg(
         F.collect_list(F.struct("sells", "n")).alias("sets"),
         F.array_distinct(F.flatten(F.collect_list("sells"))).alias("sellers"),
         F.max(size).alias("n_stores"),
+        *(F.sum(c).alias(c) for row in names for c in row),
     )
+    baskets = baskets.select("basket_id", "sets", "sellers", "n_stores", F.array(*(F.array(*row) for row in names)).alias("parts"))
     idle = F.array_except(F.sequence(F.lit(0), F.col("n_stores") - 1), "sellers")
     candidates = F.array_sort(F.concat("sellers", F.slice(idle, 1, 1)))
-    pairs = F.flatten(
-        F.transform(
-            "candidates",
-            lambda i: F.transform(F.filter("candidates", lambda j: j > i), lambda j: F.struct(i.alias("first"), j.alias("second"))),
-        )
-    )
 
-    def coverage(pair: Column) -> Column:
+    def coverage(i: Column, j: Column) -> Column:
         def add(total: Column, s: Column) -> Column:
-            either = F.array_contains(s["sells"], pair["first"]) | F.array_contains(s["sells"], pair["second"])
+            either = F.array_contains(s["sells"], i) | F.array_contains(s["sells"], j)
             return total + F.when(either, s["n"]).otherwise(F.lit(0))
 
         return F.aggregate("sets", F.lit(0).cast("bigint"), add)
 
-    covered = F.transform("pairs", lambda p: F.struct(coverage(p).alias("coverage"), p["first"].alias("first"), p["second"].alias("second")))
-    most = F.array_max(F.transform("covered", lambda p: p["coverage"]))
-    return (
-        baskets.withColumn("candidates", candidates)
-        .withColumn("pairs", pairs)
-        .withColumn("covered", covered)
-        .withColumn("most", most)
-        .select("basket_id", F.explode(F.filter("covered", lambda p: p["coverage"] == F.col("most"))).alias("p"))
-        .select("basket_id", "p.first", "p.second", "p.coverage")
-    )
+    def pair(i: Column, j: Column) -> Column:
+        bound = F.array_max(F.transform("parts", lambda row: F.get(row, i) + F.get(row, j)))
+        return F.struct(bound.alias("bound"), i.alias("first"), j.alias("second"), coverage(i, j).alias("coverage"))
 
+    later = lambda i: F.filter("candidates", lambda j: j > i)
+    pairs = F.flatten(F.transform("candidates", lambda i: F.transform(later(i), lambda j: pair(i, j))))
+    widest = F.filter("pairs", lambda p: p["coverage"] == F.col("most"))
+    every = baskets.withColumn("candidates", candidates).withColumn("pairs", pairs)
+    most = every.withColumn("most", F.array_max(F.transform("pairs", lambda p: p["coverage"])))
+    return most.select("basket_id", F.array_sort(widest).alias("pairs"))
 
-def best_pair(items: Items) -> DataFrame:
-    """Pair of stores that covers most items, then costs least, then comes first.
 
-    Only the pairs of greatest coverage are priced. Their lines are summed in the tasks
-    before they are shuffled.
-    """
-    wide = _widest_pairs(items)
-    lines = items.rows.where("n_offers > 0").select(
-        "basket_id", "quantity", F.array(*items.prices).alias("prices"), *([F.col("enabled")] if items.own_stores else [])
-    )
+def _pair_totals(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Totals in cents of pairs (basket_id, p); lines are summed in the tasks before they are shuffled."""
+    wide = pairs.select("basket_id", "p.first", "p.second", "p.coverage")
     priced = lines.join(wide, "basket_id").withColumn("cheaper", F.expr("least(get(prices, first), get(prices, second))"))
-    totals = priced.groupBy("basket_id", "first", "second", "coverage").agg(
+    return priced.groupBy("basket_id", "first", "second", "coverage").agg(
         F.count("*").alias("n_priced"),
         F.coalesce(F.expr(f"sum({LINE_CENTS.format(price='cheaper')})"), F.lit(0.0)).alias("total"),
-        *([F.any_value("enabled").alias("enabled")] if items.own_stores else []),
+        *([F.any_value("enabled").alias("enabled")] if "enabled" in lines.columns else []),
     )
+
+
+def priced_pairs(items: Items) -> DataFrame:
+    """The pairs of every basket that could be its best one, with their totals; the best one is among them.
+
+    Of the pairs that cover most items those of the lowest bounds are priced first, then those
+    whose bounds do not exceed the least total found so far.
+    """
+    lines = materialise(_pair_lines(items), "pair-lines")
+    pairs = materialise(_bounded_pairs(lines, len(items.stores)), "pairs")
+    first = pairs.select("basket_id", F.explode(F.slice("pairs", 1, FIRST_PAIRS)).alias("p"))
+    totals = materialise(_pair_totals(lines, first), "pair-totals")
+    least = totals.groupBy("basket_id").agg(F.min("total").alias("least"))
+    more = pairs.where(F.size("pairs") > FIRST_PAIRS).join(least, "basket_id")
+    left = F.filter(F.slice("pairs", FIRST_PAIRS + 1, F.size("pairs")), lambda p: p["bound"] <= 2 * F.col("least"))
+    again = more.select("basket_id", F.explode(left).alias("p"))
+    return totals.unionByName(_pair_totals(lines, again))
+
+
+def best_pair(items: Items) -> DataFrame:
+    """Pair of stores that covers most items, then costs least, then comes first."""
     best = F.min(F.struct("total", "first", "second", "coverage", "n_priced", *(["enabled"] if items.own_stores else [])))
-    chosen = totals.groupBy("basket_id").agg(best.alias("best")).select("basket_id", "best.*")
+    chosen = priced_pairs(items).groupBy("basket_id").agg(best.alias("best")).select("basket_id", "best.*")
     return chosen.select(
         "basket_id",
         _store_id(items, F.col("first")).alias("store_1"),

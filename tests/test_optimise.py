@@ -243,3 +243,41 @@ def test_message_reads_dearest_store_first(spark):
         "⚠️ *Sin precio (revisar en tienda):* Salt",
         "_Precios de referencia actualizados hoy._",
     ]
+
+
+def test_pairs_are_priced_only_where_they_can_still_win(spark):
+    """Forty stores with complete price lists: all pairs cover the most, few are priced, and the best is among them."""
+    rng = random.Random(11)
+    stores = [Store(f"s{k:02d}", f"S{k}") for k in range(40)]
+    level = [1 + rng.gauss(0, 0.05) for _ in stores]
+    table = {}
+    for e in range(30):
+        base = rng.uniform(10, 100)
+        table[f"e{e}"] = {s.id: round(base * f * (1 + rng.gauss(0, 0.1)), 2) for s, f in zip(stores, level, strict=True)}
+    rows = [(f"b{b}", f"e{e}", rng.choice([1, 2, 0.5])) for b in range(12) for e in rng.sample(range(30), 12)]
+    items = o.price_items(lines(spark, *rows), prices(spark, table), stores)
+    assert o.priced_pairs(items).count() < 0.05 * 12 * 780
+    bought = {}
+    for b, e, q in rows:
+        bought.setdefault(b, []).append((e, q))
+    cents = lambda p, q: int(round(p * 100) * q + 0.5)
+    for r in o.best_pair(items).collect():
+        totals = {
+            (i, j): sum(cents(min(table[e][stores[i].id], table[e][stores[j].id]), q) for e, q in bought[r["basket_id"]])
+            for i in range(40)
+            for j in range(i + 1, 40)
+        }
+        least = min(totals, key=lambda p: (totals[p], p))
+        assert (r["pair_first"], r["pair_second"], r["total"]) == (*least, totals[least] / 100)
+
+
+def test_bounds_hold_for_any_basket(spark):
+    """No pair costs less than its bound, whatever prices are missing and whatever the quantities."""
+    rng = random.Random(3)
+    table = {f"e{e}": {s.id: rng.choice([1, 5, 9.99, 20]) for s in STORES if rng.random() < 0.6} for e in range(20)}
+    rows = [(f"b{b}", f"e{rng.randrange(22)}", rng.choice([0, 1, 2.5, 7, -1])) for b in range(40) for _ in range(rng.randrange(1, 9))]
+    items = o.price_items(lines(spark, *rows), prices(spark, table), STORES)
+    pair_lines = o._pair_lines(items)
+    pairs = o._bounded_pairs(pair_lines, len(STORES)).select("basket_id", F.explode("pairs").alias("p"))
+    totals = o._pair_totals(pair_lines, pairs).join(pairs.select("basket_id", "p.first", "p.second", "p.bound"), ["basket_id", "first", "second"])
+    assert totals.count() > 40 and totals.where("bound > 2 * total").count() == 0
