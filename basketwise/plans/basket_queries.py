@@ -98,8 +98,8 @@ def items_missing_per_store(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "store_ranking",
-    f"""{BASKETS} SELECT ranked.basket_id, ranked.store_id, ranked.total, ranked.rank, ranked.rank = 1 AS is_best,
-      ranked.store_id = worst.store_id AS is_worst FROM ranked JOIN worst USING (basket_id)""",
+    f"""{BASKETS} SELECT basket_id, store_id, total, rank, rank = 1 AS is_best,
+      store_id = arg_max(store_id, (is_complete, total, -rank)) OVER (PARTITION BY basket_id) AS is_worst FROM ranked""",
 )
 def ranking(spark: SparkSession, folder: str) -> DataFrame:
     return store_ranking(_optimised(spark, folder)[1]).select(
@@ -160,14 +160,13 @@ def pair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SAVINGS = """
-SELECT s.basket_id, s.split_total, b.store_id AS best_store, b.total AS best_total,
+SELECT basket_id, split_total, b.store_id AS best_store, b.total AS best_total,
   w.store_id AS baseline_store, w.total AS baseline_total, w.is_complete AS baseline_is_complete,
-  floor((w.total - s.split_total) * 100 + 0.5) / 100 AS savings_vs_worst,
-  floor((b.total - s.split_total) * 100 + 0.5) / 100 AS savings_vs_best,
-  CASE WHEN w.total > 0 THEN CAST(floor(floor((w.total - s.split_total) * 100 + 0.5) / 100 / w.total * 100 + 0.5) AS BIGINT)
+  floor((w.total - split_total) * 100 + 0.5) / 100 AS savings_vs_worst,
+  floor((b.total - split_total) * 100 + 0.5) / 100 AS savings_vs_best,
+  CASE WHEN w.total > 0 THEN CAST(floor(floor((w.total - split_total) * 100 + 0.5) / 100 / w.total * 100 + 0.5) AS BIGINT)
        ELSE 0 END AS savings_pct
-FROM basket_size s JOIN ranked b ON b.basket_id = s.basket_id AND b.rank = 1
-JOIN worst w ON w.basket_id = s.basket_id"""
+FROM basket_size JOIN ends USING (basket_id)"""
 
 
 @query("basket_savings", f"{BASKETS} {SAVINGS}")

@@ -234,7 +234,8 @@ ranked AS (
            ORDER BY coverage = n_priced DESC, coverage DESC, total, pos) AS rank
   FROM singles
 ),
-worst AS (
-  SELECT * FROM ranked
-  QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY is_complete DESC, total DESC, rank) = 1
+ends AS (
+  SELECT basket_id, arg_min({'store_id': store_id, 'total': total}, rank) AS b,
+    arg_max({'store_id': store_id, 'total': total, 'is_complete': is_complete}, (is_complete, total, -rank)) AS w
+  FROM ranked GROUP BY basket_id
 )"""

@@ -228,11 +228,10 @@ _FILLERS = ", ".join(f"('{s}', {int(FILLER_BASE * f * 10 + 0.5) / 10})" for s, f
       FROM basket_size b CROSS JOIN stores s LEFT JOIN offers o ON o.basket_id = b.basket_id AND o.store_id = s.store_id GROUP BY ALL),
     ranked AS (SELECT *, coverage = n_priced AS is_complete,
         row_number() OVER (PARTITION BY basket_id ORDER BY coverage = n_priced DESC, coverage DESC, total, pos) AS rank FROM singles),
-    worst AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY basket_id ORDER BY is_complete DESC, total DESC, rank) = 1)
-    SELECT s.basket_id, n_priced, split_total, b.store_id AS best_store, b.total AS best_total, w.store_id AS baseline_store,
-      floor((w.total - split_total) * 100 + 0.5) / 100 AS savings_vs_worst
-    FROM (SELECT basket_id, n_priced, split_total FROM basket_size) s JOIN (SELECT basket_id, store_id, total FROM ranked WHERE rank = 1) b USING (basket_id)
-    JOIN (SELECT basket_id, store_id, total FROM worst) w USING (basket_id)""",
+    ends AS (SELECT basket_id, arg_min({{'store_id': store_id, 'total': total}}, rank) AS b,
+      arg_max({{'store_id': store_id, 'total': total}}, (is_complete, total, -rank)) AS w FROM ranked GROUP BY basket_id)
+    SELECT basket_id, n_priced, split_total, b.store_id AS best_store, b.total AS best_total, w.store_id AS baseline_store,
+      floor((w.total - split_total) * 100 + 0.5) / 100 AS savings_vs_worst FROM basket_size JOIN ends USING (basket_id)""",
 )
 def list_savings(spark: SparkSession, folder: str) -> DataFrame:
     """From written lists to savings, with items outside the catalog at their filler prices."""
