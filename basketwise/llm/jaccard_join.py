@@ -41,7 +41,7 @@ SIMILAR = (80, 100)
 #: Fewest groups of a point, shingles per group at most, and classes in a leaf of a tree.
 GROUPS, PER_GROUP, LEAF = 64, 8, 32
 #: Shingles a task holds at once; of each such block the commonest, from a least count on, are reported.
-BLOCK, REPORTED, COMMON = 1_000_000, 16_384, 3
+BLOCK, REPORTED, COMMON = 400_000, 16_384, 3
 #: The commonest shingles of all texts that go last in the order: a fixed bound of what is broadcast.
 LAST = 131_072
 #: Prefix shingles per bucket; classes that give pairs at once; classes of a cell that is one task's work;
@@ -51,7 +51,8 @@ BUCKET, FEW, CELL, PART, TILE = 300_000, 8, 512, 1024, 400_000
 #: Bits that say which rows are fetched: a fixed size of what is broadcast.
 BITS = 1 << 23
 
-_WORDS_KEPT = 500_000
+#: Bytes of words whose hashes a task keeps.
+_BYTES_KEPT = 4 << 20
 
 
 class Shingler:
@@ -60,6 +61,7 @@ class Shingler:
     def __init__(self, size: int) -> None:
         self.size = size
         self.words: dict[bytes, int] = {}
+        self.held = 0
         rng = np.random.default_rng(20_240_101)
         self.factors = rng.integers(1, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -69,16 +71,14 @@ class Shingler:
         if not listed:
             return np.empty(0, np.uint64)
         known = self.words
-        if len(known) > _WORDS_KEPT:
+        if self.held > _BYTES_KEPT:
             known.clear()
-        try:
-            codes = [known[w] for w in listed]
-        except KeyError:
-            for w in set(listed):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            codes = [known[w] for w in listed]
-        codes = np.array(codes, dtype=np.uint64)
+            self.held = 0
+        for w in set(listed):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
+                self.held += len(w)
+        codes = np.fromiter(map(known.__getitem__, listed), dtype=np.uint64, count=len(listed))
         n = max(1, len(codes) - self.size + 1)
         with np.errstate(over="ignore"):
             total = np.full(n, min(len(codes), self.size), dtype=np.uint64)
@@ -129,7 +129,11 @@ def _describing(size: int):
 
         def common(like: pa.DataType) -> Iterator[pa.RecordBatch]:
             if held:
-                tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+                flat = np.concatenate(held)
+                held.clear()
+                flat.sort()
+                begin = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+                tokens, counts = flat[begin], np.diff(np.append(begin, len(flat)))
                 some = np.nonzero(counts >= COMMON)[0]
                 some = some[np.argsort(-counts[some], kind="stable")][:REPORTED]
                 yield out(1, pa.nulls(len(some), like), pa.nulls(len(some), pa.int64()), counts[some], tokens[some].view(np.int64), None)
@@ -154,7 +158,6 @@ def _describing(size: int):
                 total += len(found)
                 if total > BLOCK:
                     yield from common(like)
-                    held.clear()
                     total = 0
             yield out(0, ids, rows, ns, nodes, points)
         yield from common(like)
@@ -168,9 +171,16 @@ def _beginning(size: int, similar: tuple[int, int], last: np.ndarray, weights: n
     A common shingle is spread over several buckets in proportion to its count.
     """
 
-    def out(tokens: list, nodes: list, sizes: list) -> pd.DataFrame:
-        t, x = np.concatenate(tokens), np.repeat(np.array(nodes, dtype=np.int64), [len(k) for k in tokens])
-        n = np.repeat(np.array(sizes, dtype=np.uint32), [len(k) for k in tokens])
+    def parts(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+        """The stretches of values between cuts, as bytes; they share the memory of the values."""
+        offsets = (np.append(cut, len(values)) * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+    def out(tokens: list, nodes: list, sizes: list) -> pa.RecordBatch:
+        lengths = [len(k) for k in tokens]
+        t, x = np.concatenate(tokens), np.repeat(np.array(nodes, dtype=np.int64), lengths)
+        n = np.repeat(np.array(sizes, dtype=np.uint32), lengths)
+        tokens.clear()
         spread = np.ones(len(t), dtype=np.uint64)
         place = np.searchsorted(last, t)
         place[place == len(last)] = 0
@@ -180,22 +190,17 @@ def _beginning(size: int, similar: tuple[int, int], last: np.ndarray, weights: n
         with np.errstate(over="ignore"):
             bucket = ((t >> np.uint64(7)) + (x.view(np.uint64) % spread) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
-        t, x, n, bucket = t[order], x[order], n[order], bucket[order].astype(np.int64)
-        cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        pairs = list(zip(cut[:-1], cut[1:], strict=True))
-        return pd.DataFrame(
-            {
-                "bucket": bucket[cut[:-1]], "tokens": [t[a:b].tobytes() for a, b in pairs],
-                "nodes": [x[a:b].tobytes() for a, b in pairs], "sizes": [n[a:b].tobytes() for a, b in pairs],
-            }
-        )
+        bucket = bucket[order].astype(np.int64)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        columns = [pa.array(bucket[cut]), *(parts(values[order], cut) for values in (t, x, n))]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "tokens", "nodes", "sizes"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         tokens, nodes, sizes, seen, total = [], [], [], set(), 0
         for batch in batches:
-            for text in batch["text"]:
-                found = shingler.hashes(text)
+            for text in batch.column(0):
+                found = shingler.hashes(text.as_py())
                 if not len(found) or (key := set_key(found)) in seen:
                     continue
                 seen.add(key)
@@ -334,18 +339,12 @@ def _pointing(similar: tuple[int, int]):
 
 
 def _verifying(size: int, similar: tuple[int, int]):
-    """(a, b) of a spanning forest of the links of a cell."""
+    """(a, b) of a spanning forest of the links of each cell, of rows sorted by cell.
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        shingler = Shingler(size)
-        nodes, sides, sets = [], [], []
-        for node, side, text in zip(rows["node"], rows["side"], rows["text"], strict=True):
-            found = shingler.hashes(text)
-            # A fetched row may be another text under the same hash.
-            if len(found) and set_key(found) == node:
-                nodes.append(node)
-                sides.append(side)
-                sets.append(found)
+    A text is hashed as it comes and let go, so that only the hashes of one cell are in memory.
+    """
+
+    def work(nodes: list, sides: list, sets: list) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets])
         label, out = np.arange(len(sets)), []
         for left, right in _survivors([point(s) for s in sets], n, np.array(sides), similar):
@@ -359,9 +358,29 @@ def _verifying(size: int, similar: tuple[int, int]):
                 if (large[place] == small).sum() >= needed(n[a], n[b], similar):
                     out.append((nodes[a], nodes[b]))
                     label[label == label[b]] = label[a]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        cell, nodes, sides, sets = None, [], [], []
+        for batch in batches:
+            for row in zip(*(batch.column(name) for name in ("cell", "node", "side", "text")), strict=True):
+                here, node, side = (x.as_py() for x in row[:3])
+                if here != cell:
+                    if len(sets) > 1:
+                        yield work(nodes, sides, sets)
+                    cell, nodes, sides, sets = here, [], [], []
+                found = shingler.hashes(row[3].as_py())
+                # A fetched row may be another text under the same hash.
+                if len(found) and set_key(found) == node:
+                    nodes.append(node)
+                    sides.append(side)
+                    sets.append(found)
+        if len(sets) > 1:
+            yield work(nodes, sides, sets)
+
+    return run
 
 
 def _tiles(links: DataFrame, classes: DataFrame, similar: tuple[int, int], parts: Column) -> DataFrame:
@@ -416,7 +435,7 @@ def classes_and_links(
     last, weights = last[by_token], order["n"].to_numpy(np.int64)[by_token]
     total = classes.agg(F.sum("n")).first()[0] or 0
     buckets = max(64, int(total * (similar[1] - similar[0]) // similar[1] // BUCKET))
-    begun = plain.select("text").mapInPandas(
+    begun = plain.select("text").mapInArrow(
         _beginning(size, similar, last, weights, buckets), "bucket long, tokens binary, nodes binary, sizes binary"
     )
     begun = begun.repartition(min(buckets, 4096), "bucket").sortWithinPartitions("bucket")
@@ -436,7 +455,8 @@ def classes_and_links(
     ids = materialise(wanted.select("row", "node").distinct(), "wanted")
     texts = _maybe(plain.select("row", "text"), ids).join(ids, "row")
     texts = materialise(texts.dropDuplicates(["row"]).select("node", "text"), "texts")
-    links = materialise(_by_cell(wanted.select("cell", "side", "node").join(texts, "node"), _verifying(size, similar)), "links")
+    verified = _by_cell(wanted.select("cell", "side", "node").join(texts, "node"))
+    links = materialise(verified.mapInArrow(_verifying(size, similar), "a long, b long"), "links")
     return rows, classes, links
 
 
@@ -456,9 +476,9 @@ def _maybe(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.where(bits.bitwiseAND(bit) != 0)
 
 
-def _by_cell(rows: DataFrame, work) -> DataFrame:
+def _by_cell(rows: DataFrame) -> DataFrame:
     parts = max(64, rows.sparkSession.sparkContext.defaultParallelism * 4)
-    return rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(in_cells("cell", work), "a long, b long")
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell")
 
 
 def _near_in_cells(around: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
@@ -475,7 +495,7 @@ def _near_in_cells(around: DataFrame, classes: DataFrame, similar: tuple[int, in
     large = rows.where(F.col("k") > CELL).select(F.col("x").alias("a"), F.col("y").alias("b"))
     tiles = _tiles(large, classes, similar, F.count("*") / PART)
     pointed = small.union(tiles).join(classes.select("node", "n", "point"), "node")
-    return _by_cell(pointed, _pointing(similar))
+    return _by_cell(pointed).mapInPandas(in_cells("cell", _pointing(similar)), "a long, b long")
 
 
 def _joined(documents: DataFrame, key: str, text: str, size: int, similar: tuple[int, int]) -> DataFrame:
