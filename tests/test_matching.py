@@ -151,3 +151,24 @@ def test_text_functions(spark):
     assert all(all(r) for r in frame.collect())
     keys = spark.createDataFrame([("12345678", True), ("1234567", False), ("1" * 15, False), ("1234567a", False), (None, False)], "k string, ok boolean")
     assert all(a == b for a, b in keys.select(is_key(F.col("k")), "ok").collect())
+
+
+def test_runs_that_meet_no_needle_are_not_moved(spark):
+    """The task that spells a text drops nearly all of its runs, and none that a needle is indexed under."""
+    import random
+
+    from basketwise.operators import matching
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéñ") for _ in range(rng.randrange(2, 9)))
+    texts = [(str(k), " ".join(word() for _ in range(40))) for k in range(200)]
+    needles = [texts[k][1].split(" ")[3] for k in range(0, 40, 4)] + ["q", "zz", "absent needle"]
+    frame = spark.createDataFrame(texts, "id string, text string")
+    asked = spark.createDataFrame([(n,) for n in dict.fromkeys(needles)], "needle string")
+    indexed = matching._indexed(asked)
+    sizes = sorted({len(r["run"]) for r in indexed.collect()})
+    every, moved = matching.text_runs(frame, ["id"], "text", sizes), matching.meeting_runs(frame, "id", "text", indexed, sizes)
+    assert every.join(indexed, "run", "left_semi").count() <= moved.count() < every.count() / 10
+    assert moved.join(indexed, "run", "left_semi").count() == every.join(indexed, "run", "left_semi").count()
+    got = {(r["id"], r["needle"]) for r in matching.contained(frame, "id", "text", asked).collect()}
+    assert got == {(k, n) for k, t in texts for n in set(needles) if n in t}
