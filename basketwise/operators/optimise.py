@@ -198,8 +198,8 @@ MONEY = "floor({cents} + 0.5D) / 100.0D"
 
 #: Prices of a line, by their rank among its offers, against which the stores of a pair are measured.
 REFERENCES = (0.1, 0.25, 0.5)
-#: Pairs of a basket that are priced first, those of the lowest bounds.
-FIRST_PAIRS = 4
+#: Pairs of a basket that are priced first, those of the lowest bounds: all pairs of five stores.
+FIRST_PAIRS = 10
 
 
 def _pair_lines(items: Items) -> DataFrame:
@@ -229,19 +229,20 @@ def _measured(lines: DataFrame, n_stores: int) -> DataFrame:
     return rows.withColumns(own).withColumns(parts).drop("_sorted", "_most", *(f"_m{r}" for r in range(len(REFERENCES))), *own)
 
 
-def _bounded_pairs(lines: DataFrame, n_stores: int) -> DataFrame:
+def _bounded_pairs(lines: DataFrame, n_stores: int, bounded: bool = True) -> DataFrame:
     """(basket_id, pairs) with the pairs (bound, first, second, coverage) of positions that cover most items, lowest bounds first.
 
     Items are counted by the set of stores that sell them, so a basket has as many sets as
     its items differ in, never its items. Only stores with prices in the basket come in
     question, and the first one without, which stands for a second store that adds nothing.
-    No pair costs less than its bound, in half cents.
+    No pair costs less than its bound, in half cents; without ``bounded`` all bounds are 0.
     """
     own = ["enabled"] if "enabled" in lines.columns else []
     sells = F.filter(F.transform("prices", lambda p, i: F.when(p.isNotNull(), i)), lambda i: i.isNotNull())
-    names = [[f"c{r}_{i}" for i in range(n_stores)] for r in range(len(REFERENCES))]
+    names = [[f"c{r}_{i}" for i in range(n_stores)] for r in range(len(REFERENCES) if bounded else 0)]
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for row in names for c in row]
-    counted = _measured(lines, n_stores).withColumn("sells", sells).groupBy("basket_id", "sells", *own).agg(F.count("*").alias("n"), *sums)
+    measured = _measured(lines, n_stores) if bounded else lines
+    counted = measured.withColumn("sells", sells).groupBy("basket_id", "sells", *own).agg(F.count("*").alias("n"), *sums)
     size = F.size("enabled") if own else F.lit(n_stores)
     baskets = counted.groupBy("basket_id").agg(
         F.collect_list(F.struct("sells", "n")).alias("sets"),
@@ -261,7 +262,7 @@ def _bounded_pairs(lines: DataFrame, n_stores: int) -> DataFrame:
         return F.aggregate("sets", F.lit(0).cast("bigint"), add)
 
     def pair(i: Column, j: Column) -> Column:
-        bound = F.array_max(F.transform("parts", lambda row: F.get(row, i) + F.get(row, j)))
+        bound = F.array_max(F.transform("parts", lambda row: F.get(row, i) + F.get(row, j))) if bounded else F.lit(0.0)
         return F.struct(bound.alias("bound"), i.alias("first"), j.alias("second"), coverage(i, j).alias("coverage"))
 
     later = lambda i: F.filter("candidates", lambda j: j > i)
@@ -287,10 +288,15 @@ def priced_pairs(items: Items) -> DataFrame:
     """The pairs of every basket that could be its best one, with their totals; the best one is among them.
 
     Of the pairs that cover most items those of the lowest bounds are priced first, then those
-    whose bounds do not exceed the least total found so far.
+    whose bounds do not exceed the least total found so far. Where the stores have no more pairs
+    than are priced first, no bound is needed.
     """
+    n = len(items.stores)
+    if n * (n - 1) // 2 <= FIRST_PAIRS:
+        every = _pair_lines(items)
+        return _pair_totals(every, _bounded_pairs(every, n, bounded=False).select("basket_id", F.explode("pairs").alias("p")))
     lines = materialise(_pair_lines(items), "pair-lines")
-    pairs = materialise(_bounded_pairs(lines, len(items.stores)), "pairs")
+    pairs = materialise(_bounded_pairs(lines, n), "pairs")
     first = pairs.select("basket_id", F.explode(F.slice("pairs", 1, FIRST_PAIRS)).alias("p"))
     totals = materialise(_pair_totals(lines, first), "pair-totals")
     least = totals.groupBy("basket_id").agg(F.min("total").alias("least"))
