@@ -27,6 +27,7 @@ from basketwise.plans.catalogue import query
 from basketwise.plans.ingest import run_ingest
 from basketwise.session import work_dir
 from basketwise.sinks.dimensions import upsert, upsert_report
+from basketwise.sinks.document import publish_document, read_document_head, read_document_products
 from basketwise.sinks.history import first_of_each, insert_or_ignore
 from basketwise.sinks.run_log import run_log
 from basketwise.sinks.snapshot import merge_cells, prices_snapshot, read_snapshot
@@ -72,6 +73,23 @@ def snapshot_map(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "snapshot_document",
+    f"""WITH {OBS}, {LATEST}
+    SELECT ean, store_id, CAST(price AS VARCHAR) AS price, currency, "generatedAt" FROM latest,
+      (SELECT strftime(max(captured_at), '%Y-%m-%dT%H:%M:%S.000Z') AS "generatedAt", 'MXN' AS currency FROM obs)""",
+)
+def snapshot_document(spark: SparkSession, folder: str) -> DataFrame:
+    root = work_dir(spark, "price-document")
+    header, per_product = prices_snapshot(observations(spark, folder), as_of())
+    version = publish_document(header, per_product, root, datetime(2002, 1, 1))
+    head = read_document_head(spark, root, "generatedAt string, currency string", version)
+    cells = read_document_products(spark, root, version)
+    return cells.withColumnRenamed("price_text", "price").withColumns(
+        {name: head.select(name).scalar() for name in ("currency", "generatedAt")}
+    )
+
+
 @query(
     "history_append",
     f"""WITH {OBS}, firsts AS (

@@ -13,6 +13,7 @@ from basketwise.plans.ingest import read_runs, run_ingest
 from basketwise.sinks.history import append_history, insert_or_ignore, read_history
 from basketwise.sinks.snapshot import prices_snapshot, read_snapshot, write_document, write_snapshot
 from basketwise.sinks.dimensions import upsert, upsert_report
+from basketwise.sinks.document import publish_document, read_document_head, read_document_products, read_manifest
 from basketwise.sources.dimensions import branches_of, load_dimensions, store_list
 from basketwise.sources.feeds import ManualSource, PageSource, SearchSource, SurveySource
 from basketwise.sources.manual import csv_fields, manual_feed, numbered_lines, read_manual
@@ -279,6 +280,53 @@ def test_snapshot_document(spark, tmp_path):
     assert lines == [{"ean": "A", "prices": {"b": 7.0, "x": 5.0}}, {"ean": "B", "prices": {"x": 1.0}}]
 
 
+def concatenated(spark, root, version):
+    """The document as a client gets it that reads the fragments one after the other."""
+    data = b""
+    for row in read_manifest(spark, root, version).orderBy("fragment").collect():
+        part = open(f"{root}/fragments/{version}/{row['file']}", "rb").read()
+        assert (row["begins"], row["length"]) == (len(data), len(part))
+        data += part
+    return json.loads(data)
+
+
+def test_fragments_make_one_document(spark, tmp_path):
+    keys = [f"p{n:04}" for n in range(500)] + ["é\"quoted\\", "line\nbreak", ",comma", "", "}}", '{"generatedAt"']
+    rows = [(k, s, None, 1.25 + n, NOW, "s") for n, k in enumerate(keys) for s in ("x", "b")]
+    rows += [("p0001", "x", None, 9.0, datetime(2026, 8, 1), "s")]
+    header, products = prices_snapshot(observed(spark, *rows), now())
+    root = str(tmp_path / "doc")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        version = publish_document(header, products, root, NOW)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert read_manifest(spark, root).count() > 1
+    document = concatenated(spark, root, version)
+    assert document.pop("products") == {r["ean"]: r["prices"] for r in products.collect()}
+    assert document == header.first().asDict()
+    assert list(document) == header.columns
+    cells = {(r["ean"], r["store_id"]): float(r["price_text"]) for r in read_document_products(spark, root).collect()}
+    assert cells == {(k, s): 1.25 + n for n, k in enumerate(keys) for s in ("x", "b")}
+    assert read_document_head(spark, root, "generatedAt string").first()["generatedAt"] == header.first()["generatedAt"]
+
+
+def test_document_without_products_and_unfinished_versions(spark, tmp_path):
+    root = str(tmp_path / "doc")
+    assert read_manifest(spark, root).count() == 0 and read_document_products(spark, root).count() == 0
+    header, products = prices_snapshot(observed(spark, (None, "x", None, 1.0, NOW, "s")).where("ean = 'none'"), now())
+    version = publish_document(header, products, root, NOW)
+    assert concatenated(spark, root, version)["products"] == {}
+    # Fragments of a run that died before its manifest.
+    spark.range(1).selectExpr("'{' AS value").write.text(f"{root}/fragments/29990101T000000000000")
+    assert {r["version"] for r in read_manifest(spark, root).collect()} == {version}
+    header, products = prices_snapshot(observed(spark, ("A", "x", None, 1.0, NOW, "s"), (None, "x", None, 1.0, NOW, "s")), now())
+    publish_document(header, products, root, datetime(2027, 1, 1))
+    assert [tuple(r) for r in read_document_products(spark, root).collect()] == [("A", "x", "1.0")]
+    assert concatenated(spark, root, version)["products"] == {}
+
+
 @dataclass(frozen=True)
 class Fixed:
     id: str
