@@ -8,7 +8,8 @@ logs the bytes between as a quarantined gap.
 
 Defined results: a null payload is empty; a null or repeated id is written as it is, and of equal
 payloads all rows with the smallest id are responses; a null url has no target header; line breaks
-in a url are percent-encoded; an empty table gives no records; other columns are not written.
+in a url are percent-encoded; an empty table gives no records; other columns are not written. A file
+holds no more than the bytes asked for, unless a single record is larger: that has a file of its own.
 """
 
 from __future__ import annotations
@@ -30,7 +31,12 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CAPTURED = "2024-01-01T00:00:00Z"
 
 SMALLEST_REVISIT = 100
-RECORDS_PER_FILE = 20_000
+#: Bytes of an archive, which one task reads back as a whole; only a single record may be larger.
+FILE_BYTES = 128 << 20
+#: Bytes of the classes of records that are written together; the last one takes all that are larger.
+CLASSES = [4096 * 16**n for n in range(5)]
+#: More bytes than the names and fixed values in the head of a record.
+HEAD_BYTES = 1024
 
 READ = (
     "file string, begins long, ends long, kind string, reason string, record_id string, record_type string, uri string, "
@@ -92,11 +98,28 @@ def record_text(page_id: str, url: str, payload: str) -> Column:
     return F.concat(*parts)
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html") -> None:
-    """Writes one record per row; each task writes archives of a bounded number of records."""
-    rows = with_revisits(pages.select(page_id, url, payload), page_id, payload)
-    values = rows.select(record_text(page_id, url, payload).alias("value"))
-    values.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(
+    pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", file_bytes: int = FILE_BYTES
+) -> None:
+    """Writes one record per row, into archives of no more than the given bytes.
+
+    Spark bounds the records of a file, not its bytes. So records are written by classes of size, each
+    with as many records a file as fit if all are as large as the class allows: the files of a class are
+    a sixteenth full at least. Most tables have one or two classes; classes without rows cost nothing.
+    """
+    pages = pages.select(page_id, url, payload)
+    body = F.coalesce(F.octet_length(payload), F.lit(0)).cast("long") + 3 * F.coalesce(F.octet_length(url), F.lit(0))
+    found = F.size(F.filter(F.array(*(F.lit(limit) for limit in CLASSES)), lambda limit: limit < body))
+    longest = F.max(F.octet_length(F.col(page_id).cast("string"))).alias("id_bytes")
+    seen = pages.groupBy(found.alias("size")).agg(longest).collect()
+    ids = 2 * max((r["id_bytes"] or 0 for r in seen), default=0)
+    # The size goes along, so that the rows of a class are chosen before payloads are joined.
+    rows = with_revisits(pages.withColumn("warc size", found), page_id, payload)
+    for n, size in enumerate(sorted(r["size"] for r in seen) or [0]):
+        fit = file_bytes // (CLASSES[size] + HEAD_BYTES + ids) if size < len(CLASSES) else 1
+        values = rows.where(F.col("warc size") == size).select(record_text(page_id, url, payload).alias("value"))
+        writer = values.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(fit, 1))
+        writer.mode("append" if n else "errorifexists").text(path)
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n:]+:[^\r\n]*\r\n)+)\r\n")
@@ -188,7 +211,8 @@ def salvage(data: bytes) -> Iterator[dict]:
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """One row per record and per quarantined gap of all archives in a folder; payloads on demand.
 
-    An archive is one task's work; the writer bounds how many records a file holds.
+    An archive is one task's work; the writer bounds how many bytes a file holds. Archives from elsewhere
+    must not exceed the 2 GiB of a binary value.
     """
     schema = READ + (", payload binary" if payloads else "")
     names = [part.split()[0] for part in schema.split(", ")]

@@ -1,6 +1,9 @@
 import gzip
 import hashlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from basketwise.llm import warc
 
 
@@ -41,6 +44,25 @@ def test_round_trip(spark, tmp_path):
     assert pages["urn:page:7"] == ROWS[6][2].encode() and pages["urn:page:8"] == b"x" * 100_000
 
 
+@pytest.mark.parametrize("bound", [1, 20_000, 300_000])
+def test_archives_are_bounded_by_bytes(spark, tmp_path, bound):
+    sizes = [n * 37 % 3000 for n in range(60)] + [4096, 4097, 60_000, 65_536, 65_537, 200_000, 1_100_000, 17_000_000] + [30_000] * 25
+    rows = [(n, f"http://h/{n}/" + "\r\n" * (n % 40), f"{n:06}" + "x" * size) for n, size in enumerate(sizes)]
+    rows += [(1000 + n, "u", "same " * 1000) for n in range(40)] + [(5, "u", "same " * 1000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    frame = frame.withColumns({"size": F.lit("clash"), "record_type": F.lit(7), "value": F.lit(None)}).coalesce(2)
+    path = str(tmp_path / "archives")
+    warc.write_archives(frame, path, file_bytes=bound)
+    read = warc.read_archives(spark, path)
+    assert read.where("kind = 'gap'").count() == 0
+    assert sorted((tuple(r) for r in warc.page_records(read).collect()), key=repr) == expected(rows)
+    files = read.groupBy("file").agg(F.count("*").alias("n"), F.max("ends").alias("length")).collect()
+    assert all(f["n"] == 1 or f["length"] <= bound for f in files)
+    if bound == 300_000:
+        # Files are filled: far fewer than records.
+        assert len(files) < len(rows) / 2
+
+
 def test_empty_table(spark, tmp_path):
     assert warc.read_archives(spark, archived(spark, tmp_path, [])).count() == 0
 
