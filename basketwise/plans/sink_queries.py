@@ -31,6 +31,7 @@ from basketwise.sinks.document import publish_document, read_document_head, read
 from basketwise.sinks.history import first_of_each, insert_or_ignore
 from basketwise.sinks.run_log import run_log
 from basketwise.sinks.snapshot import merge_cells, prices_snapshot, read_snapshot
+from basketwise.sinks.versions import VersionedTable
 from basketwise.sources.registry import Feed, Registry
 from basketwise.streaming.current import read_current, read_medians, start_current, start_medians
 from basketwise.streaming.ingest import file_stream, start_dedupe, start_ingest
@@ -55,6 +56,26 @@ def snapshot_merge(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("ean", "store_id", "price", (F.col("captured_at") >= SPLIT_DAY).alias("is_new"))
 
 
+@query(
+    "snapshot_versions",
+    f"""WITH {OBS.replace("obs AS", "all_obs AS")},
+    obs AS (SELECT * FROM all_obs WHERE captured_at < '{SPLIT_DAY}'), {MEDIANS.replace("medians AS", "old AS")},
+    late AS (SELECT * FROM all_obs WHERE captured_at >= '{SPLIT_DAY}' AND store_id = 'asia'),
+    {MEDIANS.replace("medians AS", "new AS").replace("FROM obs", "FROM late")}
+    SELECT CAST(1 AS BIGINT) AS version, ean, store_id, price FROM old
+    UNION ALL SELECT 2, ean, store_id, coalesce(new.price, old.price) FROM old FULL JOIN new USING (ean, store_id)""",
+)
+def snapshot_versions(spark: SparkSession, folder: str) -> DataFrame:
+    observed = observations(spark, folder)
+    cells = VersionedTable(work_dir(spark, "snapshot-versions"), ("ean", "store_id"), ("store_id",))
+    current = consolidate(observed.where(F.col("captured_at") < SPLIT_DAY))
+    # A later run of a source that knows one store only.
+    new = consolidate(observed.where((F.col("captured_at") >= SPLIT_DAY) & (F.col("store_id") == "asia")))
+    versions = [cells.merge(rows.select("ean", "store_id", "price")) for rows in (current, new)]
+    first, second = (cells.read(spark, v).select(F.lit(v).cast("bigint").alias("version"), "*") for v in versions)
+    return first.unionByName(second)
+
+
 @query(
     "snapshot_map",
     f"""WITH {OBS}, {LATEST}
@@ -144,6 +165,18 @@ def _old_and_new(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return old, new
 
 
+@query(
+    "dimension_versions",
+    """SELECT p_partkey, CASE WHEN p_size >= 20 THEN upper(p_name) ELSE p_name END AS name,
+      CASE WHEN p_size >= 20 THEN 'new' ELSE 'old' END AS version FROM part""",
+)
+def dimension_versions(spark: SparkSession, folder: str) -> DataFrame:
+    parts = VersionedTable(work_dir(spark, "dimension-versions"), ("p_partkey",))
+    for rows in _old_and_new(spark, folder):
+        parts.merge(rows)
+    return parts.read(spark)
+
+
 @query(
     "upsert_counts",
     """SELECT count(*) FILTER (p_size > 25) AS n_inserted, count(*) FILTER (p_size BETWEEN 20 AND 25) AS n_updated,

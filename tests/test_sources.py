@@ -14,6 +14,7 @@ from basketwise.sinks.history import append_history, insert_or_ignore, read_hist
 from basketwise.sinks.snapshot import prices_snapshot, read_snapshot, write_document, write_snapshot
 from basketwise.sinks.dimensions import upsert, upsert_report
 from basketwise.sinks.document import publish_document, read_document_head, read_document_products, read_manifest
+from basketwise.sinks.versions import VersionedTable
 from basketwise.sources.dimensions import branches_of, load_dimensions, store_list
 from basketwise.sources.feeds import ManualSource, PageSource, SearchSource, SurveySource
 from basketwise.sources.manual import csv_fields, manual_feed, numbered_lines, read_manual
@@ -327,6 +328,51 @@ def test_document_without_products_and_unfinished_versions(spark, tmp_path):
     assert concatenated(spark, root, version)["products"] == {}
 
 
+CELLS = "ean string, store_id string, price double"
+
+
+def test_a_merge_rewrites_only_the_parts_it_touches(spark, tmp_path):
+    table = VersionedTable(str(tmp_path / "t"), ("ean", "store_id"), ("store_id",), groups=64, spread=4)
+    rows = [(f"p{n}", f"s{m}", 1.0) for n in range(50) for m in range(100)]
+    assert table.merge(spark.createDataFrame(rows, CELLS)) == 1
+    files = lambda: {str(f.relative_to(tmp_path)) for f in (tmp_path / "t" / "data").rglob("*.parquet")}
+    first = files()
+    # One per cent of the cells, all of one store, and two that are new.
+    update = [(f"p{n}", "s7", 2.0) for n in range(50)] + [("new", "s7", 3.0), (None, "s7", 4.0)]
+    assert table.merge(spark.createDataFrame(update, CELLS)) == 2
+    assert len(files() - first) <= 4 < len(first) / 10 and first <= files()
+    wanted = {(e, s): p for e, s, p in rows} | {(e, s): p for e, s, p in update}
+    assert {(r["ean"], r["store_id"]): r["price"] for r in table.read(spark).collect()} == wanted
+    assert table.read(spark).count() == len(wanted)
+    assert sorted(tuple(r) for r in table.read(spark, 1).collect()) == sorted(rows)
+    # A missing key equals itself.
+    table.merge(spark.createDataFrame([(None, "s7", 5.0), ("p1", None, 6.0)], CELLS))
+    table.merge(spark.createDataFrame([("p1", None, 7.0)], CELLS))
+    got = [tuple(r) for r in table.read(spark).where("ean IS NULL OR store_id IS NULL").collect()]
+    assert sorted(got, key=repr) == [("p1", None, 7.0), (None, "s7", 5.0)]
+    # A rule of one's own.
+    table.merge(spark.createDataFrame([("p1", "s1", 9.0)], CELLS), lambda old, new: old.unionByName(new).groupBy("ean", "store_id").agg(F.min("price").alias("price")))
+    assert table.read(spark).where("ean = 'p1' AND store_id = 's1'").first()["price"] == 1.0
+
+
+def test_a_merge_that_died_and_one_without_rows(spark, tmp_path):
+    table = VersionedTable(str(tmp_path / "t"), ("ean", "store_id"))
+    with pytest.raises(LookupError):
+        table.read(spark)
+    one = spark.createDataFrame([("A", "x", 1.0)], CELLS)
+    table.merge(one)
+    # Parts of a merge that died before its manifest.
+    one.withColumn("price", F.lit(9.0)).withColumn("part", F.lit(0)).write.partitionBy("part").parquet(str(tmp_path / "t" / "data" / "2-dead"))
+    assert table.read(spark).first()["price"] == 1.0
+    assert table.merge(one.where("false")) == 2 and table.read(spark, 2).count() == 1
+    empty = VersionedTable(str(tmp_path / "e"), ("ean",))
+    assert empty.merge(one.where("false")) == 1 and empty.read(spark).count() == 0
+    assert empty.merge(one) == 2 and [tuple(r) for r in empty.read(spark).collect()] == [("A", "x", 1.0)]
+    # A rule that drops everything it is shown.
+    assert empty.merge(one, lambda old, new: new.where("false")) == 3 and empty.read(spark).count() == 0
+    assert empty.merge(one) == 4 and empty.read(spark).count() == empty.read(spark, 2).count() == 1
+
+
 @dataclass(frozen=True)
 class Fixed:
     id: str
