@@ -7,7 +7,9 @@ blocked where even the lower posterior bound of its rate of bad pages is above a
 
 Defined results: a null url, or one without "://", has an empty host and path and is judged by
 the overall rate; outcomes that are null do not count; a host without outcomes is judged by its
-domain's rate; without any outcome at all every host is allowed; repeated rows count each.
+domain's rate; without any outcome at all every host is allowed; repeated rows count each. Suffix
+rules that are null or empty do not count, repeated ones count once; a host that is itself a suffix is
+its own domain.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from basketwise.llm.common import ascii_lower
+from basketwise.session import materialise
 
 #: Public suffixes of two labels; fixed values.
 TWO_LEVEL = ("ac.uk", "co.in", "co.jp", "co.nz", "co.uk", "com.ar", "com.au", "com.br", "com.mx", "gov.uk", "org.au", "org.uk")
@@ -58,6 +61,44 @@ def suffix_of(host: Column) -> Column:
     return F.when(last.isin(*TWO_LEVEL), last).otherwise(F.substring_index(host, ".", -1))
 
 
+def with_domains(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Adds domain and suffix to a table with host.
+
+    ``suffixes`` has a column rule with public suffixes in their usual form: `co.uk`, `*.ck` for all
+    names below, `!www.ck` for one that is none. The longest rule counts, an exception before all others;
+    the last label is a suffix where no rule fits. Without the table the two-level suffixes above
+    are all that is known.
+    """
+    if suffixes is None:
+        return hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    rule = ascii_lower(F.trim("rule"))
+    rules = suffixes.where(F.length(rule) > 0).select(
+        F.regexp_replace(rule, r"^(!|\*\.)", "").alias("tail"),
+        rule.startswith("!").alias("exempt"),
+        rule.startswith("*.").alias("below"),
+    )
+    rules = rules.groupBy("tail").agg(F.max("exempt").alias("exempt"), F.max("below").alias("below"), F.min(F.col("exempt") | F.col("below")).alias("only"))
+    rules = materialise(rules, "suffix-rules")
+    deepest = rules.agg(F.max(F.size(F.split("tail", r"\.")))).first()[0] or 0
+    labels = F.split("host", r"\.")
+
+    def last(n: Column) -> Column:
+        return F.array_join(F.slice(labels, F.greatest(F.size(labels) - n + 1, F.lit(1)), F.greatest(n, F.lit(0))), ".")
+
+    # No rule has more labels than the longest, so a host of any length has few tails to look up.
+    names = hosts.select("host").distinct()
+    counts = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest)))
+    tails = names.select("host", F.size(labels).alias("of"), F.explode(counts if deepest else F.array().cast("array<int>")).alias("n"))
+    met = tails.withColumn("tail", last(F.col("n"))).join(rules, "tail")
+    plain = F.when(F.col("below") & (F.col("of") > F.col("n")), F.col("n") + 1).otherwise(F.when(~F.col("only"), F.col("n")))
+    found = met.groupBy("host").agg(
+        F.coalesce(F.max(F.when(F.col("exempt"), F.col("n") - 1)), F.max(plain)).alias("suffix labels")
+    )
+    size = F.coalesce(F.col("suffix labels"), F.lit(1))
+    known = hosts.join(found, "host", "left").withColumns({"suffix": last(size), "domain": last(size + 1)})
+    return known.drop("suffix labels")
+
+
 def fitting(rules: list[Rule], host: Column, path: Column) -> Column:
     """The longest rule that fits, as struct(text, verdict), or null. Of two equally long ones a block wins."""
     out = F.lit(None).cast("struct<text:string,verdict:string>")
@@ -78,14 +119,14 @@ def _strength(groups: DataFrame) -> float:
     return 1 / min(max(icc, LEAST_ICC), MOST_ICC) - 1
 
 
-def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """Posteriors from (host, bad): tables (host, a, b), (domain, mu), (suffix, mu), and the overall rate.
 
     Rows are counted per host first, so a host with a third of them is one row from then on.
     """
     known = outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull())
     hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k")
+    hosts = with_domains(hosts, suffixes)
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     rate = total["k"] / total["n"] if total["n"] else 0.0
 
@@ -105,17 +146,18 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, fl
     return posterior, domains.withColumn("m", F.lit(m)), suffixes, rate
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """(page_id, host, path, rule, verdict, bad_rate, lower_bound) of every page."""
-    posterior, domains, suffixes, rate = reputation(outcomes)
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: list[Rule], page_id: str = "page_id", url: str = "url", suffixes: DataFrame | None = None
+) -> DataFrame:
+    """(page_id, host, path, rule, verdict, bad_rate, lower_bound) of every page; see with_domains for ``suffixes``."""
+    posterior, domains, ends, rate = reputation(outcomes, suffixes)
     parsed = pages.select(F.col(page_id), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     # A page needs its host's row only; hosts without outcomes take their domain's or suffix's rate.
-    hosts = parsed.select("host").distinct()
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = with_domains(parsed.select("host").distinct(), suffixes)
     hosts = (
         hosts.join(posterior, "host", "left")
         .join(domains.select("domain", F.col("mu").alias("domain_mu"), "m"), "domain", "left")
-        .join(suffixes.select("suffix", F.col("mu").alias("suffix_mu")), "suffix", "left")
+        .join(ends.select("suffix", F.col("mu").alias("suffix_mu")), "suffix", "left")
     )
     mu = F.coalesce("domain_mu", "suffix_mu", F.lit(float(rate)))
     weight = F.coalesce("m", F.lit(1.0))

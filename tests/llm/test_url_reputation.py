@@ -54,3 +54,51 @@ def test_every_form_of_url_yields_its_outcome(spark, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     got = {(r["host"], r["bad"]) for r in page_outcomes(spark, str(tmp_path)).collect()}
     assert got == {(f"h{n}.org", n % 2 == 0) for n in range(len(forms))}
+
+
+def by_hand(host, rules):
+    """Suffix and domain by the usual reading of the rules."""
+    labels = host.split(".")
+    best, exempt = 1, None
+    for rule in rules:
+        parts = rule.removeprefix("!").split(".")
+        tail = labels[-len(parts) :]
+        if len(labels) >= len(parts) and all(p in ("*", t) for p, t in zip(parts, tail, strict=True)):
+            if rule[0] == "!":
+                exempt = len(parts) - 1
+            else:
+                best = max(best, len(parts))
+    n = best if exempt is None else exempt
+    return ".".join(labels[-n:]), ".".join(labels[-n - 1 :])
+
+
+def test_suffix_rules(spark):
+    rules = ["com", "uk", "co.uk", "*.ck", "!www.ck", "com.cn", "*.kawasaki.jp", "!city.kawasaki.jp", "jp", "a.b.c.d", "*.x", "x"]
+    hosts = ["", "com", "a.com", "b.a.com", "uk", "co.uk", "x.co.uk", "y.x.co.uk", "ck", "a.ck", "b.a.ck", "c.b.a.ck", "www.ck", "a.www.ck"]
+    hosts += ["shop.com.cn", "m.shop.com.cn", "kawasaki.jp", "a.kawasaki.jp", "b.a.kawasaki.jp", "city.kawasaki.jp", "q.city.kawasaki.jp"]
+    hosts += ["c.d", "a.b.c.d", "z.a.b.c.d", "x", "y.x", "z.y.x", "unknown.tld", "a..com", ".".join("n" * 20_000) + ".co.uk"]
+    rows = [(r, 1) for r in [*rules, "CO.UK ", None, "", "com"]]
+    table = spark.createDataFrame(rows, "rule string, tail int")
+    frame = spark.createDataFrame([(h, 1) for h in [*hosts, "a.com"]], "host string, n int")
+    got = u.with_domains(frame, table).collect()
+    assert len(got) == len(hosts) + 1
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in got} == {h: by_hand(h, rules) for h in hosts}
+    none = u.with_domains(frame, table.where("false")).collect()
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in none} == {h: by_hand(h, []) for h in hosts}
+
+
+def test_domains_by_rules_keep_reputations_apart(spark):
+    outcomes = [(f"h{n}.bad.com.cn", True) for n in range(80)] + [(f"h{n}.good.com.cn", False) for n in range(80)]
+    pages = spark.createDataFrame([(0, "http://new.bad.com.cn/"), (1, "http://new.good.com.cn/")], "page_id long, url string")
+    seen = spark.createDataFrame(outcomes, "host string, bad boolean")
+    rules = spark.createDataFrame([("cn",), ("com.cn",)], "rule string")
+    rate = lambda **kw: [r["bad_rate"] for r in u.judge(pages, seen, [], **kw).orderBy("page_id").collect()]
+    apart, together = rate(suffixes=rules), rate()
+    assert together[0] == together[1] and apart[0] > 0.9 and apart[1] < 0.1
+
+
+def test_of_equally_long_rules_a_block_wins(spark):
+    for rules in ([u.Rule("allow", "a.org", "/"), u.Rule("block", "a.org", "/")], [u.Rule("block", "a.org", "/"), u.Rule("allow", "a.org", "/")]):
+        pages = spark.createDataFrame([(0, "http://a.org/x")], "page_id long, url string")
+        row = u.judge(pages, spark.createDataFrame([], "host string, bad boolean"), rules).first()
+        assert (row["rule"], row["verdict"]) == ("a.org/", "block")
