@@ -171,7 +171,7 @@ def _old_and_new(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
       CASE WHEN p_size >= 20 THEN 'new' ELSE 'old' END AS version FROM part""",
 )
 def dimension_versions(spark: SparkSession, folder: str) -> DataFrame:
-    parts = VersionedTable(work_dir(spark, "dimension-versions"), ("p_partkey",))
+    parts = VersionedTable(work_dir(spark, "dimension-versions"), ("p_partkey",), groups=16, spread=1)
     for rows in _old_and_new(spark, folder):
         parts.merge(rows)
     return parts.read(spark)

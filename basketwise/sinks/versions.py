@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from basketwise.session import materialise
 
 MANIFEST = "version bigint, part int, folder string, columns string"
-GROUPS, SPREAD = 64, 16
+GROUPS, SPREAD = 64, 4
 
 
 @dataclass(frozen=True)
