@@ -31,6 +31,7 @@ from basketwise.sources.price_documents import (
 from basketwise.sources.product_pages import page_feed, page_offers
 from basketwise.sources.registry import Feed, Registry, covered_stores, shown_suggestions, union_all
 from basketwise.sources.search_results import first_offer, response_offers
+from basketwise.sources.raw import raw_field, raw_fields
 from basketwise.sources.survey import latest_period, read_survey, region_rows, survey_feed, survey_suggestions
 
 # Names under which the chains appear in the survey, one of them not ours.
@@ -515,3 +516,43 @@ def ingest_sources(spark: SparkSession, folder: str) -> DataFrame:
     stores = chains(spark, folder).select("store_id").union(names).distinct()
     run = run_ingest(spark, sources, catalog, stores, f"{root}/run", datetime(2002, 1, 1))
     return run.log.select("source", "n_rows", "prices_written", "products_seen", "n_rejected", "status")
+
+
+_OFFERS = """raw_rows AS (SELECT event_id, event_type AS source, CASE event_type WHEN 'error' THEN 'not json'
+    WHEN 'view' THEN '{"price": ' || value || ', "props": ' || props || '}'
+    ELSE '{"offers": [{"price": ' || value || ', "seller": ' || props || '}], "store": "' || user_id || '", "sold": null, "new": true}' END AS raw FROM events)"""
+
+
+def _raw_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as raw texts of several shapes, one of them no JSON."""
+    table(spark, folder, "events").createOrReplaceTempView("raw_events")
+    return spark.sql(f"WITH {_OFFERS.replace('FROM events', 'FROM raw_events')} SELECT * FROM raw_rows")
+
+
+@query(
+    "raw_fields",
+    f"""WITH {_OFFERS}, parsed AS (SELECT source, raw, CASE WHEN json_valid(raw) THEN raw END AS good FROM raw_rows),
+    fields AS (SELECT source, je.key AS field, CASE je.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array'
+      WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind
+      FROM parsed, json_each(good) AS je WHERE good IS NOT NULL
+    UNION ALL SELECT source, NULL, CASE WHEN raw IS NULL THEN 'missing' ELSE 'invalid' END FROM parsed WHERE good IS NULL)
+    SELECT source, field, kind, count(*) AS n FROM fields GROUP BY ALL""",
+)
+def raw_field_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return raw_fields(_raw_rows(spark, folder))
+
+
+@query(
+    "raw_prices",
+    f"""WITH {_OFFERS} SELECT event_id, coalesce(TRY_CAST(json_extract_string(good, '$.price') AS DOUBLE),
+      TRY_CAST(json_extract_string(good, '$.offers[0].price') AS DOUBLE)) AS price,
+      CAST(coalesce(json_extract_string(good, '$.props.k'), json_extract_string(good, '$.offers[0].seller.k')) AS BIGINT) AS k
+    FROM (SELECT event_id, CASE WHEN json_valid(raw) THEN raw END AS good FROM raw_rows)""",
+)
+def raw_prices(spark: SparkSession, folder: str) -> DataFrame:
+    raw = F.col("raw")
+    return _raw_rows(spark, folder).select(
+        "event_id",
+        F.coalesce(raw_field(raw, "$.price", "double"), raw_field(raw, "$.offers[0].price", "double")).alias("price"),
+        F.coalesce(raw_field(raw, "$.props.k", "bigint"), raw_field(raw, "$.offers[0].seller.k", "bigint")).alias("k"),
+    )

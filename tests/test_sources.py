@@ -29,6 +29,7 @@ from basketwise.sources.price_documents import (
     with_defaults,
 )
 from basketwise.sources.product_pages import page_feed, page_offers
+from basketwise.sources.raw import raw_field, raw_fields
 from basketwise.sources.registry import Feed, Registry, moment, shown_suggestions, union_all
 from basketwise.sources.search_results import first_offer, response_offers, search_observations
 from basketwise.sources.survey import latest_published, read_survey, survey_feed, survey_suggestions
@@ -328,6 +329,19 @@ def test_document_without_products_and_unfinished_versions(spark, tmp_path):
     assert concatenated(spark, root, version)["products"] == {}
 
 
+def test_raw_texts_of_any_shape(spark):
+    texts = ['{"a": 1, "b": {"c": [1.5, "x"]}}', '{"a": "t", "d": null}', "{}", "[1]", '"text"', "3", "{broken", "", None, '{"a": true}']
+    rows = spark.createDataFrame([("s", t, 1) for t in texts] + [(None, '{"a": 2.5}', 1)], "source string, raw string, value int")
+    got = {(r["source"], r["field"], r["kind"]): r["n"] for r in raw_fields(rows).collect()}
+    assert got == {
+        ("s", "a", "number"): 1, ("s", "a", "text"): 1, ("s", "a", "boolean"): 1, ("s", "b", "object"): 1, ("s", "d", "null"): 1,
+        ("s", None, "array"): 1, ("s", None, "text"): 1, ("s", None, "number"): 1, ("s", None, "invalid"): 2, ("s", None, "missing"): 1,
+        (None, "a", "number"): 1,
+    }
+    read = rows.select(raw_field(F.col("raw"), "$.a", "double").alias("a"), raw_field(F.col("raw"), "$.b.c[1]").alias("x")).collect()
+    assert [r["a"] for r in read if r["a"] is not None] == [1.0, 1.0, 2.5] and [r["x"] for r in read if r["x"]] == ["x"]
+
+
 CELLS = "ean string, store_id string, price double"
 
 
