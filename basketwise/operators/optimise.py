@@ -198,7 +198,8 @@ MONEY = "floor({cents} + 0.5D) / 100.0D"
 
 #: Prices of a line, by their rank among its offers, against which the stores of a pair are measured.
 REFERENCES = (0.1, 0.25, 0.5)
-#: Pairs of a basket that are priced first, those of the lowest bounds: all pairs of five stores.
+#: Pairs of a basket that are priced first, those of the lowest bounds. Up to this number, all pairs of
+#: five stores, every pair is a column of one aggregation.
 FIRST_PAIRS = 10
 
 
@@ -229,20 +230,19 @@ def _measured(lines: DataFrame, n_stores: int) -> DataFrame:
     return rows.withColumns(own).withColumns(parts).drop("_sorted", "_most", *(f"_m{r}" for r in range(len(REFERENCES))), *own)
 
 
-def _bounded_pairs(lines: DataFrame, n_stores: int, bounded: bool = True) -> DataFrame:
+def _bounded_pairs(lines: DataFrame, n_stores: int) -> DataFrame:
     """(basket_id, pairs) with the pairs (bound, first, second, coverage) of positions that cover most items, lowest bounds first.
 
     Items are counted by the set of stores that sell them, so a basket has as many sets as
     its items differ in, never its items. Only stores with prices in the basket come in
     question, and the first one without, which stands for a second store that adds nothing.
-    No pair costs less than its bound, in half cents; without ``bounded`` all bounds are 0.
+    No pair costs less than its bound, in half cents.
     """
     own = ["enabled"] if "enabled" in lines.columns else []
     sells = F.filter(F.transform("prices", lambda p, i: F.when(p.isNotNull(), i)), lambda i: i.isNotNull())
-    names = [[f"c{r}_{i}" for i in range(n_stores)] for r in range(len(REFERENCES) if bounded else 0)]
+    names = [[f"c{r}_{i}" for i in range(n_stores)] for r in range(len(REFERENCES))]
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for row in names for c in row]
-    measured = _measured(lines, n_stores) if bounded else lines
-    counted = measured.withColumn("sells", sells).groupBy("basket_id", "sells", *own).agg(F.count("*").alias("n"), *sums)
+    counted = _measured(lines, n_stores).withColumn("sells", sells).groupBy("basket_id", "sells", *own).agg(F.count("*").alias("n"), *sums)
     size = F.size("enabled") if own else F.lit(n_stores)
     baskets = counted.groupBy("basket_id").agg(
         F.collect_list(F.struct("sells", "n")).alias("sets"),
@@ -262,7 +262,7 @@ def _bounded_pairs(lines: DataFrame, n_stores: int, bounded: bool = True) -> Dat
         return F.aggregate("sets", F.lit(0).cast("bigint"), add)
 
     def pair(i: Column, j: Column) -> Column:
-        bound = F.array_max(F.transform("parts", lambda row: F.get(row, i) + F.get(row, j))) if bounded else F.lit(0.0)
+        bound = F.array_max(F.transform("parts", lambda row: F.get(row, i) + F.get(row, j)))
         return F.struct(bound.alias("bound"), i.alias("first"), j.alias("second"), coverage(i, j).alias("coverage"))
 
     later = lambda i: F.filter("candidates", lambda j: j > i)
@@ -288,13 +288,9 @@ def priced_pairs(items: Items) -> DataFrame:
     """The pairs of every basket that could be its best one, with their totals; the best one is among them.
 
     Of the pairs that cover most items those of the lowest bounds are priced first, then those
-    whose bounds do not exceed the least total found so far. Where the stores have no more pairs
-    than are priced first, no bound is needed.
+    whose bounds do not exceed the least total found so far.
     """
     n = len(items.stores)
-    if n * (n - 1) // 2 <= FIRST_PAIRS:
-        every = _pair_lines(items)
-        return _pair_totals(every, _bounded_pairs(every, n, bounded=False).select("basket_id", F.explode("pairs").alias("p")))
     lines = materialise(_pair_lines(items), "pair-lines")
     pairs = materialise(_bounded_pairs(lines, n), "pairs")
     first = pairs.select("basket_id", F.explode(F.slice("pairs", 1, FIRST_PAIRS)).alias("p"))
@@ -306,10 +302,41 @@ def priced_pairs(items: Items) -> DataFrame:
     return totals.unionByName(_pair_totals(lines, again))
 
 
+def _pairs_in_a_row(items: Items) -> DataFrame:
+    """The best pair of every basket where the stores have so few pairs that each is a column.
+
+    The totals of all pairs come out of one aggregation, so partial sums leave each task as
+    one row per basket and no line is shuffled.
+    """
+    n = len(items.stores)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    sums = [f"count(coalesce(p{i}, p{j})) AS n_{i}_{j}" for i, j in pairs]
+    # least() passes over missing prices.
+    cheaper = "sum({}) AS sum_{}_{}"
+    sums += [cheaper.format(LINE_CENTS.format(price=f"least(p{i}, p{j})"), i, j) for i, j in pairs]
+    own = ["any_value(enabled) AS enabled"] if items.own_stores else []
+    totals = items.rows.where("n_offers > 0").groupBy("basket_id").agg(*map(F.expr, ["count(*) AS n_priced", *sums, *own]))
+    structs = [
+        _when(
+            f"size(enabled) > {j}" if items.own_stores else None,
+            f"named_struct('uncovered', -n_{i}_{j}, 'total', coalesce(sum_{i}_{j}, 0.0D), 'first', {i}, 'second', {j})",
+        )
+        for i, j in pairs
+    ] or ["CAST(NULL AS STRUCT<uncovered: BIGINT, total: DOUBLE, first: INT, second: INT>)"]
+    best = totals.select("basket_id", "n_priced", *(["enabled"] if own else []), F.expr(f"array_min(array({', '.join(structs)}))").alias("best"))
+    return best.where("best IS NOT NULL").selectExpr(
+        "basket_id", "best.total", "best.first", "best.second", "-best.uncovered AS coverage", "n_priced", *(["enabled"] if own else [])
+    )
+
+
 def best_pair(items: Items) -> DataFrame:
     """Pair of stores that covers most items, then costs least, then comes first."""
-    best = F.min(F.struct("total", "first", "second", "coverage", "n_priced", *(["enabled"] if items.own_stores else [])))
-    chosen = priced_pairs(items).groupBy("basket_id").agg(best.alias("best")).select("basket_id", "best.*")
+    n = len(items.stores)
+    if n * (n - 1) // 2 <= FIRST_PAIRS:
+        chosen = _pairs_in_a_row(items)
+    else:
+        best = F.min(F.struct("total", "first", "second", "coverage", "n_priced", *(["enabled"] if items.own_stores else [])))
+        chosen = priced_pairs(items).groupBy("basket_id").agg(best.alias("best")).select("basket_id", "best.*")
     return chosen.select(
         "basket_id",
         _store_id(items, F.col("first")).alias("store_1"),

@@ -281,3 +281,38 @@ def test_bounds_hold_for_any_basket(spark):
     pairs = o._bounded_pairs(pair_lines, len(STORES)).select("basket_id", F.explode("pairs").alias("p"))
     totals = o._pair_totals(pair_lines, pairs).join(pairs.select("basket_id", "p.first", "p.second", "p.bound"), ["basket_id", "first", "second"])
     assert totals.count() > 40 and totals.where("bound > 2 * total").count() == 0
+
+
+@pytest.mark.parametrize("own", [False, True])
+@pytest.mark.parametrize("n_stores", [3, 5])
+def test_pairs_in_a_row_agree_with_pairs_by_bounds(spark, monkeypatch, n_stores, own):
+    """Few stores need no bounds; both ways give the same pair, also with missing prices, ties and lists of a basket's own."""
+    table, rows = random_case(spark, 7 + n_stores, baskets=40)
+    basket = lines(spark, *rows)
+    if own:
+        number = F.substring("basket_id", 2, 9).cast("int")
+        asked = F.when(number % 4 == 0, F.lit("heb")).otherwise("walmart")
+        turned = F.array(asked, F.lit("aurrera"), F.lit("mars"), F.lit("chedraui"), asked)
+        basket = basket.withColumn("enabled", F.when(number % 5 == 0, F.array(F.lit("aurrera"))).otherwise(turned))
+    items = o.price_items(basket, prices(spark, table), STORES[:n_stores])
+    fast = sorted(map(tuple, o.best_pair(items).collect()))
+    monkeypatch.setattr(o, "FIRST_PAIRS", 1)
+    assert fast == sorted(map(tuple, o.best_pair(items).collect())) and fast
+
+
+def test_lines_of_a_plan_are_exchanged_once(spark):
+    """Totals and pairs leave the tasks as one row per basket; only the plan itself moves lines."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table, rows = random_case(spark, 3)
+        items, found = o.optimise(lines(spark, *rows), prices(spark, table), STORES[:5], keep=True)
+        pairs = o.best_pair(items)
+        moved = lambda frame: frame._jdf.queryExecution().sparkPlan().toString()
+        planned = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        assert "Join" not in moved(pairs) and planned(pairs) == 1
+        assert "partial_count" in pairs._jdf.queryExecution().executedPlan().toString()
+        # One exchange of the lines, one of the choices, a row per basket.
+        assert planned(shopping_plan(items, found, pairs)) == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
