@@ -18,6 +18,7 @@ from basketwise.plans.catalogue import query
 from basketwise.plans.ingest import run_ingest
 from basketwise.plans.matching_queries import TERMS, _term_case, term_table
 from basketwise.session import work_dir
+from basketwise.sinks.periods import newest_period, publish_periods
 from basketwise.sinks.snapshot import merge_labels, merge_sources
 from basketwise.sources.feeds import ManualSource, PageSource, SearchSource, SurveySource
 from basketwise.sources.manual import manual_rows, read_manual
@@ -172,6 +173,26 @@ def half_month_latest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "published_period",
+    f"""WITH p AS (SELECT *, {HALF.format("l_shipdate")} AS period FROM lineitem),
+    newest AS (SELECT max(period) AS period FROM p WHERE period <= {HALF.format("DATE '2002-01-01'")} AND period > {HALF.format("DATE '2002-01-01'")} - 24)
+    SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, CAST(period AS INTEGER) AS period
+    FROM p WHERE period = (SELECT period FROM newest) AND l_linenumber <= 3""",
+)
+def published_period(spark: SparkSession, folder: str) -> DataFrame:
+    """All periods are published, the newest one of the window a second time with fewer lines; then it is read alone."""
+    items = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", half_month_index(F.col("l_shipdate")).alias("period")
+    )
+    path = work_dir(spark, "survey-periods")
+    publish_periods(items, path)
+    again = latest_period(items, "period", as_of()).where(F.col("l_linenumber") <= 3)
+    publish_periods(again, path)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema)
+    return newest_period(spark, path, fields, as_of())
+
+
 @query(
     "survey_dates",
     f"""SELECT o_orderkey,

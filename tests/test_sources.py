@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basketwise.plans.ingest import read_runs, run_ingest
 from basketwise.sinks.history import append_history, insert_or_ignore, read_history
+from basketwise.sinks.periods import newest_period, publish_periods
 from basketwise.sinks.snapshot import prices_snapshot, read_snapshot, write_document, write_snapshot
 from basketwise.sinks.dimensions import upsert, upsert_report
 from basketwise.sinks.document import publish_document, read_document_head, read_document_products, read_manifest
@@ -498,3 +499,33 @@ def test_survey_reads_files_of_every_name(spark, tmp_path):
         out.write("precio,producto\n4,p4\n")
     got = read_survey(spark, str(tmp_path)).select("producto", "precio").collect()
     assert sorted(map(tuple, got)) == [(f"p{n}", str(n)) for n in range(5)]
+
+
+def folders_read(frame):
+    """Rows of a table, and how many of its folders the scan that gave them has listed."""
+    rows = frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan()
+    while plan.getClass().getSimpleName() in ("AdaptiveSparkPlanExec", "ResultQueryStageExec"):
+        plan = plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan.plan()
+    leaves = plan.collectLeaves()
+    return rows, [leaves.apply(i).metrics().apply("numPartitions").value() for i in range(leaves.size())]
+
+
+def test_the_newest_period_is_read_alone(spark, tmp_path):
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    path, fields = str(tmp_path / "periods"), "product string, price double, period int"
+    first = 2025 * 24
+    publish_periods(spark.range(400).selectExpr("CAST(id AS STRING) AS product", "1.0D AS price", f"CAST({first} + id % 40 AS INT) AS period"), path)
+    # 2025-07-10 lies in half month 12 of its year.
+    rows, folders = folders_read(newest_period(spark, path, fields, at("2025-07-10")))
+    assert {r["period"] for r in rows} == {first + 12} and len(rows) == 10 and folders == [1]
+    # Published again, a period is replaced, and only that one; a row without a period is in no window.
+    publish_periods(spark.createDataFrame([("new", 2.0, first + 12), ("lost", 3.0, None)], fields), path)
+    rows, folders = folders_read(newest_period(spark, path, fields, at("2025-07-10")))
+    assert [(r["product"], r["price"]) for r in rows] == [("new", 2.0)] and folders == [1]
+    assert spark.read.schema(fields).parquet(path).count() == 400 - 10 + 2
+    # No rows publish nothing; a window without a period has no rows.
+    publish_periods(spark.createDataFrame([], fields), path)
+    assert spark.read.schema(fields).parquet(path).count() == 400 - 10 + 2
+    assert newest_period(spark, path, fields, at("2020-01-01")).count() == 0
+    assert {r["period"] for r in newest_period(spark, path, fields, at("2027-01-01")).collect()} == {first + 39}
