@@ -1,6 +1,8 @@
 """Language identification of mixed text: scripts narrow the candidates, Viterbi labels the words.
 
-Words are the pieces between white space. Each distinct word is scored once per language from
+Words are the runs between white space, cut where the script changes and, in scripts that are
+written without spaces, into pieces of four characters, so that such passages get spans and weights
+of their own (``words_of``). Each distinct word is scored once per language from
 hashed character pairs, triples and the whole word; languages never seen with the word's script
 are left out. A Viterbi pass over the words of a text, in which changing the language costs a fixed
 penalty, labels every word; the text's language is the one with most letters, and the score is its
@@ -11,11 +13,13 @@ parameter; only that table reaches the driver and is broadcast.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and no spans; without
 any labelled text everything is `und`; languages with equal letters are taken in sorted order;
-repeated rows are labelled each; other columns are not looked at.
+repeated rows are labelled each; other columns are not looked at. A single word of another script
+does not outweigh two switches, so it stays in the span around it.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +45,10 @@ SCRIPT_STARTS = (
 )
 SCRIPTS = tuple(sorted({name for _, name in SCRIPT_STARTS}))
 
+#: Scripts written without spaces between words, and the characters in a piece of them.
+UNSPACED = ("han", "kana", "thai", "lao", "khmer", "burmese", "tibetan")
+PIECE = 4
+
 BUCKETS = 1 << 15
 SWITCH = 12.0
 WORST = 8.0
@@ -62,6 +70,36 @@ class Model:
     scripts: np.ndarray
 
 
+def _ranges(name: str) -> str:
+    """The characters of a script, for a class of a pattern."""
+    ends = [*_STARTS[1:], 0x110000]
+    return "".join(f"\\U{a:08X}-\\U{b - 1:08X}" for (a, script), b in zip(SCRIPT_STARTS, ends, strict=True) if script == name)
+
+
+_NAMED = tuple(s for s in SCRIPTS if s != "other")
+#: A character of a script other than Latin; without one there is nothing to cut.
+_BEYOND = re.compile(f"[{''.join(_ranges(s) for s in _NAMED if s != 'latin')}]")
+_NEUTRAL = f"[{_ranges('other')}]"
+#: A run of one script with the characters of no script around it.
+_RUN = re.compile("|".join(f"(?P<{s}>{_NEUTRAL}*+[{_ranges(s)}][{_ranges(s)}{_ranges('other')}]*+)" for s in _NAMED) + f"|{_NEUTRAL}++")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, in order; together they are all of it but its white space."""
+    words = text.split()
+    if text.isascii() or not _BEYOND.search(text):
+        return words
+    out = []
+    for word in words:
+        if not _BEYOND.search(word):
+            out.append(word)
+            continue
+        for run in _RUN.finditer(word):
+            step = PIECE if run.lastgroup in UNSPACED else len(run[0])
+            out.extend(run[0][k : k + step] for k in range(0, len(run[0]), step))
+    return out
+
+
 def script_of(word: str) -> int:
     """The script of the first letter; -1 without one."""
     for c in word:
@@ -119,7 +157,7 @@ def _counting(buckets: int):
 
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                words.setdefault(lang, Counter()).update(text.lower().split())
+                words.setdefault(lang, Counter()).update(words_of(text.lower()))
             if sum(map(len, words.values())) > KEPT_WORDS:
                 flush()
         flush()
@@ -239,7 +277,7 @@ def _labelling(model: Model, switch: float, spans: bool):
             results: list[tuple] = [("und", 0.0, [])] * len(batch)
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for k in range(0, len(texts) if model.langs else 0, 500):
-                split = [(i, words) for i in range(k, min(k + 500, len(texts))) if texts[i] and (words := texts[i].split())]
+                split = [(i, words) for i in range(k, min(k + 500, len(texts))) if texts[i] and (words := words_of(texts[i]))]
                 if len(scorer.ids) > KEPT_WORDS:
                     scorer.clear()
                 scorer.learn(set().union(*(words for _, words in split)))
@@ -266,7 +304,7 @@ def _labelling(model: Model, switch: float, spans: bool):
 def label(
     rows: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), switch: float = SWITCH, spans: bool = True
 ) -> DataFrame:
-    """(*keep, lang_pred, score, spans): spans are runs of words of one language, in order."""
+    """(*keep, lang_pred, score, spans): spans are runs of words (as words_of gives them) of one language, in order."""
     kept = [f"`{name}` {rows.schema[name].dataType.simpleString()}" for name in keep]
     schema = ", ".join([*kept, "lang_pred string", "score double", *([f"spans {SPANS}"] if spans else [])])
     return rows.select(*keep, F.col(text).alias("labelled text")).mapInArrow(_labelling(model, switch, spans), schema)

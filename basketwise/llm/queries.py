@@ -45,6 +45,7 @@ def held_out(doc_id: str):
 
 @query("op4_language_id")
 def language(spark: SparkSession, folder: str) -> DataFrame:
+    """A document without an id is neither learnt from nor held out; it is labelled like the others."""
     documents = table(spark, folder, "documents")
     model = language_id.learn(documents.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
     labelled = language_id.label(documents, model, spans=False)
