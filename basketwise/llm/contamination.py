@@ -81,14 +81,29 @@ def postings(documents: DataFrame, terms: DataFrame, key: str = "doc_id", text:
     return kept.select("id", "d", "h", "pos", F.explode(both).alias("x")).select("id", "d", "h", "pos", "x.*")
 
 
-def alignments(index: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(d, h, item, begin): where both anchors of some window agree on the place of the item's first word."""
-    places = pairs.select("item", F.col("p1").alias("p"), F.col("t1").alias("term")).union(pairs.select("item", "p2", "t2")).distinct()
-    hits = index.where("term IS NOT NULL").join(places, "term").select("d", "h", "item", (F.col("pos") - F.col("p")).alias("begin"), "p")
-    by_item = pairs.groupBy("item").agg(F.collect_set(F.struct("p1", "p2")).alias("pairs"))
-    met = hits.groupBy("d", "h", "item", "begin").agg(F.collect_set("p").alias("ps")).join(by_item, "item")
-    agree = F.exists("pairs", lambda x: F.array_contains("ps", x["p1"]) & F.array_contains("ps", x["p2"]))
-    return met.where(agree).select("d", "h", "item", "begin")
+def alignments(index: DataFrame, pairs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(d, h, item, begin): where both anchors of some window agree on the place of the item's first word.
+
+    The places met at an alignment are paired with those less than a window further on; these
+    pairs are looked up among the item's anchors. Most alignments meet one place only and end
+    there, and no item's windows are gone through for a hit, so items may be of any length.
+    """
+    alone = F.col("p1") == F.col("p2")
+    places = pairs.select("item", F.col("p1").alias("p"), F.col("t1").alias("term"), alone.alias("alone")).union(
+        pairs.select("item", "p2", "t2", alone)
+    ).distinct()
+    hits = index.where("term IS NOT NULL").join(places, "term").select("d", "h", "item", (F.col("pos") - F.col("p")).alias("begin"), "p", "alone")
+    met = hits.groupBy("d", "h", "item", "begin").agg(F.array_sort(F.collect_set("p")).alias("ps"), F.max("alone").alias("alone"))
+
+    def further(p: Column, place: Column) -> Column:
+        following = F.slice("ps", place + 1, window)
+        close = F.filter(following, lambda q: (q - p < window) & ((q > p) | F.col("alone")))
+        return F.transform(close, lambda q: F.struct(p.alias("low"), q.alias("high")))
+
+    both = met.where((F.size("ps") > 1) | F.col("alone")).withColumn("pair", F.explode(F.flatten(F.transform("ps", further))))
+    anchored = pairs.select("item", F.least("p1", "p2").alias("low"), F.greatest("p1", "p2").alias("high")).distinct()
+    found = both.select("d", "h", "item", "begin", "pair.low", "pair.high").join(anchored, ["item", "low", "high"], "left_semi")
+    return found.select("d", "h", "item", "begin").distinct()
 
 
 def occurrences(documents: DataFrame, words: DataFrame, found: DataFrame, window: int, key: str, text: str) -> DataFrame:
@@ -119,7 +134,7 @@ def contaminated(
     pairs = materialise(anchors(words, counts, window), "anchors")
     rare = pairs.select(F.col("t1").alias("term")).union(pairs.select("t2")).distinct()
     index = materialise(postings(documents, rare, key, text), "postings")
-    found = materialise(alignments(index, pairs), "alignments")
+    found = materialise(alignments(index, pairs, window), "alignments")
     hits = materialise(occurrences(documents, words, found, window, key, text), "occurrences")
     n_hit = hits.select("d", "h", (F.col("begin") + F.col("p")).alias("pos")).distinct().groupBy("d", "h").agg(F.count("*").alias("n_hit"))
     ids = words.select("item", F.coalesce("item_id", F.lit("")).alias("item_id")).distinct()

@@ -34,7 +34,7 @@ def found(spark, documents, items, window):
     return sorted((tuple(r) for r in got.collect()), key=repr)
 
 
-@pytest.mark.parametrize("window", [2, 4])
+@pytest.mark.parametrize("window", [1, 2, 4])
 def test_random_texts_agree_with_brute_force(spark, window):
     rng = random.Random(window)
     say = lambda n: " ".join(rng.choice("aa bb cc dd ee ff".split()) for _ in range(n))
@@ -56,6 +56,22 @@ def test_edges(spark):
     assert found(spark, documents, [], 10) == brute(documents, [], 10)
 
 
+def test_a_long_item_meets_a_long_text(spark):
+    """Thousands of windows of one item, some of them in a text that repeats its words in other places."""
+    say = [f"w{k % 40}x{k // 7}" for k in range(5000)]
+    items = [(1, " ".join(say)), (2, " ".join(say[100:130]))]
+    documents = [(1, " ".join(say[500:2500] + ["and"] + say[3000:3009])), (2, " ".join(reversed(say))), (3, " ".join(say))]
+    w = {k: words(text) for k, text in documents}
+    windows = {k: {tuple(words(text)[i : i + 10]) for i in range(len(words(text)) - 9)} for k, text in items}
+    want = []
+    for key, listed in w.items():
+        at = {k: [j for j in range(len(listed) - 9) if tuple(listed[j : j + 10]) in windows[k]] for k in windows}
+        hit = {j + x for places in at.values() for j in places for x in range(10)}
+        names = [str(k) for k in sorted(at) if at[k]]
+        want.append((key, len(listed), len(hit), len(names), names))
+    assert found(spark, documents, items, 10) == want
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "red x x blue"), (2, "blue red"), (3, "red " + "x " * 9 + "blue"), (4, "red")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "red blue")], "item_id long, text string")
