@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketwise.functions.text import is_key, normalise, parser_normalise, slug
+from basketwise.operators import matching
 from basketwise.operators.matching import (
     match_aliases,
     match_terms,
@@ -172,3 +173,37 @@ def test_runs_that_meet_no_needle_are_not_moved(spark):
     assert moved.join(indexed, "run", "left_semi").count() == every.join(indexed, "run", "left_semi").count()
     got = {(r["id"], r["needle"]) for r in matching.contained(frame, "id", "text", asked).collect()}
     assert got == {(k, n) for k, t in texts for n in set(needles) if n in t}
+
+
+def test_small_mappings_are_tried_in_place(spark, monkeypatch):
+    """Few entries move no text; an index gives the same, also for nulls, blank terms and repeated texts."""
+    texts = ["leche lala 1l", "leche deslactosada", "pan", "", None, "pan leche", "pan", "arroz"]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "id int, text string")
+    mapping = spark.createDataFrame(
+        [
+            (2, "B", ["pan"], []),
+            (1, "A", ["Leche"], ["deslactosada"]),
+            (3, "C", ["pan", "leche"], None),
+            (4, "D", [], []),
+            (5, "E", [" "], ["arroz", "leche"]),
+            (6, "F", ["arroz"], [""]),
+            (None, "G", ["arroz"], []),
+            (7, None, ["deslactosada"], []),
+        ],
+        MAPPING,
+    )
+    small = matching.match_terms(rows, "text", mapping)
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["matched_ean"] for r in small.collect()}
+    assert got == {0: "A", 1: None, 2: "B", 3: "E", 4: None, 5: "A", 6: "B", 7: None}
+    assert small.where("matched_ean = 'B'").count() == 2
+    monkeypatch.setattr(matching, "TERMS_IN_PLACE", 0)
+    assert got == {r["id"]: r["matched_ean"] for r in matching.match_terms(rows, "text", mapping).collect()}
+
+
+def test_normalising_folds_a_text_once(spark):
+    rows = spark.createDataFrame([("  Pan  BLANCO\t\n de caja ",), ("Árbol  á",), ("tidy text",), (None,)], "t string")
+    normal = rows.select(normalise(F.col("t")).alias("n"))
+    assert [r["n"] for r in normal.collect()] == ["pan blanco de caja", "arbol a", "tidy text", ""]
+    # Once per branch; each folding lowers once.
+    assert normal._jdf.queryExecution().optimizedPlan().toString().lower().count("lower(") <= 2
