@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from basketwise.fixed import MAX_NAME, MAX_UNIT
@@ -46,21 +48,37 @@ def payload_item(
     )
 
 
+def _swapped(text: Column, old: str, new: str) -> Column:
+    """Every character of one list as that of the other; a replacement searches bytes, translate looks up each character."""
+    for a, b in zip(old, new):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
 def encode_payload(items: Column) -> Column:
     """Array of items as unpadded URL-safe base64 of its JSON."""
     coded = F.base64(F.encode(F.to_json(items), "UTF-8"))
     plain = F.regexp_replace(coded, "[\r\n]", "")
-    return F.regexp_replace(F.translate(plain, "+/", "-_"), "=+$", "")
+    return F.rtrim(_swapped(plain, "+/", "-_"), F.lit("="))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def decode_payload(payload: Column) -> Column:
     """Array of items in a link, null when the link does not hold one."""
-    coded = F.translate(payload, "-_", "+/")
-    padded = F.rpad(coded, (F.ceil(F.length(coded) / 4) * 4).cast("int"), F.lit("="))
-    readable = padded.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(coded) % 4 != 1)
-    text = F.when(readable, F.make_valid_utf8(F.unbase64(padded).cast("string")))
+
+    def readable_text(coded: Column) -> Column:
+        padded = F.rpad(coded, (F.ceil(F.length(coded) / 4) * 4).cast("int"), F.lit("="))
+        readable = lambda p: p.rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length(coded) % 4 != 1)
+        return _once(padded, lambda p: F.when(readable(p), F.make_valid_utf8(F.unbase64(p).cast("string"))))
+
+    text = _once(_swapped(payload, "-_", "+/"), readable_text)
     # A lone object would be read as a list of one.
-    return F.from_json(F.when(F.ltrim(text).startswith("["), text), PAYLOAD_SCHEMA)
+    listed = _once(text, lambda t: F.when(F.ltrim(t).startswith("["), t))
+    return F.from_json(listed, PAYLOAD_SCHEMA)
 
 
 def payload_quantity(written: Column) -> Column:

@@ -120,6 +120,14 @@ def test_share_keeps_at_most_sixty_items(spark, catalog):
     assert sorted(r["position"] for r in numbered_lines(basket, ["line"]).collect()) == list(range(1, 81))
 
 
+def test_a_payload_is_decoded_once(spark, catalog):
+    payloads = spark.createDataFrame([("b", "eHh4"), ("c", None)], "basket_id string, payload string")
+    read = read_shared(payloads, catalog)
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("unbase64(") == 1
+    assert read.count() == 0
+
+
 def test_merge_keeps_the_first_line(spark):
     rows = [("b", "A", 2, 1.0, "late"), ("b", "A", 1, 2.0, "early"), ("b", None, 3, 1.0, "c"), ("b", None, 4, 1.0, "c")]
     frame = spark.createDataFrame(rows, "basket_id string, catalog_id string, line int, quantity double, note string")
