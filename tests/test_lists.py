@@ -173,3 +173,28 @@ def test_links_and_lists(spark, catalog):
     assert {r["store_id"]: r["branch_id"] for r in with_default_branch(stores, branches).collect()} == {"s": "b0", "t": "c"}
     picked = spark.createDataFrame([("s", "b1")], "store_id string, branch_id string")
     assert {r["store_id"]: r["branch_id"] for r in with_default_branch(stores, branches, picked).collect()} == {"s": "b1", "t": "c"}
+
+
+def test_patterns_meet_a_written_line_once(spark):
+    from basketwise.functions.units import NUMBER_START, with_custom_name, with_quantity
+
+    frame = spark.createDataFrame([("2 kg de Pan", True), ("arroz", True), ("3 latas", True), ("2 kg de Pan", False), (None, True)], "written string, custom boolean")
+    read = with_quantity(frame, "written")
+    named = with_custom_name(frame, "written", F.col("custom"))
+    for plan in (read, named):
+        assert plan._jdf.queryExecution().optimizedPlan().toString().count(NUMBER_START) == 1
+    assert [r["term"] for r in read.collect()] == ["pan", "arroz", "3 latas", "pan", None]
+    assert [r["custom_name"] for r in named.collect()] == ["Pan", "Arroz", "3 latas", None, None]
+
+
+def test_lines_of_a_basket_are_grouped_by_numbers(spark, tmp_path):
+    from basketwise.plans.bindings import basket_lines
+
+    rows = [(1, 7, 2.0, 1), (1, 7, 3.0, 4), (1, None, 1.0, 2), (2, 7, 1.0, 1)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_quantity double, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = basket_lines(spark, str(tmp_path))
+    assert {(r["basket_id"], r["ean"], r["item_id"], r["quantity"], r["line"]) for r in got.collect()} == {
+        (1, "7", "7", 5.0, (1 << 40) + 7), (1, None, None, 1.0, None), (2, "7", "7", 1.0, (1 << 40) + 7)
+    }
+    aggregates = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "HashAggregate(keys" in x]
+    assert aggregates and not any("cast" in x or "as string" in x for x in aggregates)
