@@ -529,3 +529,30 @@ def test_the_newest_period_is_read_alone(spark, tmp_path):
     assert spark.read.schema(fields).parquet(path).count() == 400 - 10 + 2
     assert newest_period(spark, path, fields, at("2020-01-01")).count() == 0
     assert {r["period"] for r in newest_period(spark, path, fields, at("2027-01-01")).collect()} == {first + 39}
+
+
+def test_typed_lines_are_numbered_where_they_are(spark, tmp_path):
+    """Only a row per split and per file is moved, however small a table Spark would broadcast on its own."""
+    for name in ("x.csv", "y.csv"):
+        (tmp_path / name).write_text("# note\n\nean,Price\n" + "".join(f'"{name}, {i}",{i}\n' for i in range(2000)))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = numbered_lines(spark, str(tmp_path))
+        assert "SortMergeJoin" not in lines._jdf.queryExecution().sparkPlan().toString()
+        rows = read_manual(spark, str(tmp_path))
+        assert rows.where(F.concat(F.col("file"), F.lit(", "), F.col("line_no") - 4) == F.col("ean")).count() == 4000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_run_consolidates_only_what_a_cell_keeps(spark, tmp_path, monkeypatch):
+    from basketwise.plans import ingest
+
+    seen, plain = [], ingest.consolidate
+    monkeypatch.setattr(ingest, "consolidate", lambda rows: seen.append(rows.columns) or plain(rows))
+    products, stores = spark.createDataFrame([("A",)], "ean string"), spark.createDataFrame([("x",)], "store_id string")
+    registry = Registry([Fixed("one", (("A", "x", None, 5.0, NOW, "one"), ("A", "x", "b", 7.0, NOW, "one")))])
+    run_ingest(spark, registry, products, stores, str(tmp_path / "run"), NOW)
+    assert seen == [["ean", "store_id", "branch_id", "price", "captured_at", "source"]]
+    assert [r["price"] for r in read_snapshot(spark, str(tmp_path / "run" / "snapshot"))[1].collect()] == [6.0]
