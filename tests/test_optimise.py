@@ -316,3 +316,13 @@ def test_lines_of_a_plan_are_exchanged_once(spark):
         assert planned(shopping_plan(items, found, pairs)) == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_kept_items_are_priced_once(spark):
+    table, rows = random_case(spark, 5)
+    items, found = o.optimise(lines(spark, *rows), prices(spark, table), STORES[:5], keep_items=True)
+    plain, expected = o.optimise(lines(spark, *rows), prices(spark, table), STORES[:5])
+    for frame in (items.rows, found):
+        assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+    assert items.rows.count() == plain.rows.count()
