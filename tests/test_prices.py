@@ -223,3 +223,29 @@ def test_id_first_then_name(spark):
     assert {(r["ean"], r["old_id"], r["new_id"]) for r in ids_to_review(matches).collect()} == {("2", "old", "n3"), ("3", None, "c")}
     assert tuple(match_telemetry(matches).first()) == (5, 4, 1, 4, 7, 2)
     assert [r["clave"] for r in unmatched_products(matches).collect()] == ["Arroz Súper Extra Verde Valle 900g (4)"]
+
+
+def test_medians_by_sorted_prices_agree_with_a_plain_median(spark):
+    """Prices are sorted, not held as one value per product; unknown ones count as observations only."""
+    import statistics
+
+    amounts = {"A": [1.0, 1.0, 1.0, 5.0], "B": [2.0, None, 4.0], "C": [None, None], "D": [3.0, 1.0, 2.0, 2.0, 9.0], "E": [0.01, 0.04, 0.02, 0.03]}
+    frame = observations(spark, *[(e, "x", "1", p, at(1)) for e, found in amounts.items() for p in found])
+    plan = median_prices(frame)
+    assert "percentile" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {r["ean"]: (r["price"], r["n_obs"]) for r in plan.collect()}
+    known = {e: [p for p in found if p is not None] for e, found in amounts.items()}
+    cut = lambda x: int(x * 100 + 0.5) / 100
+    assert got == {e: (cut(statistics.median(p)) if p else None, len(amounts[e])) for e, p in known.items()}
+    assert {r["ean"]: r["price"] for r in consolidate(frame).collect()} == {e: p for e, (p, _) in got.items()}
+
+
+def test_texts_of_an_offer_are_read_once_for_all_rules(spark):
+    columns = "ean string, offer struct<title: string, price: double, us_item_id: string>, name string, unit string, pack_amount double"
+    rows = [("A", ("Leche Lala 1 l", 2.0, "u"), "Leche Lala 1 l", "pz", 1.0), ("B", ("pan", 2.0, "u"), "Leche Lala 1 l", "pz", 1.0), ("C", (None, 2.0, "u"), None, "pz", 1.0)]
+    from basketwise.operators.id_match import _plausible
+
+    kept = _plausible(spark.createDataFrame(rows, columns))
+    assert [r["ean"] for r in kept.collect()] == ["A"] and kept.columns == [c.split()[0] for c in columns.split(", ") if c.split()[0] in kept.columns]
+    # Both texts are folded once each, whatever the number of rules.
+    assert kept._jdf.queryExecution().executedPlan().toString().count("translate(") <= 20
