@@ -2,15 +2,20 @@
 
 import gzip
 import json
+import time
 from dataclasses import dataclass
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 
+from basketwise import session
+from basketwise.operators.validation import membership, membership_of_written
 from basketwise.plans.ingest import read_runs, run_ingest
-from basketwise.sinks.history import append_history, insert_or_ignore, read_history
+from basketwise.session import FREED, run_folder, shuffles_freed
+from basketwise.sinks.history import _spans, append_history, insert_or_ignore, read_history
 from basketwise.sinks.periods import newest_period, publish_periods
 from basketwise.sinks.snapshot import prices_snapshot, read_snapshot, write_document, write_snapshot
 from basketwise.sinks.dimensions import upsert, upsert_report
@@ -556,3 +561,85 @@ def test_a_run_consolidates_only_what_a_cell_keeps(spark, tmp_path, monkeypatch)
     run_ingest(spark, registry, products, stores, str(tmp_path / "run"), NOW)
     assert seen == [["ean", "store_id", "branch_id", "price", "captured_at", "source"]]
     assert [r["price"] for r in read_snapshot(spark, str(tmp_path / "run" / "snapshot"))[1].collect()] == [6.0]
+
+
+def shuffle_files(spark):
+    """Names of the shuffle files that the disk holds."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = (files.apply(i).getName() for i in range(files.size()))
+    return {name for name in names if name.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_their_step(spark, tmp_path):
+    before, was = shuffle_files(spark), spark.conf.get(FREED, None)
+    with shuffles_freed(spark):
+        spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count().write.parquet(str(tmp_path / "t"))
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:  # they are removed in the background
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and spark.conf.get(FREED, None) == was
+
+
+def test_a_run_frees_shuffles_and_keeps_one_copy_of_its_rows(spark, tmp_path):
+    products, stores = spark.createDataFrame([("A",), ("B",)], "ean string"), spark.createDataFrame([("x",)], "store_id string")
+    rows = tuple((ean, "x", f"b{n}", 5.0 + n, NOW, "one") for n in range(50) for ean in ("A", "B", "Z"))
+    staged = []
+    folders = lambda: {p.name for p in Path(run_folder(spark).removeprefix("file://")).glob("observed-*")}
+    when_staged = lambda source: staged.append((source, spark.conf.get(FREED), len(folders() - kept)))
+    kept, was = folders(), spark.conf.get(FREED, None)
+    registry = Registry([Fixed("one", rows), Fixed("broken", None)])
+    run = run_ingest(spark, registry, products, stores, str(tmp_path / "run"), NOW, when_staged=when_staged)
+    assert staged == [("one", "true", 1)] and folders() == kept and spark.conf.get(FREED, None) == was
+    assert {r["source"]: (r["prices_written"], r["n_rejected"]) for r in run.log.collect()} == {"one": (100, 50), "broken": (0, 0)}
+
+
+def test_large_batches_go_in_slices_with_the_same_result(spark, tmp_path, monkeypatch):
+    from basketwise.plans import ingest
+
+    products = spark.createDataFrame([(f"P{n}",) for n in range(20)], "ean string")
+    stores = spark.createDataFrame([("x",), ("y",)], "store_id string")
+    rows = [(f"P{n % 22}", "xy"[n % 2], f"b{n % 3}" if n % 5 else None, 1.0 + n % 7, datetime(2025, 1 + n % 11, 1 + n % 2, 12), "one") for n in range(200)]
+    rows += [(e, s, b, p + 1, t, o) for e, s, b, p, t, o in rows[::10]] + [("P1", "x", "b", 3.0, None, "one")]
+    seen, plain = [], ingest.consolidate
+    monkeypatch.setattr(session, "SLICES", 3)
+    monkeypatch.setattr(ingest, "consolidate", lambda part: seen.append(part) or plain(part))
+    found = []
+    for name, least in (("whole", 1 << 20), ("slices", 8)):
+        monkeypatch.setattr(session, "SLICE_ROWS", least)
+        root = str(tmp_path / name)
+        for day in (1, 2):  # the second run finds all of it in the history
+            run_ingest(spark, Registry([Fixed("one", tuple(rows))]), products, stores, root, datetime(2026, 9, day))
+        found.append([sorted(map(repr, part.drop("version").collect())) for part in (read_history(spark, f"{root}/history").where("ean <> 'P1'"), read_snapshot(spark, f"{root}/snapshot")[1])])
+    assert len(seen) == 2 + 2 * session.SLICES
+    assert found[0] == found[1] and len(found[0][0]) > 50
+    # Every slice is in months that follow each other, and a row without one is in a slice of its own.
+    dated = observed(spark, *rows).withColumn("captured_month", F.trunc("captured_at", "month"))
+    spans = _spans(dated)
+    assert spans[0] == (None, None) and 1 < len(spans[1:]) <= session.SLICES
+    assert spans[1][0].month == 1 and spans[-1][1].month == 11 and all(a[1] < b[0] for a, b in zip(spans[1:], spans[2:]))
+
+
+def test_keys_of_written_rows_are_known_as_before(spark, tmp_path):
+    spark.createDataFrame([(k, n) for n, k in enumerate(["a", "a", "b", "c", None])], "ean string, n int").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    for keys in (["a", "b"], ["a", "a", "b", "b", "b", None], [], ["a", "b", "c"], [None]):
+        table = spark.createDataFrame([(k,) for k in keys], "ean string")
+        want, got = (f(rows, table, "ean", "known") for f in (membership, membership_of_written))
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_typed_files_may_be_gzipped_where_the_source_says_so(spark, tmp_path):
+    with gzip.open(tmp_path / "a.csv.gz", "wt") as out:
+        out.write("# note\nean,store_id,price\nA,heb,31\n,heb,5\n")
+    (tmp_path / "b.csv").write_text("ean,store_id,price\nB,heb,32\n")
+    eans = lambda source: sorted(r["ean"] for r in source.read(spark, NOW).observations.collect())
+    assert eans(ManualSource(str(tmp_path))) == ["B"]
+    assert eans(ManualSource(str(tmp_path), packed=True)) == ["A", "B"]
+    left_out = ManualSource(str(tmp_path), packed=True).read(spark, NOW).suggestions.collect()
+    assert [r["clave"] for r in left_out] == ["a.csv.gz:4 incomplete_row"]
+
+
+def test_only_folders_of_the_run_are_discarded(spark, tmp_path):
+    with pytest.raises(ValueError):
+        session.discard(spark, str(tmp_path))
+    assert tmp_path.exists()
